@@ -64,3 +64,9 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def parallelism(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     """Partitions so that none has more than about ``rows_per_task`` rows."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_task))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over more tasks if its files give too few for a stage that is heavy on CPU."""
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
