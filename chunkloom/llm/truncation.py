@@ -234,33 +234,78 @@ def _bitmap(hashes: DataFrame) -> bytes:
     return bytes(marks)
 
 
+class _Marked:
+    """Which contexts, words and keys are marked, with what was looked up before at hand."""
+
+    KEPT = 300_000
+
+    def __init__(self, words_at: bytes, contexts_at: bytes) -> None:
+        self.words_at, self.contexts_at = words_at, contexts_at
+        self._contexts: dict[str, bool] = {}
+        self._prefixes: dict[str, tuple[str, ...]] = {}
+        self._keys: dict[tuple[str, str], int] = {}
+
+    @staticmethod
+    def _bit(marks: bytes, key: int) -> int:
+        m = key & ((1 << MARK_BITS) - 1)
+        return marks[m >> 3] >> (m & 7) & 1
+
+    def context(self, text: str) -> bool:
+        known = self._contexts.get(text)
+        if known is None:
+            if len(self._contexts) > self.KEPT:
+                self._contexts.clear()
+            known = self._contexts[text] = bool(self._bit(self.contexts_at, _key("c", text)))
+        return known
+
+    def key(self, context: str, word: str) -> int:
+        """The key of a word in a context, 0 if it ends no text."""
+        known = self._keys.get((context, word))
+        if known is None:
+            if len(self._keys) > self.KEPT:
+                self._keys.clear()
+            key = _key("w", context, word)
+            known = self._keys[(context, word)] = key if self._bit(self.words_at, key) else 0
+        return known
+
+    def prefixes(self, word: str) -> tuple[str, ...]:
+        """The word and those of its beginnings that are the last word of some text."""
+        known = self._prefixes.get(word)
+        if known is None:
+            if len(self._prefixes) > self.KEPT:
+                self._prefixes.clear()
+            known = self._prefixes[word] = tuple(word[:k] for k in range(len(word), 0, -1) if self.key("", word[:k]))
+        return known
+
+
 def _counts(broadcast_marks: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Per marked key how often the words are followed by a segment end, more words, more letters, or the text's end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_at, contexts_at = broadcast_marks.value
-        mask = (1 << MARK_BITS) - 1
+        marked = _Marked(*broadcast_marks.value)
         for batch in batches:
             found: dict[int, list[int]] = {}
             for text in batch.column("text").to_pylist():
                 t = tokens(text)
                 n = len(t.words)
-                for i in range(n):
-                    word, last = t.words[i], i == n - 1
-                    for _, context in contexts(t, i):
-                        c = _key("c", context) & mask
-                        if not contexts_at[c >> 3] >> (c & 7) & 1:
-                            continue
-                        at = 3 if last else 0 if t.ends[i] else 1
-                        if at == 1 and i + 1 < n and t.starts[i + 1]:
-                            at = -1  # a quoted segment end without a terminator says nothing
-                        for k in range(len(word), 0, -1):
-                            key = _key("w", context, word[:k])
-                            m = key & mask
-                            if words_at[m >> 3] >> (m & 7) & 1:
-                                slot = at if k == len(word) else 2
-                                if slot >= 0:
-                                    found.setdefault(key, [0, 0, 0, 0])[slot] += 1
+                for i, word in enumerate(t.words):
+                    prefixes = marked.prefixes(word)
+                    if not prefixes:
+                        continue
+                    at = 3 if i == n - 1 else 0 if t.ends[i] else 1
+                    if at == 1 and t.starts[i + 1]:
+                        at = -1  # a quoted segment end without a terminator says nothing
+                    # a text end has all its contexts marked: beyond an unmarked one no longer one can match
+                    for _, context in reversed(list(contexts(t, i))):
+                        if not marked.context(context):
+                            break
+                        for part in prefixes:
+                            slot = at if part is word or part == word else 2
+                            if slot >= 0 and (key := marked.key(context, part)):
+                                row = found.get(key)
+                                if row is None:
+                                    row = found[key] = [0, 0, 0, 0]
+                                row[slot] += 1
             keys = np.fromiter(found, dtype=np.uint64, count=len(found)).view(np.int64)
             table = np.array(list(found.values()), dtype=np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(table[:, j]) for j in range(4))], names=["key", "closed", "opened", "longer", "last"])
