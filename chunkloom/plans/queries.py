@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chunkloom.plans import problems
+from chunkloom.plans import catalog_queries, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**problems.QUERIES, **catalog_queries.QUERIES}
+SQL = {**problems.SQL, **catalog_queries.SQL}
