@@ -54,7 +54,7 @@ def expected_hours(ended: DataFrame) -> DataFrame:
     span = ended.groupBy("job_name").agg(F.min("start_us").alias("a"), F.max("start_us").alias("b"))
     first = (F.floor(F.col("a") / F.lit(hour)) + 1).cast("bigint")
     last = F.floor(F.col("b") / F.lit(hour)).cast("bigint")
-    return span.where(last >= first).select("job_name", (F.explode(F.sequence(first, last)) * hour).alias("slot_us"))
+    return span.where(last >= first).select("job_name", F.explode(F.transform(F.sequence(first, last), lambda h: h * hour)).alias("slot_us"))
 
 
 def missed_runs(ended: DataFrame, expected: DataFrame, window_s: int = 3600) -> DataFrame:

@@ -130,9 +130,9 @@ def search_substring(spark: SparkSession, sf: str) -> DataFrame:
     return _search(spark, sf, substring="Ledger")
 
 
-@query(_HITS + "lower(i.path) = 'docs/budget.txt'")
+@query(_HITS + "lower(i.path) = 'lab/chart.csv'")
 def search_exact(spark: SparkSession, sf: str) -> DataFrame:
-    return _search(spark, sf, exact="docs/Budget.txt", glob="*")
+    return _search(spark, sf, exact="lab/Chart.csv", glob="*")
 
 
 @query(_HITS + r"regexp_full_match(lower(i.path), '(?s).*/photo.*\....')")
