@@ -167,6 +167,6 @@ def restore_sample(items: DataFrame, archives: DataFrame, n: int = 10) -> DataFr
     """The first ``n`` files of the newest archive with items of each repository, in archive order."""
     held = items.select("archive_name").distinct()
     newest = latest_archive(archives.join(held, "archive_name", "left_semi"))
-    files = items.where(F.col("item_type") == "File").join(newest.select("repo_path", "archive_name"), "archive_name")
+    files = items.where(F.col("item_type") == "File").select("archive_name", "item_id", "path", "size").join(newest.select("repo_path", "archive_name"), "archive_name")
     rank = F.row_number().over(Window.partitionBy("repo_path").orderBy("item_id"))
     return files.withColumn("n", rank).where(F.col("n") <= n).select("repo_path", "archive_name", "item_id", "path", "size", "n")

@@ -28,7 +28,7 @@ def assign_roots(paths: DataFrame, roots: DataFrame, keys: list[str]) -> DataFra
     up = F.concat(F.array(F.lit("")), ancestors("path"))
     tried = paths.select(*keys, "path").distinct().select(*keys, "path", F.posexplode(up).alias("level", "above"))
     best = tried.join(small_side(held), [*keys, "above"]).groupBy(*keys, "path").agg(F.max(F.struct("level", "above", "root_n")).alias("b")).select(*keys, "path", F.col("b.above").alias("root"), F.col("b.root_n").alias("root_n"))
-    return paths.join(best, [*keys, "path"], "left")
+    return paths.drop("root", "root_n").join(best, [*keys, "path"], "left")
 
 
 def exclude_flat(items: DataFrame, rules: list[Rule]) -> DataFrame:
