@@ -166,10 +166,10 @@ _SCHEMA = "limit_name string, container_id string, position int, doc_id bigint,
 
 
 def read_limits(limits: DataFrame) -> dict[int, str]:
-    """Capacity to name of the container table: a fixed table, refused beyond 100 rows."""
+    """Capacity to name of the container table: a fixed table, refused beyond 100 rows; may be empty."""
     rows = limits.where(F.col("capacity_tokens") > 0).groupBy("capacity_tokens").agg(F.min("limit_name").alias("limit_name")).orderBy("capacity_tokens").limit(101).collect()
-    if not 0 < len(rows) <= 100:
-        raise ValueError("between 1 and 100 capacities are needed")
+    if len(rows) > 100:
+        raise ValueError("more than 100 capacities")
     return {r["capacity_tokens"]: r["limit_name"] for r in rows}
 
 
@@ -177,21 +177,21 @@ def pack(sized: DataFrame, limits: dict[int, str]) -> DataFrame:
     """Container and position of each text of (doc_id, n_tokens).
 
     A text above the largest capacity is cut into pieces of that capacity and a rest. Texts
-    without tokens take no room and have null in place of container, position and group.
+    without tokens take no room and have null in place of container, position and group; without
+    any capacity all have.
     """
-    spark, top = sized.sparkSession, max(limits)
-    n = sized.count()
-    shards = max(1, -(-n // SHARD_ITEMS))
+    top = max(limits, default=1)
+    shards = max(1, -(-sized.count() // SHARD_ITEMS))
     pieces = sized.where(F.col("n_tokens") > 0).select(
         "doc_id",
         F.explode(F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / top).cast("int"))).alias("piece"),
         "n_tokens",
     )
     pieces = pieces.withColumn("n_tokens", F.least(F.col("n_tokens") - F.col("piece").cast("bigint") * top, F.lit(top).cast("bigint"))).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    packed = pieces.repartitionById(shards, F.col("shard")).mapInArrow(_pack(limits), _SCHEMA)
-    empty = sized.where(F.coalesce("n_tokens", F.lit(0)) == 0)
+    packed = (pieces if limits else pieces.limit(0)).repartitionById(shards, F.col("shard")).mapInArrow(_pack(limits), _SCHEMA)
+    empty = sized.where(F.coalesce("n_tokens", F.lit(0)) == 0) if limits else sized
     none = [F.lit(None).cast(t).alias(c) for c, t in (("limit_name", "string"), ("container_id", "string"), ("position", "int"))]
-    return packed.unionByName(empty.select(*none, "doc_id", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("n_tokens"), F.lit(None).cast("int").alias("start_token"), F.lit(None).cast("string").alias("step_group")))
+    return packed.unionByName(empty.select(*none, "doc_id", F.lit(0).alias("piece"), F.coalesce("n_tokens", F.lit(0).cast("bigint")).alias("n_tokens"), F.lit(None).cast("int").alias("start_token"), F.lit(None).cast("string").alias("step_group")))
 
 
 def sized_posts(documents: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -16,8 +17,9 @@ TOKENIZER_DIR = "/opt/tokenizers"
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: The pattern that splits text before the merges of the rank files (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A run of one kind of characters longer than this is counted in pieces, else its merges take too long.
+#: A text with a run of blanks or of other characters this long is counted in pieces, else its merges take too long.
 RUN = 20_000
+_LONG_RUN = re.compile(r"\S{%d}|\s{%d}" % (RUN, RUN))
 
 
 @functools.lru_cache(maxsize=2)
@@ -33,7 +35,7 @@ def _count(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         encoding = _encoding(path)
 
         def size(text: str) -> int:
-            if len(text) <= RUN or max(map(len, text.split()), default=0) <= RUN and "\n" * RUN not in text:
+            if len(text) <= RUN or not _LONG_RUN.search(text):
                 return len(encoding.encode_ordinary(text))
             return sum(len(encoding.encode_ordinary(text[i : i + RUN])) for i in range(0, len(text), RUN))
 

@@ -40,10 +40,13 @@ ENOUGH = 3
 SEGMENT_CHARS = 70.0
 #: Share of ends above which a bare end at a field limit is whole.
 AT_LIMIT = 0.7
+#: Characters at the end that tell how a text ends; no tag, entity or emoticon is longer.
+END_CHARS = 4000
 #: Marks that a shortened text ends with (fixed values).
 MARKS = ("…", "...", "[more]", "[…]", "(more)", "[...]")
 
-_TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]|[\p{L}\p{N}][\p{L}\p{M}\p{N}'’_-]*")
+#: A word is cut at 64 characters, so its beginnings stay few.
+_TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]|[\p{L}\p{N}][\p{L}\p{M}\p{N}'’_-]{0,63}")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
 _DIGIT = regex.compile(r"\d")
 #: A terminator ends a segment if something other than the next word follows it.
@@ -169,10 +172,9 @@ def contexts(t: Tokens, i: int) -> Iterator[tuple[int, str]]:
 def ending(text: str) -> str:
     """How a text ends: ``partial`` (in a tag, entity, escape or multibyte sequence), ``marked``,
     ``terminated``, ``tag``, ``picture``, ``unfinished`` (after a mark that more must follow) or ``bare``."""
-    end = text.rstrip()
+    end = text.rstrip()[-END_CHARS:]
     if end.endswith("�"):
         return "partial"
-    bare = end
     for mark in MARKS:
         if end.endswith(mark):
             bare = end[: -len(mark)]
