@@ -1,7 +1,7 @@
 """Scalar functions on columns: sizes, modes, times, paths, names and codes.
 
-Texts with one or two decimals are rounded half to even on the exact binary value, as
-``printf`` does: 0.25 gives 0.2.
+Texts with one or two decimals are rounded on the exact binary value, ties to even, as C's
+``printf`` does: 0.25 gives 0.2, 0.35 gives 0.3.
 """
 
 from __future__ import annotations
@@ -37,25 +37,22 @@ def lookup(values: dict, key: Column, default: Column | None = None) -> Column:
 
 
 def decimals(value: Column, digits: int) -> Column:
-    """Text with a fixed number of decimals of a non-negative double, rounded on its exact value.
+    """Text with a fixed number of decimals of a non-negative double, rounded on its exact value, ties to even.
 
-    A double below 2**53 / 10**digits that is no tie is rounded alike by both rules; exact ties
-    (multiples of a half unit that binary can hold) go to the even digit.
+    The value times twice the scale is held as a product and its rounding error (Dekker's split),
+    so it is compared exactly with the odd number half-way between the two candidates.
     """
-    scale = 10**digits
-    scaled = value * scale
-    low = F.floor(scaled)
-    tie = (scaled - low == 0.5) & ((value * 2 * scale) == (2 * low + 1)) & _exact_tie(value, digits)
-    whole = F.when(tie, F.when(low % 2 == 0, low).otherwise(low + 1)).otherwise(None)
-    rounded = F.format_string(f"%.{digits}f", value.cast("double"))
-    exact = F.concat(F.floor(whole / scale).cast("bigint").cast("string"), F.lit("."), F.lpad((whole % scale).cast("bigint").cast("string"), digits, "0"))
-    return F.when(tie, exact).otherwise(rounded)
-
-
-def _exact_tie(value: Column, digits: int) -> Column:
-    """Whether the double is exactly half-way: only multiples of 2**-(digits + 1) can be."""
-    unit = float(2 ** (digits + 1))
-    return value * unit == F.floor(value * unit)
+    v = value.cast("double")
+    twice = float(2 * 10**digits)
+    low = F.floor(v * float(10**digits))
+    middle = (low * 2 + 1).cast("double")
+    spread = v * 134217729.0
+    high = spread - (spread - v)
+    product = v * twice
+    error = (high * twice - product) + (v - high) * twice
+    up = (product > middle) | ((product == middle) & ((error > 0) | ((error == 0) & (low % 2 == 1))))
+    n = low + F.when(up, 1).otherwise(0)
+    return F.concat(F.floor(n / F.lit(10**digits)).cast("string"), F.lit("."), F.lpad((n % F.lit(10**digits)).cast("string"), digits, "0"))
 
 
 def _scaled(size: Column, units: list[str], digits: int, plain: str) -> Column:
