@@ -59,6 +59,7 @@ _PARTIAL_ENTITY = regex.compile(r"&(?:#?[A-Za-z0-9]{0,7})\Z")
 _PARTIAL_ESCAPE = regex.compile(r"(?:\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|%(?:[0-9A-F])?)\Z")
 _PICTURE = regex.compile(r"(?:\p{Extended_Pictographic}️?|(?<![\p{L}\p{N}])(?:[:;=][-^']?[DdPpOo)(/\\|3]|[xX]D|\^_?\^|<3))\s*\Z")
 _TAG = regex.compile(r"\[(?P<off>/)?(?P<square>quote|code|b|i|u|url|size)(?:=[^\[\]\n]*)?\]|<(?P<end>/)?(?P<angle>blockquote|cite|pre|code|b|i)(?:\s[^<>\n]*)?>|(?P<fence>```)", regex.IGNORECASE)
+_ANY_TAG = regex.compile(r"\[/?[A-Za-z]+(?:=[^\[\]\n]*)?\]|</?[A-Za-z]+[0-9]?(?:\s[^<>\n]*)?/?>")
 _QUOTED_LINE = regex.compile(r"^(?:>|&gt;)")
 _URL = regex.compile(r"\bhttps?://[^\s\[\]<>\"]+")
 _LIST = regex.compile(r"[ \t>]*[-*•][ \t]+")
@@ -90,12 +91,17 @@ def tokens(text: str) -> Tokens:
     """
     text = html.unescape(regex.sub(r"&(?:nbsp|amp|lt|gt|quot);", lambda m: {"&nbsp;": " ", "&amp;": "&"}.get(m[0], m[0]), text)) if "&" in text else text
     tags = [(m.start(), m.end(), (m["square"] or m["angle"] or "```").lower(), bool(m["off"] or m["end"])) for m in _TAG.finditer(text)]
-    stack, at_tag, depth = [], 0, 0
+    spans = [m.span() for m in _ANY_TAG.finditer(text)] if "[" in text or "<" in text else []
+    stack, at_tag, at_span, depth = [], 0, 0, 0
     words, starts, ends, quoted = [], [], [], []
     new, last, line_end, line_quoted = True, 0, -1, False
     urls = [m.end() for m in _URL.finditer(text)] if "://" in text else []
     for m in _TOKEN.finditer(text):
         s = m.start()
+        while at_span < len(spans) and spans[at_span][1] <= s:
+            at_span += 1
+        if at_span < len(spans) and spans[at_span][0] < s:
+            continue  # the words of a tag are not of the text
         while at_tag < len(tags) and tags[at_tag][0] <= s:
             _, _, name, off = tags[at_tag]
             if name == "```":
