@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +82,21 @@ def search(items: DataFrame, archives: DataFrame, query: SearchQuery) -> DataFra
     return found.orderBy(F.col("archive_time").desc(), "archive_name", "path", "item_id").limit(max(query.limit, 1))
 
 
+def browse(items: DataFrame, pattern: str, *, regex: bool = False, root: str | Column = "") -> DataFrame:
+    """Items whose path below ``root`` holds the pattern, with regard to case, or meets it as a regex.
+
+    A regex that can't be read filters nothing.
+    """
+    full = F.concat_ws("/", F.lit(root) if isinstance(root, str) else root, "path") if not isinstance(root, str) or root else F.col("path")
+    if not regex:
+        return items.where(full.contains(pattern))
+    try:
+        items.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return items
+    return items.where(full.rlike(pattern))
+
+
 def head_then_tail(df: DataFrame, order: list[Column], first: int | None, last: int | None) -> DataFrame:
     """The first rows in order, then the last of what remains."""
     if first is not None:

@@ -68,6 +68,15 @@ def missed_runs(ended: DataFrame, expected: DataFrame, window_s: int = 3600) ->
     return expected.withColumn("w", F.floor(F.col("slot_us") / F.lit(w))).join(taken, ["job_name", "w"], "left_anti").select("job_name", "slot_us")
 
 
+def just_missed(tasks: DataFrame, slots: DataFrame, now_us: int, window_s: int = 300) -> DataFrame:
+    """(name, slot_us): the last slot of each task within the window before ``now`` that its last run does not reach.
+
+    ``tasks`` has (name, last_run_us), ``slots`` (name, slot_us); a task that never ran has missed it.
+    """
+    recent = slots.where((F.col("slot_us") <= now_us) & (F.col("slot_us") > now_us - window_s * 1_000_000)).groupBy("name").agg(F.max("slot_us").alias("slot_us"))
+    return recent.join(tasks.select("name", "last_run_us"), "name").where(F.col("last_run_us").isNull() | (F.col("last_run_us") < F.col("slot_us"))).select("name", "slot_us")
+
+
 def retry_delays(initial: float, factor: float, longest: float, retries: int) -> Column:
     """Delays before the retries: the first as it is, each next one times ``factor`` up to ``longest``."""
     steps = [initial]

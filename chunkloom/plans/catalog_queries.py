@@ -156,6 +156,16 @@ def search_limit_zero(spark: SparkSession, sf: str) -> DataFrame:
     return _search(spark, sf, substring="music", limit=0)
 
 
+@query("SELECT archive_name, item_id, path FROM items WHERE contains(path, 'Über')")
+def browse_items(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.browse(inputs.items(spark, sf), "Über").select("archive_name", "item_id", "path")
+
+
+@query("SELECT archive_name, item_id, path FROM items WHERE regexp_matches('root/' || path, '^root/(docs|maps)/.*[0-9]{4}')")
+def browse_items_regex(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.browse(inputs.items(spark, sf), "^root/(docs|maps)/.*[0-9]{4}", regex=True, root="root").select("archive_name", "item_id", "path")
+
+
 _ARCS = "SELECT archive_name, repo_path, archive_time FROM arcs "
 
 

@@ -14,6 +14,7 @@ from chunkloom.model import table
 from chunkloom.operators import jobs, tables
 from chunkloom.plans import inputs
 from chunkloom.session import cut
+from chunkloom.sources import operational
 from chunkloom.sources.places import place_columns
 from chunkloom.streaming.folds import job_state_stream, scan_cache_stream
 
@@ -216,6 +217,31 @@ def archive_delete(spark: SparkSession, sf: str) -> DataFrame:
     return tables.delete(rows, latest_archive(rows), "archive_name")
 
 
+@query("SELECT DISTINCT id, repo_name, repo_path, compression, redundancy, use_custom_name, archive_name, comment_text, tags, paths FROM archive_bookmarks")
+def bookmarks_list(spark: SparkSession, sf: str) -> DataFrame:
+    return operational.migrated(table(spark, sf, "archive_bookmarks"), "archive_bookmarks").distinct()
+
+
+@query(_TASKS + "SELECT * FROM t")
+def tasks_list(spark: SparkSession, sf: str) -> DataFrame:
+    return operational.migrated(table(spark, sf, "scheduled_tasks"), "scheduled_tasks").distinct()
+
+
+@query(
+    _TASKS
+    + """, r AS (SELECT task_name AS name, make_timestamp(2024, 6, 1, run_hour, run_minute, 0) AS slot,
+  epoch_us(CASE WHEN last_run LIKE '%T%' THEN try_cast(last_run AS TIMESTAMPTZ) ELSE CAST(try_strptime(last_run, '%H:%M %d.%m.%Y') AS TIMESTAMPTZ) END) AS last_run_us FROM t WHERE schedule_type = 'Daily')
+SELECT name, epoch_us(slot) AS slot_us FROM r WHERE slot > TIMESTAMP '2024-06-01 06:00:00' AND slot <= TIMESTAMP '2024-06-01 12:00:00' AND (last_run_us IS NULL OR last_run_us < epoch_us(slot))"""
+)
+def just_missed(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily tasks whose time within six hours before noon their last run does not reach."""
+    daily = _tasks(spark, sf).where(F.col("schedule_type") == "Daily")
+    noon = 1717243200_000000
+    slots = daily.select(F.col("task_name").alias("name"), (F.lit(noon - 43_200_000_000) + (F.col("run_hour") * 60 + F.col("run_minute")).cast("bigint") * 60_000_000).alias("slot_us"))
+    last = task_last_runs(spark, sf).join(daily.select("id", F.col("task_name").alias("name")), "id")
+    return jobs.just_missed(last, slots, noon, 6 * 3600)
+
+
 # --- scalar functions ------------------------------------------------------------------------
 
 _UNIT = "CASE WHEN {x} >= 1099511627776 AND {top} THEN printf('%.{d}f{T}', {x} / 1099511627776.0) WHEN {x} >= 1073741824 THEN printf('%.{d}f{G}', {x} / 1073741824.0) WHEN {x} >= 1048576 THEN printf('%.{d}f{M}', {x} / 1048576.0) WHEN {x} >= 1024 THEN printf('%.{d}f{K}', {x} / 1024.0) ELSE {x} || '{B}' END"

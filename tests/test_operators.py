@@ -16,7 +16,7 @@ from chunkloom.functions import chunking, cron, patterns
 from chunkloom.functions import scalars as s
 from chunkloom.operators import catalog, dedup, diff, jobs, paths, sync, tables, verify
 from chunkloom.operators.catalog import SearchQuery
-from chunkloom.sources import documents, files, places, webdav
+from chunkloom.sources import documents, files, operational, places, webdav
 from chunkloom.streaming.folds import FoldedTable, JOB_STATE, fold_job_state, scan_cache_stream
 
 ITEM = "item_id bigint, archive_name string, path string, item_type string, size bigint, attrs struct<mode:bigint,uid:bigint,gid:bigint,atime:bigint,mtime:bigint,ctime:bigint>, chunks array<string>, symlink_target string, hardlink_target string, chunker_profile string"
@@ -394,6 +394,22 @@ def test_job_settings(tmp_path) -> None:
     assert documents.read_jobs(str(tmp_path / "j.yaml")) == {"jobs": [{"name": "a"}]}
 
 
+def test_operational_tables(spark, make, tmp_path) -> None:
+    operational.create(spark, str(tmp_path))
+    operational.create(spark, str(tmp_path))
+    assert operational.load(spark, str(tmp_path), "job_state").columns[0] == "job_name"
+    old = make([(1, "t", "x")], "id bigint, task_name string, unknown string")
+    operational.replace(old, str(tmp_path), "scheduled_tasks")
+    row = operational.load(spark, str(tmp_path), "scheduled_tasks").first()
+    assert (row.task_name, row.active, row.execution_count, row.last_run) == ("t", True, 0, None) and "unknown" not in row
+
+
+def test_browse(make) -> None:
+    rows = make([item(1, "a", "Docs/x"), item(2, "a", "docs/y"), item(3, "a", None)], ITEM)
+    n = lambda *a, **k: catalog.browse(rows, *a, **k).count()
+    assert (n("docs"), n("^r/D", regex=True, root="r"), n("(", regex=True), n("(")) == (1, 1, 3, 0)
+
+
 def test_webdav() -> None:
     def answer(*rows: tuple) -> str:
         body = "".join(f"<d:response><d:href>{h}</d:href><d:propstat><d:prop><d:resourcetype>{'<d:collection/>' if f else ''}</d:resourcetype><d:getcontentlength>{n}</d:getcontentlength><d:getlastmodified>Wed, 21 Oct 2015 07:28:00 GMT</d:getlastmodified></d:prop></d:propstat></d:response>" for h, f, n in rows)
