@@ -34,8 +34,10 @@ from chunkloom.session import cut, small_side, spread
 MARK_BITS = 24
 #: Words (or characters of scripts without blanks) that are looked up, longest first.
 WORD_ORDERS, CHARACTER_ORDERS = (6, 4, 3, 2, 1), (9, 7, 5, 3, 1)
-#: A lookup counts if it met the words this often, else a shorter one decides.
-ENOUGH = 3
+#: A lookup decides if it met an end and the words this often, or the words so often that no end is telling.
+ENOUGH, TELLING = 3, 60
+#: A bare end of a text speaks for the words if at least so many other texts end alike.
+ALIKE = 4
 #: Characters between two segment ends, for the odds of a cut that falls on a segment end.
 SEGMENT_CHARS = 70.0
 #: Share of ends above which a bare end at a field limit is whole.
@@ -287,21 +289,23 @@ class _Marked:
 
 
 def _counts(broadcast_marks: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per marked key how often the words are followed by a segment end, more words, more letters, or the text's end."""
+    """Per marked key how often the words are followed by a segment end, more words, or more letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = _Marked(*broadcast_marks.value)
         for batch in batches:
             found: dict[int, list[int]] = {}
             for text in batch.column("text").to_pylist():
-                t = tokens(text)
+                t, whole = tokens(text), ending(text) in ("terminated", "tag", "picture")
                 n = len(t.words)
                 for i, word in enumerate(t.words):
                     prefixes = marked.prefixes(word)
                     if not prefixes:
                         continue
-                    at = 3 if i == n - 1 else 0 if t.ends[i] else 1
-                    if at == 1 and t.starts[i + 1]:
+                    at = 0 if t.ends[i] else 1
+                    if i == n - 1:
+                        at = 0 if whole else -1  # bare ends are counted by text
+                    elif at == 1 and t.starts[i + 1]:
                         at = -1  # a quoted segment end without a terminator says nothing
                     # a text end has all its contexts marked: beyond an unmarked one no longer one can match
                     for _, context in reversed(list(contexts(t, i))):
@@ -312,11 +316,11 @@ def _counts(broadcast_marks: object) -> Callable[[Iterator[pa.RecordBatch]], Ite
                             if slot >= 0 and (key := marked.key(context, part)):
                                 row = found.get(key)
                                 if row is None:
-                                    row = found[key] = [0, 0, 0, 0]
+                                    row = found[key] = [0, 0, 0]
                                 row[slot] += 1
             keys = np.fromiter(found, dtype=np.uint64, count=len(found)).view(np.int64)
-            table = np.array(list(found.values()), dtype=np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(table[:, j]) for j in range(4))], names=["key", "closed", "opened", "longer", "last"])
+            table = np.array(list(found.values()), dtype=np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(table[:, j]) for j in range(3))], names=["key", "closed", "opened", "longer"])
 
     return run
 
@@ -360,13 +364,16 @@ def judged(documents: DataFrame) -> DataFrame:
     texts = spread(documents.select("doc_id", "source", "text")).where(F.length(strip("text")) > 0).select("doc_id", F.coalesce(F.lower(strip("source")), F.lit("")).alias("source"), F.length("text").cast("bigint").alias("n_chars"), F.octet_length("text").cast("bigint").alias("n_bytes"), F.xxhash64("text").alias("text_hash"), "text")
     tails = cut(texts.mapInArrow(_tails, "doc_id bigint, source string, n_chars bigint, n_bytes bigint, text_hash bigint, ending string, keys array<bigint>, contexts array<bigint>"))
     marks = spark.sparkContext.broadcast((_bitmap(tails.select(F.explode("keys").alias("hash"))), _bitmap(tails.select(F.explode("contexts").alias("hash")))))
-    counted = texts.select("text").mapInArrow(_counts(marks), "key bigint, closed bigint, opened bigint, longer bigint, last bigint").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("closed", "opened", "longer", "last")))
-    asked = tails.select("doc_id", F.posexplode("keys").alias("rank", "key"))
-    ends = F.col("closed") + F.greatest(F.col("last") - 1, F.lit(0))  # without the text's own end
-    looked = asked.join(counted, "key").select("doc_id", "rank", ends.alias("ends"), (ends + F.col("opened") + F.col("longer")).alias("others"))
+    counted = texts.select("text").mapInArrow(_counts(marks), "key bigint, closed bigint, opened bigint, longer bigint").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("closed", "opened", "longer")))
+    asked = tails.select("doc_id", "text_hash", F.posexplode("keys").alias("rank", "key"))
+    alike = asked.groupBy("key").agg((F.countDistinct("text_hash") - 1).alias("alike"))
+    zero = F.lit(0).cast("bigint")
+    ends = F.coalesce("closed", zero) + F.when(F.col("alike") >= ALIKE, F.col("alike")).otherwise(zero)
+    looked = asked.join(counted, "key", "left").join(alike, "key").select("doc_id", "rank", ends.alias("ends"), (ends + F.coalesce("opened", zero) + F.coalesce("longer", zero)).alias("others"))
+    decides = ((F.col("ends") > 0) & (F.col("others") >= ENOUGH)) | (F.col("others") >= TELLING)
     best = looked.groupBy("doc_id").agg(
-        F.min_by(F.expr("try_divide(ends, others)"), F.when(F.col("others") >= ENOUGH, F.col("rank"))).alias("known"),
-        F.min_by(F.expr("try_divide(ends, others)"), F.when(F.col("others") > 0, F.col("rank"))).alias("weak"),
+        F.min_by(F.expr("try_divide(ends, others)"), F.when(decides, F.col("rank"))).alias("known"),
+        F.max_by(F.expr("try_divide(ends, others)"), F.when(F.col("others") > 0, F.col("rank"))).alias("weak"),
     )
     rows = cut(tails.drop("keys", "contexts").join(best.select("doc_id", F.coalesce("known", "weak").alias("share")), "doc_id", "left"))
     return _decide(_at_limit(rows))
@@ -384,7 +391,7 @@ def _decide(rows: DataFrame) -> DataFrame:
             (F.count_if(limit & marked) / F.greatest(F.count_if(limit & (marked | bare & (share < AT_LIMIT))), F.lit(1))).alias("marks"),
         )
         # odds that a bare end is a cut: rate of cuts against rate of informal ends, per place where each can fall
-        .select("source", (F.col("marks") >= 0.5).alias("marks"), F.least(F.greatest(F.col("cuts") / F.col("informal") / SEGMENT_CHARS, F.lit(0.004)), F.lit(0.015)).alias("threshold"))
+        .select("source", (F.col("marks") >= 0.5).alias("marks"), F.least(F.greatest(F.col("cuts") / F.col("informal") / SEGMENT_CHARS, F.lit(0.006)), F.lit(0.015)).alias("threshold"))
     )
     unfinished = share < F.when(limit, AT_LIMIT).otherwise(F.col("threshold"))
     is_cut = F.when(F.col("ending").isin("partial", "unfinished"), True).when(marked, F.when(limit & F.col("marks"), True).otherwise(share < F.col("threshold"))).when(bare | (F.col("ending") == "inside"), unfinished).otherwise(False)
