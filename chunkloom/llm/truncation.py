@@ -131,9 +131,8 @@ def tokens(text: str) -> Tokens:
             while urls and urls[0] < last:
                 urls.pop(0)
             # an address ends where its characters end
-            end = bool(_SEGMENT_END.search(gap)) or bool(urls and urls[0] <= s and last <= urls[0])
-            new = end
-            ends.append(end and (not quoted[-1] or bool(_TERMINATOR.search(gap.replace("…", "")))))
+            new = (gap != " " and bool(_SEGMENT_END.search(gap))) or bool(urls and urls[0] <= s and last <= urls[0])
+            ends.append(new and (not quoted[-1] or bool(_TERMINATOR.search(gap.replace("…", "")))))
         if bullet and s == bullet.end():
             new = True
             words.append("<li>")
@@ -141,7 +140,8 @@ def tokens(text: str) -> Tokens:
             ends.append(False)
             quoted.append(line_quoted or depth > 0)
             new = False
-        words.append(_DIGIT.sub("0", m[0].lower()))
+        word = m[0].lower()
+        words.append(word if word.isalpha() else _DIGIT.sub("0", word))
         starts.append(new)
         quoted.append(line_quoted or depth > 0)
         last = m.end()
@@ -245,79 +245,86 @@ def _bitmap(hashes: DataFrame) -> bytes:
 
 
 class _Marked:
-    """Which contexts, words and keys are marked, with what was looked up before at hand."""
+    """Marked words by marked context, with what was looked up before at hand."""
 
-    KEPT = 300_000
+    KEPT = 400_000
 
     def __init__(self, words_at: bytes, contexts_at: bytes) -> None:
         self.words_at, self.contexts_at = words_at, contexts_at
-        self._contexts: dict[str, bool] = {}
-        self._prefixes: dict[str, tuple[str, ...]] = {}
-        self._keys: dict[tuple[str, str], int] = {}
+        self._tables: dict[str, dict[str, tuple[tuple[int, bool], ...]] | None] = {}
+        self._room = self.KEPT
 
     @staticmethod
     def _bit(marks: bytes, key: int) -> int:
         m = key & ((1 << MARK_BITS) - 1)
         return marks[m >> 3] >> (m & 7) & 1
 
-    def context(self, text: str) -> bool:
-        known = self._contexts.get(text)
-        if known is None:
-            if len(self._contexts) > self.KEPT:
-                self._contexts.clear()
-            known = self._contexts[text] = bool(self._bit(self.contexts_at, _key("c", text)))
-        return known
-
-    def key(self, context: str, word: str) -> int:
-        """The key of a word in a context, 0 if it ends no text."""
-        known = self._keys.get((context, word))
-        if known is None:
-            if len(self._keys) > self.KEPT:
-                self._keys.clear()
-            key = _key("w", context, word)
-            known = self._keys[(context, word)] = key if self._bit(self.words_at, key) else 0
-        return known
-
-    def prefixes(self, word: str) -> tuple[str, ...]:
-        """The word and those of its beginnings that are the last word of some text."""
-        known = self._prefixes.get(word)
-        if known is None:
-            if len(self._prefixes) > self.KEPT:
-                self._prefixes.clear()
-            known = self._prefixes[word] = tuple(word[:k] for k in range(len(word), 0, -1) if self.key("", word[:k]))
-        return known
+    def table(self, context: str) -> dict[str, tuple[tuple[int, bool], ...]] | None:
+        """Words looked up in a context; null if no text ends in it."""
+        try:
+            return self._tables[context]
+        except KeyError:
+            self._room -= 1
+            if self._room < 0:
+                self._tables.clear()
+                self._room = self.KEPT
+            found = self._tables[context] = {} if self._bit(self.contexts_at, _key("c", context)) else None
+            return found
+
+    def hits(self, table: dict, context: str, word: str) -> tuple[tuple[int, bool], ...]:
+        """(key, is whole word) of the word and its beginnings that end a text in the context."""
+        self._room -= 1
+        found = []
+        for k in range(len(word), 0, -1):
+            key = _key("w", context, word[:k])
+            if self._bit(self.words_at, key):
+                found.append((key, k == len(word)))
+        table[word] = tuple(found)
+        return table[word]
 
 
 def _counts(broadcast_marks: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Per marked key how often the words are followed by a segment end, more words, or more letters."""
+    by_word, by_character = tuple(reversed(WORD_ORDERS)), tuple(reversed(CHARACTER_ORDERS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = _Marked(*broadcast_marks.value)
         for batch in batches:
             found: dict[int, list[int]] = {}
             for text in batch.column("text").to_pylist():
-                t, whole = tokens(text), ending(text) in ("terminated", "tag", "picture")
-                n = len(t.words)
-                for i, word in enumerate(t.words):
-                    prefixes = marked.prefixes(word)
-                    if not prefixes:
-                        continue
-                    at = 0 if t.ends[i] else 1
-                    if i == n - 1:
-                        at = 0 if whole else -1  # bare ends are counted by text
-                    elif at == 1 and t.starts[i + 1]:
-                        at = -1  # a quoted segment end without a terminator says nothing
-                    # a text end has all its contexts marked: beyond an unmarked one no longer one can match
-                    for _, context in reversed(list(contexts(t, i))):
-                        if not marked.context(context):
+                t = tokens(text)
+                words, starts, n, begin = t.words, t.starts, len(t.words), 0
+                for i, word in enumerate(words):
+                    if starts[i]:
+                        begin = i
+                    before, context, slot = i - begin, "", None
+                    # contexts as of ``contexts``, shortest first: a text end has them all marked
+                    for order in by_character if _UNSPACED.match(word) else by_word:
+                        full = order > 1 and before < order
+                        if order > 1:
+                            context = "\x1e" + " ".join(words[begin:i]) if full else " ".join(words[i - order + 1 : i])
+                        table = marked.table(context)
+                        if table is None:
                             break
-                        for part in prefixes:
-                            slot = at if part is word or part == word else 2
-                            if slot >= 0 and (key := marked.key(context, part)):
+                        hits = table.get(word)
+                        if hits is None:
+                            hits = marked.hits(table, context, word)
+                        if not hits:
+                            break
+                        if slot is None:
+                            slot = 0 if t.ends[i] else 1
+                            if i == n - 1:
+                                slot = 0 if ending(text) in ("terminated", "tag", "picture") else -1  # bare ends are counted by text
+                            elif slot and starts[i + 1]:
+                                slot = -1  # a quoted segment end without a terminator says nothing
+                        for key, whole in hits:
+                            if not whole or slot >= 0:
                                 row = found.get(key)
                                 if row is None:
                                     row = found[key] = [0, 0, 0]
-                                row[slot] += 1
+                                row[slot if whole else 2] += 1
+                        if full:
+                            break
             keys = np.fromiter(found, dtype=np.uint64, count=len(found)).view(np.int64)
             table = np.array(list(found.values()), dtype=np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(table[:, j]) for j in range(3))], names=["key", "closed", "opened", "longer"])
