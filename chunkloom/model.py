@@ -33,6 +33,16 @@ def plain_ids(c: Column | str) -> Column:
     return F.coalesce(F.filter(F.transform(c, plain_id), lambda x: x.isNotNull()), F.array().cast("array<string>"))
 
 
+def chunk_fingerprint(c: Column | str) -> Column:
+    """64-bit hash of a list's ids in plain form and order.
+
+    Lists whose ids are plain already, as most are, are hashed as they stand, inside codegen.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    joined = F.array_join(c, ",")
+    return F.when(joined.rlike(r"\A[0-9a-f]{64}(?:,[0-9a-f]{64})*\z"), F.xxhash64(joined)).otherwise(F.xxhash64(F.array_join(plain_ids(c), ",")))
+
+
 def usable_id(c: Column | str) -> Column:
     """Whether a plain id has the 64 hex digits of a stored chunk."""
     return (F.col(c) if isinstance(c, str) else c).rlike(r"\A[0-9a-f]{64}\z")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkloom.model import distinct_archives, plain_ids, plain_path
+from chunkloom.model import chunk_fingerprint, distinct_archives, plain_path
 from chunkloom.operators.bitmaps import Bitmap
 from chunkloom.session import cut, parallelism, small_side
 
@@ -115,7 +115,7 @@ def snapshot_changes(items: DataFrame, archives: DataFrame) -> DataFrame:
     none = F.lit(np.iinfo(np.int64).min)
     rows = (
         items.where(F.col("path").isNotNull())
-        .select("archive_name", F.coalesce("item_id", none).alias("item_id"), plain_path("path").alias("path"), F.coalesce("size", none).alias("size"), F.coalesce(F.col("attrs.mtime"), none).alias("mtime"), F.xxhash64(plain_ids("chunks")).alias("chunks"))
+        .select("archive_name", F.coalesce("item_id", none).alias("item_id"), plain_path("path").alias("path"), F.coalesce("size", none).alias("size"), F.coalesce(F.col("attrs.mtime"), none).alias("mtime"), chunk_fingerprint("chunks").alias("chunks"))
         .join(small_side(snaps), "archive_name")
         .withColumn("block", F.pmod(F.xxhash64("path"), F.col("n_blocks")))
         .repartition(parallelism(spark, n_rows, BLOCK_ROWS * 2), "repo_path", "block")
