@@ -22,9 +22,11 @@ def plain_id(c: Column | str) -> Column:
 
     Null and blank ids give null.
     """
+    c = F.col(c) if isinstance(c, str) else c
     t = F.lower(strip(c))
-    t = F.when(t.startswith("sha") | t.startswith("0x") | t.startswith("\\x"), F.regexp_replace(t, r"^(?:sha-?256\s*[:=_-]?\s*|0x|\\x)+", "")).otherwise(t)
-    return F.when(F.length(t) > 0, t)
+    unmarked = F.when(t.startswith("sha") | t.startswith("0x") | t.startswith("\\x"), F.regexp_replace(t, r"^(?:sha-?256\s*[:=_-]?\s*|0x|\\x)+", "")).otherwise(t)
+    # most ids are plain already: one test settles them
+    return F.when(usable_id(c), c).otherwise(F.when(F.length(unmarked) > 0, unmarked))
 
 
 def plain_ids(c: Column | str) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.model import distinct_archives, plain_id, plain_ids, usable_id
+from chunkloom.model import distinct_archives, plain_id, usable_id
 from chunkloom.session import cut, fits, small_side
 
 HEAVY_SHARE = 1e-3
@@ -21,22 +21,16 @@ HEAVY_SHARE = 1e-3
 def references(items: DataFrame, archives: DataFrame, reports: DataFrame) -> DataFrame:
     """(ref_field, ref_key, ref_time, chunk_id): one row per id in the four referring fields.
 
-    Ids are in plain form; null and blank ones refer to nothing. Items of an archive that is not
-    registered have no time. Second deliveries are still in.
+    Ids are in plain form, null where an element is no id. Items of an archive that is not
+    registered have no time. Second deliveries and repeated ids are still in.
     """
     known = distinct_archives(archives).select("archive_name", F.col("archive_time").alias("ref_time"))
-    of_items = (
-        items.select("item_id", "archive_name", "chunks")
-        .where(F.size("chunks") > 0)
-        .join(small_side(known), "archive_name", "left")
-        .select(F.lit("archive_items.chunks").alias("ref_field"), F.col("item_id").cast("string").alias("ref_key"), "ref_time", F.explode(F.array_distinct(plain_ids("chunks"))).alias("chunk_id"))
-    )
-    of_archives = archives.select(F.lit("archives.id").alias("ref_field"), F.col("archive_name").alias("ref_key"), F.col("archive_time").alias("ref_time"), plain_id("id").alias("chunk_id")).where(F.col("chunk_id").isNotNull())
+    held = items.select("item_id", "archive_name", "chunks").where(F.size("chunks") > 0).join(small_side(known), "archive_name", "left")
+    found = held.select(F.lit("archive_items.chunks").alias("ref_field"), F.col("item_id").cast("string").alias("ref_key"), "ref_time", F.explode("chunks").alias("raw"))
+    found = found.unionByName(archives.select(F.lit("archives.id").alias("ref_field"), F.col("archive_name").alias("ref_key"), F.col("archive_time").alias("ref_time"), F.col("id").alias("raw")))
     for field in ("missing_chunks", "orphaned_chunks"):
-        of_archives = of_archives.unionByName(
-            reports.select(F.lit(f"verify_reports.{field}").alias("ref_field"), F.col("report_id").cast("string").alias("ref_key"), F.col("report_time").alias("ref_time"), F.explode(F.array_distinct(plain_ids(field))).alias("chunk_id"))
-        )
-    return of_items.unionByName(of_archives)
+        found = found.unionByName(reports.select(F.lit(f"verify_reports.{field}").alias("ref_field"), F.col("report_id").cast("string").alias("ref_key"), F.col("report_time").alias("ref_time"), F.explode(field).alias("raw")))
+    return found.select("ref_field", "ref_key", "ref_time", plain_id("raw").alias("chunk_id"))
 
 
 def register_state(store: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -64,9 +58,14 @@ def _checked(pre: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def _aggregated(refs: DataFrame) -> DataFrame:
-    """(key, ref_field, period, n, first_time) of the references whose id has the digits of a chunk."""
-    usable = refs.where(usable_id("chunk_id"))
-    return usable.groupBy(F.unhex("chunk_id").alias("key"), "ref_field", _month(F.col("ref_time")).alias("period")).agg(F.count(F.lit(1)).alias("n"), F.min("ref_time").alias("first_time"))
+    """(key, ref_field, period, n, first_time) of the references whose id has the digits of a chunk.
+
+    The others fall under the null key and leave after the aggregation: a filter before it would
+    bring each id into plain form twice.
+    """
+    key = F.when(usable_id("chunk_id"), F.unhex("chunk_id"))
+    pre = refs.groupBy(key.alias("key"), "ref_field", _month(F.col("ref_time")).alias("period")).agg(F.count(F.lit(1)).alias("n"), F.min("ref_time").alias("first_time"))
+    return cut(pre).where(F.col("key").isNotNull())
 
 
 def orphan_references(items: DataFrame, archives: DataFrame, reports: DataFrame, store: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -75,8 +74,8 @@ def orphan_references(items: DataFrame, archives: DataFrame, reports: DataFrame,
     A reference without a time has a null period and is never ``later``; nor is one to a key
     whose rows all lack a stored_at.
     """
-    refs, state = references(items, archives, reports), register_state(store, seeds)
-    pre = cut(_aggregated(refs))
+    refs, state = references(items, archives, reports), cut(register_state(store, seeds))
+    pre = _aggregated(refs)
     keys = cut(_checked(pre, state).where(_reason(F.col("live"), F.col("earliest"), F.col("first_time")).isNotNull()).groupBy(F.lower(F.hex("key")).alias("chunk_id")).agg(F.sum("n").alias("n"), F.first("live").alias("live"), F.first("earliest").alias("earliest")))
     if fits(keys):
         # one pass over the references; ids with other digits match no key and are absent
