@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkloom.model import distinct_archives, plain_id, plain_ids, usable_id
+from chunkloom.model import distinct_archives, plain_id, strip, usable_id
 
 
 def chunk_references(items: DataFrame, archives: DataFrame) -> DataFrame:
     """(chunk_id, archive_name, archive_time, item_id, pos) of each chunk an item holds, ids in plain form.
 
+    ``pos`` is the place in the list, where elements that are no ids count.
+
     Items of archives that are not registered come first, as they have no time.
     """
     times = distinct_archives(archives).select("archive_name", "archive_time")
-    refs = items.select("archive_name", "item_id", F.posexplode(plain_ids("chunks")).alias("pos", "chunk_id"))
+    raw = items.select("archive_name", "item_id", F.posexplode("chunks").alias("pos", "raw"))
+    refs = raw.select("archive_name", "item_id", "pos", plain_id("raw").alias("chunk_id")).where(F.col("chunk_id").isNotNull())
     return refs.join(times, "archive_name", "left").select("chunk_id", "archive_name", "archive_time", "item_id", "pos")
 
 
@@ -44,7 +47,7 @@ def archive_stats(items: DataFrame, archives: DataFrame, store: DataFrame, seeds
         F.count_if(F.col("item_type").isin("File", "Hardlink")).alias("nfiles"),
         F.count_if(F.col("item_type") == "Directory").alias("ndirs"),
         F.coalesce(F.sum(F.when(F.col("item_type") == "File", F.col("size"))), F.lit(0)).alias("original_size"),
-        F.sum(F.size(plain_ids("chunks"))).alias("nchunks"),
+        F.sum(F.coalesce(F.size(F.filter("chunks", lambda x: F.length(strip(x)) > 0)), F.lit(0))).alias("nchunks"),
     )
     owned = first_owners(chunk_references(items, archives)).join(chunk_sizes(store, seeds), "chunk_id", "left")
     new = owned.groupBy("archive_name").agg(F.count(F.lit(1)).alias("nchunks_unique"), F.coalesce(F.sum("original_size"), F.lit(0)).alias("deduplicated_size"))

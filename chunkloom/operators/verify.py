@@ -16,8 +16,8 @@ def stored_ids(store: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def missing_chunks(items: DataFrame, present: DataFrame) -> DataFrame:
     """(archive_name, item_id, chunk_id) of references to chunks that are not present."""
-    refs = items.select("archive_name", "item_id", F.explode(F.array_distinct(plain_ids("chunks"))).alias("chunk_id"))
-    return refs.join(present, "chunk_id", "left_anti").select("archive_name", "item_id", "chunk_id")
+    refs = items.select("archive_name", "item_id", F.explode("chunks").alias("raw")).select("archive_name", "item_id", plain_id("raw").alias("chunk_id"))
+    return refs.where(F.col("chunk_id").isNotNull()).join(present, "chunk_id", "left_anti").select("archive_name", "item_id", "chunk_id").distinct()
 
 
 def archive_report(items: DataFrame, missing: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def corrupted(chunks: DataFrame) -> DataFrame:
 def reachable_ids(items: DataFrame, archives: DataFrame) -> DataFrame:
     """(chunk_id) that a committed archive or one of its items refers to."""
     roots = archives.select(plain_id("id").alias("chunk_id"))
-    held = items.join(archives.select("archive_name").distinct(), "archive_name", "left_semi").select(F.explode(plain_ids("chunks")).alias("chunk_id"))
+    held = items.join(archives.select("archive_name").distinct(), "archive_name", "left_semi").select(F.explode("chunks").alias("raw")).select(plain_id("raw").alias("chunk_id"))
     return roots.unionByName(held).where(usable_id("chunk_id")).distinct()
 
 

@@ -35,7 +35,7 @@ _FIRST = """,
 sizes AS (SELECT chunk_id, max(original_size) AS original_size FROM store WHERE length(chunk_id) = 64 GROUP BY 1),
 owned AS (
   SELECT chunk_id, arg_min({'archive_name': archive_name, 'item_id': item_id, 'pos': pos}, (archive_time, archive_name, item_id, pos)) AS o, count(*) AS n_references
-  FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n) - 1 AS pos FROM refs) GROUP BY 1)
+  FROM (SELECT *, n AS pos FROM refs) GROUP BY 1)
 """
 
 
