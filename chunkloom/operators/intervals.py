@@ -111,17 +111,17 @@ def combine(summaries: list[dict]) -> tuple[dict[int, Open], set[int]]:
     return carried, goes_on
 
 
-def periods_and_gaps(intervals: DataFrame) -> DataFrame:
+def periods_and_gaps(intervals: DataFrame, rows: int | None = None) -> DataFrame:
     """(entity, kind, start_us, end_us): ``period`` and ``gap`` rows of (entity, start_us, end_us).
 
     Intervals that overlap or touch form one period; one of no length counts. Rows with a null
-    in any of the three columns, or an end before the start, take no part.
+    in any of the three columns, or an end before the start, take no part. ``rows`` is a bound of
+    their number, counted if not given.
     """
-    spark = intervals.sparkSession
     usable = intervals.select("entity", "start_us", "end_us").where(F.col("entity").isNotNull() & (F.col("start_us") <= F.col("end_us")))
-    usable = cut(usable)
-    n = usable.count()
-    ordered = cut(usable.repartitionByRange(parallelism(spark, n, ROWS_PER_TASK), "entity", "start_us").sortWithinPartitions("entity", "start_us", "end_us"))
+    usable = cut(usable)  # read twice: for the bounds of the ranges, and to sort
+    n = usable.count() if rows is None else rows
+    ordered = cut(usable.repartitionByRange(parallelism(intervals.sparkSession, n, ROWS_PER_TASK), "entity", "start_us").sortWithinPartitions("entity", "start_us", "end_us"))
     summaries = ordered.mapInArrow(_summarise, "part bigint, first_name string, first_start bigint, last_name string, last_start bigint, last_end bigint, whole boolean").collect()
     return ordered.mapInArrow(_rescan(*combine([s.asDict() for s in summaries])), "entity string, kind string, start_us bigint, end_us bigint")
 
@@ -133,4 +133,4 @@ def job_periods(history: DataFrame) -> DataFrame:
     that end before they start, take no part, nor do those without a job_name.
     """
     runs = final_runs(history).select(F.col("job_name").alias("entity"), micros(rfc3339("start_time")).alias("start_us"), micros(rfc3339("end_time")).alias("end_us"))
-    return periods_and_gaps(runs).withColumnRenamed("entity", "job_name")
+    return periods_and_gaps(runs, history.count()).withColumnRenamed("entity", "job_name")
