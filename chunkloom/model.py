@@ -78,13 +78,14 @@ def distinct_archives(archives: DataFrame) -> DataFrame:
 
 
 def final_runs(history: DataFrame) -> DataFrame:
-    """One row per run id: the row with a readable end, else with any end text, else the first.
+    """One row per run id, with start_us and end_us of its times: the row with a readable end, else with any end text, else the first.
 
     Rows without an id are runs of their own, unless equal in all columns. Ties are settled by
     the later end text and then the other columns, so that the choice never depends on row order.
     """
     cols = ["job_name", "start_time", "end_time", "status", "files_processed", "bytes_processed"]
-    end = strip("end_time")
-    rank = F.struct(rfc3339("end_time").isNotNull().alias("r"), (F.coalesce(F.length(end), F.lit(0)) > 0).alias("t"), *cols)
+    # times are read before the aggregation, once per row: filters on them do not pass it
+    end_us, start_us = micros(rfc3339("end_time")), micros(rfc3339("start_time"))
+    rank = F.struct(end_us.isNotNull().alias("r"), (F.coalesce(F.length(strip("end_time")), F.lit(0)) > 0).alias("t"), *cols, start_us.alias("start_us"), end_us.alias("end_us"))
     key = [F.col("id").alias("run_id"), F.when(F.col("id").isNull(), F.xxhash64(*cols)).alias("no_id")]
-    return history.select(*key, rank.alias("v")).groupBy("run_id", "no_id").agg(F.max("v").alias("v")).select(F.col("run_id").alias("id"), *[F.col(f"v.{c}") for c in cols])
+    return history.select(*key, rank.alias("v")).groupBy("run_id", "no_id").agg(F.max("v").alias("v")).select(F.col("run_id").alias("id"), *[F.col(f"v.{c}") for c in (*cols, "start_us", "end_us")])

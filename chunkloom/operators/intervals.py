@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.model import final_runs, micros, rfc3339
+from chunkloom.model import final_runs
 from chunkloom.session import cut, parallelism
 
 ROWS_PER_TASK = 1_000_000
@@ -132,5 +132,5 @@ def job_periods(history: DataFrame) -> DataFrame:
     Of the rows of one id the one with an end holds. Runs whose start or end can't be read, or
     that end before they start, take no part, nor do those without a job_name.
     """
-    runs = final_runs(history).select(F.col("job_name").alias("entity"), micros(rfc3339("start_time")).alias("start_us"), micros(rfc3339("end_time")).alias("end_us"))
+    runs = final_runs(history).select(F.col("job_name").alias("entity"), "start_us", "end_us")
     return periods_and_gaps(runs, history.count()).withColumnRenamed("entity", "job_name")

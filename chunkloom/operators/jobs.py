@@ -8,14 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkloom.model import final_runs, micros, rfc3339, strip
+from chunkloom.model import final_runs, strip
 
 ALERT_COOLDOWN_S = 300
 
 
 def runs(history: DataFrame) -> DataFrame:
     """(id, job_name, start_us, status, is_success, files, bytes): one row per run with a readable start that has ended."""
-    own = final_runs(history).withColumn("start_us", micros(rfc3339("start_time")))
+    own = final_runs(history)
     ended = own.where(F.col("start_us").isNotNull() & F.col("job_name").isNotNull() & F.col("status").isin("success", "failed"))
     return ended.select("id", "job_name", "start_us", "status", (F.col("status") == "success").alias("is_success"))
 

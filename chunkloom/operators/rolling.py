@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.model import final_runs, micros, rfc3339
+from chunkloom.model import final_runs
 
 TILE = 128
 LOW_BITS = 26
@@ -79,7 +79,7 @@ def rolling_totals(daily: DataFrame, measures: list[str], windows: list[int]) ->
     tile = F.floor(F.col("day") / TILE).cast("int")
     reach = F.when(F.col("day") - tile * TILE >= TILE - halo, F.array(tile, tile + 1)).otherwise(F.array(tile))
     tiles = totals.select("entity", F.explode(reach).alias("tile"), F.struct("day", *measures).alias("d")).groupBy("entity", "tile").agg(F.collect_list("d").alias("days"))
-    spans = rows.groupBy("entity").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    spans = totals.groupBy("entity").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
     every = spans.select("*", F.explode(F.sequence(F.floor(F.col("first_day") / TILE).cast("int"), F.floor(F.col("last_day") / TILE).cast("int"))).alias("tile"))
     packed = every.join(tiles, ["entity", "tile"], "left").select("entity", "tile", "first_day", "last_day", "days")
     return packed.mapInArrow(_roll(measures, windows), "entity string, day int, " + ", ".join(f"{m}_{w}d bigint" for m in measures for w in windows))
@@ -93,7 +93,7 @@ def job_rolling_totals(history: DataFrame) -> DataFrame:
     """
     runs = final_runs(history).select(
         F.col("job_name").alias("entity"),
-        F.floor(micros(rfc3339("start_time")) / F.lit(DAY_US)).cast("int").alias("day"),
+        F.floor(F.col("start_us") / F.lit(DAY_US)).cast("int").alias("day"),
         F.col("files_processed").alias("files"),
         F.col("bytes_processed").alias("bytes"),
     )
