@@ -134,6 +134,27 @@ def get_objects(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFram
     return spark.read.schema("chunk_id string, data binary, prefix string").parquet(folder).join(wanted.select("chunk_id", F.substring("chunk_id", 1, 2).alias("prefix")), ["chunk_id", "prefix"], "left_semi").select("chunk_id", "data")
 
 
+def delete_objects(spark: SparkSession, folder: str, unwanted: DataFrame) -> None:
+    """Rewrite the hash prefixes that hold unwanted chunks without them; other prefixes stay untouched.
+
+    What is kept is written beside the store first, as the store can't be read and replaced at once.
+    """
+    gone = unwanted.select("chunk_id").where(usable_id("chunk_id")).distinct()
+    hit = gone.select(F.substring("chunk_id", 1, 2).alias("prefix")).distinct()  # 256 rows at most
+    store = spark.read.schema("chunk_id string, data binary, prefix string").parquet(folder)
+    kept = store.join(F.broadcast(hit), "prefix", "left_semi").join(gone, "chunk_id", "left_anti")
+    kept.write.mode("overwrite").partitionBy("prefix").parquet(folder.rstrip("/") + ".kept")
+    again = spark.read.schema("chunk_id string, data binary, prefix string").parquet(folder.rstrip("/") + ".kept")
+    prefixes = {r[0] for r in hit.collect()}
+    fs, path = spark.sparkContext._jvm.org.apache.hadoop.fs, folder.rstrip("/")
+    place = fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for prefix in sorted(prefixes):
+        system.delete(fs.Path(f"{path}/prefix={prefix}"), True)
+    again.select("chunk_id", "data", "prefix").write.mode("append").partitionBy("prefix").parquet(folder)
+    system.delete(fs.Path(path + ".kept"), True)
+
+
 def object_ids(paths: DataFrame, column: str = "path") -> DataFrame:
     """(chunk_id) of listed places ``…/aa/rest``; others are left out."""
     parts = F.regexp_extract(column, r"([0-9a-f]{2})/([0-9a-f]{62})\z", 1), F.regexp_extract(column, r"([0-9a-f]{2})/([0-9a-f]{62})\z", 2)

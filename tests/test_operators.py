@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from chunkloom.functions import chunking, cron, patterns
+from chunkloom.functions import chunking, cron, parity, patterns
 from chunkloom.functions import scalars as s
 from chunkloom.operators import catalog, dedup, diff, jobs, paths, sync, tables, verify
 from chunkloom.operators.catalog import SearchQuery
@@ -328,6 +328,26 @@ def test_compression_stats(make) -> None:
     assert chunking.compression_stats(chunking.compressed_sizes(rows.limit(0), "k", "text", "zlib")).first().ratio == 1.0
 
 
+@given(st.binary(max_size=400), st.integers(1, 4), st.randoms())
+@settings(max_examples=60, deadline=None)
+def test_parity(data: bytes, shards: int, rng: random.Random) -> None:
+    blob = parity.encode(data, shards)
+    assert len(blob) == 80 + shards * -(-len(data) // 16) and parity.repair(data, blob) == data
+    width, damaged = -(-len(data) // 16), bytearray(data)
+    for i in rng.sample(range(16), shards):
+        for at in range(i * width, min((i + 1) * width, len(data))):
+            damaged[at] ^= 1 + rng.randrange(255)
+    assert parity.repair(bytes(damaged), blob) == data
+
+
+def test_parity_limits(make) -> None:
+    data = bytes(range(160))
+    with pytest.raises(ValueError, match="damaged"):
+        parity.repair(bytes(160), parity.encode(data, 2))
+    rows = {r.chunk_id: bytes(r.parity) for r in parity.with_parity(make([("a", bytearray(data)), ("b", None)], "chunk_id string, data binary"), 1).collect()}
+    assert rows["a"] == parity.encode(data, 1) and len(rows["b"]) == 80
+
+
 # --- sources ---------------------------------------------------------------------------------
 
 
@@ -366,6 +386,8 @@ def test_objects(spark, make, tmp_path) -> None:
     files.put_objects(more, folder)
     assert files.list_objects(spark, folder).count() == 3
     assert bytes(files.get_objects(spark, folder, make([(hashlib.sha256(b"c").hexdigest(),)], "chunk_id string")).first().data) == b"c"
+    files.delete_objects(spark, folder, make([(hashlib.sha256(b"a").hexdigest(),)], "chunk_id string"))
+    assert {r[0] for r in files.list_objects(spark, folder).collect()} == {hashlib.sha256(d).hexdigest() for d in (b"b", b"c")}
     listed = make([("objects/aa/" + "b" * 62,), ("objects/aa/short",), (None,)], "path string")
     assert [r[0] for r in files.object_ids(listed).collect()] == ["aa" + "b" * 62]
 
