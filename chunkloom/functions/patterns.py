@@ -108,10 +108,16 @@ def preset(*names: str) -> list[Rule]:
 
 
 def excluded(rules: list[Rule], path: Column | str = "path", is_directory: Column | None = None) -> Column:
-    """Whether any rule excludes the path; the rules become one expression inside codegen."""
+    """Whether any rule excludes the path: one expression, in which all globs are one regex."""
     path = F.col(path) if isinstance(path, str) else path
     directory = is_directory if is_directory is not None else F.lit(False)
     test = F.lit(False)
+    for only in (False, True):
+        globs = [exclusion_glob_regex(r.pattern).removeprefix(r"(?s)\A").removesuffix(r"\z") for r in rules if r.kind == "glob" and r.directory_only == only]
+        if globs:
+            hit = path.rlike(r"(?s)\A(?:" + "|".join(globs) + r")\z")
+            test = test | (hit & directory if only else hit)
     for rule in rules:
-        test = test | rule.condition(path, directory)
+        if rule.kind != "glob":
+            test = test | rule.condition(path, directory)
     return test

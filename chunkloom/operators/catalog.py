@@ -17,9 +17,13 @@ from chunkloom.model import distinct_archives
 
 
 def distinct_items(items: DataFrame) -> DataFrame:
-    """Items without second deliveries; rows without an item_id stay."""
-    known = items.where(F.col("item_id").isNotNull()).dropDuplicates(["item_id"])
-    return known.unionByName(items.where(F.col("item_id").isNull()))
+    """Items without second deliveries; rows without an item_id stay.
+
+    Few rows come twice, so nothing is gained by aggregating before the shuffle: rows are
+    partitioned first and sorted once. Rows without an id are spread by a number of their own.
+    """
+    own = F.when(F.col("item_id").isNull(), F.monotonically_increasing_id()).alias("_own")
+    return items.select("*", own).repartition("item_id", "_own").dropDuplicates(["item_id", "_own"]).drop("_own")
 
 
 def under(path: Column | str, *roots: str) -> Column:

@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkloom.model import distinct_archives, plain_ids, plain_path
+from chunkloom.model import chunk_fingerprint, distinct_archives, plain_path
 from chunkloom.operators.catalog import under
 
 #: Columns whose change makes a path modified: of the command line, and of the catalog.
@@ -24,8 +24,8 @@ def archive_pairs(items: DataFrame, archives: DataFrame) -> DataFrame:
 
 
 def tree(items: DataFrame) -> DataFrame:
-    """One row per archive and plain path: of a path listed twice the last row holds."""
-    row = F.struct("item_id", "item_type", "size", F.col("attrs.mtime").alias("mtime"), F.col("attrs.mode").alias("mode"), plain_ids("chunks").alias("chunks"))
+    """One row per archive and plain path: of a path listed twice the last row holds. Chunk lists are hashed."""
+    row = F.struct("item_id", "item_type", "size", F.col("attrs.mtime").alias("mtime"), F.col("attrs.mode").alias("mode"), chunk_fingerprint("chunks").alias("chunks"))
     return items.where(F.col("path").isNotNull()).groupBy("archive_name", plain_path("path").alias("path")).agg(F.max_by(row, "item_id").alias("v"))
 
 
