@@ -1,8 +1,11 @@
 """Texts that lost their end to a field limit or a broken transfer.
 
-A stack automaton walks each whole text: it keeps the open brackets, tags, code blocks and
-quotes, and says how the text ends: inside a tag, an entity or a broken multibyte sequence, with
-a mark of shortening, with a terminator, or bare. A bare end needs judging. For it the words of
+A stack automaton walks each whole text and keeps the open brackets, quotation marks, tags and
+code blocks. How the text ends is read off its last characters: inside a tag, an entity or a
+broken multibyte sequence, with a mark of shortening, with a terminator, or bare. What is open at
+the end shifts the verdict for each kind of end: how often texts that look cut leave that open is
+held against how often whole texts of the source do, so a source that never leaves a code block
+open gives one away even behind a sentence. A bare end needs judging. For it the words of
 the last segment are looked up in all documents: how often the same words are followed by the
 end of a segment, by more words, or by more letters of the last word. The share of ends is held
 against the source's own baseline: how often its posts end without a terminator and how
@@ -24,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkloom.model import strip
@@ -68,6 +71,22 @@ _LIST = regex.compile(r"[ \t>]*[-*•][ \t]+")
 #: A bare text never ends with one of these, nor with the mark of a list item or quote alone.
 _UNFINISHED = regex.compile(r"(?:[,(、]|\s[:;]|\n[ \t>]*(?:[-*•]|>))\s*\Z")
 _QUOTING = {"quote", "blockquote"}
+#: What the automaton reads: a quoted line, tags that are closed again, fences, brackets, quotation marks.
+_STRUCTURE = regex.compile(
+    r"(?P<line>^(?:>|&gt;)[^\n]*)|(?P<fence>```)"
+    r"|\[(?P<off>/)?(?P<square>quote|code|spoiler|hide|b|i|u|s|url|email|img|video|youtube|size|color|font|list|table|left|right|center|indent|sub|sup)(?:=[^\[\]\n]*)?\]"
+    r"|<(?P<end>/)?(?!(?:br|hr|img|input|wbr|p|li|dt|dd|td|th|tr)\b)(?P<angle>[A-Za-z][A-Za-z0-9]*)(?:\s[^<>\n]*)?(?<!/)>"
+    r"|(?<![:;=]|[:;=][-^'])(?P<up>[(\[{「『（【《])|(?P<down>[)\]}」』）】》])"
+    r"|(?P<mark>[“”„«»]|(?<![\p{L}\p{N}\p{P}])\"(?=\S)|(?<=\S)\")",
+    regex.IGNORECASE | regex.MULTILINE,
+)
+_DOWN = dict(zip(")]}」』）】》", "([{「『（【《", strict=True))
+#: Classes of open structures, each with rates of its own.
+CLASSES = ("quote", "code", "tag", "bracket", "mark")
+_CLASS = {"quote": "quote", "blockquote": "quote", "cite": "quote", "code": "code", "pre": "code", "```": "code"} | dict.fromkeys(_DOWN.values(), "bracket") | dict.fromkeys("“„«»\"", "mark")
+_SHORTENED = regex.compile(r"(?:…|\.\.\.|\[(?:…|\.\.\.|more|snip)\]|\(more\))\s*\Z", regex.IGNORECASE)
+#: Weight, in posts, of the rates over all sources beside those of a source.
+POOLED = 50
 
 
 def _key(*parts: str) -> int:
@@ -160,6 +179,54 @@ def tokens(text: str) -> Tokens:
     return Tokens(words, starts, ends, quoted, stack)
 
 
+def open_at_end(text: str) -> list[str]:
+    """Classes of what is open at the end of a text.
+
+    A closing tag closes all that was opened inside it; behind a mark of shortening it closes the
+    quotes around it as well, as quoted text that was shortened lost their ends. Nothing is read in
+    quoted lines, and in code only the end of the code.
+    """
+    if "&" in text:
+        text = html.unescape(text)
+    stack: list[str] = []
+
+    def close(name: str) -> None:
+        while stack.pop() != name:
+            pass
+
+    for m in _STRUCTURE.finditer(text):
+        if m["line"]:
+            continue
+        name = (m["square"] or m["angle"] or m["fence"] or m[0]).lower()
+        if stack and _CLASS.get(stack[-1]) == "code" and not (name == stack[-1] and (m["fence"] or m["off"] or m["end"])):
+            continue
+        if m["square"] or m["angle"]:
+            if not (m["off"] or m["end"]):
+                stack.append(name)
+            elif name in stack:
+                close(name)
+                if name in _QUOTING and name in stack and _SHORTENED.search(text, max(0, m.start() - 20), m.start()):
+                    close(stack[next(i for i, x in enumerate(stack) if x in _QUOTING)])
+        elif m["fence"]:
+            close(name) if name in stack else stack.append(name)
+        else:
+            # a bracket or quotation mark closes only what was opened since the last tag
+            own = next((i for i in range(len(stack), 0, -1) if _CLASS.get(stack[i - 1]) not in ("bracket", "mark")), 0)
+            if m["up"]:
+                stack.append(name)
+            elif m["down"]:
+                if _DOWN[name] in stack[own:]:
+                    close(_DOWN[name])
+            else:
+                opened = next((x for x in {"“": "„", "”": "“„", "»": "«", "«": "»", '"': '"'}.get(name, "") if x in stack[own:]), None)
+                before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+                if opened:
+                    close(opened)
+                elif name in "“„" or name in '«»"' and not before.strip() and (name == "«" or after.strip()):
+                    stack.append(name)
+    return sorted({_CLASS.get(x, "tag") for x in stack})
+
+
 def contexts(t: Tokens, i: int) -> Iterator[tuple[int, str]]:
     """(order, context) of word ``i``, longest first; a context never reaches beyond the segment's start."""
     orders = CHARACTER_ORDERS if _UNSPACED.match(t.words[i]) else WORD_ORDERS
@@ -210,11 +277,12 @@ def unmarked(text: str) -> str:
 
 
 def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text how it ends; per bare or marked end the keys of its last words by order."""
+    """Per text how it ends and what is open there; per bare or marked end the keys of its last words by order."""
     for batch in batches:
-        rows, kinds, keys, ctx = [], [], [], []
-        for i, text in enumerate(batch.column("text").to_pylist()):
+        kinds, opened, keys, ctx = [], [], [], []
+        for text in batch.column("text").to_pylist():
             kind = ending(text)
+            opened.append(open_at_end(_PARTIAL_TAG.sub("", unmarked(text)) if kind in ("partial", "marked") else text))
             own, own_ctx = [], []
             if kind in ("bare", "marked"):
                 t = tokens(unmarked(text))
@@ -222,16 +290,13 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for order, context in contexts(t, len(t.words) - 1):
                         own_ctx.append(_key("c", context))
                         own.append(_key("w", context, t.words[-1]))
-                    if kind == "bare" and t.open_tags and t.open_tags[-1] in ("code", "pre", "```", "url", "size", "cite"):
-                        kind = "inside"
                 else:
                     kind = "wordless"
-            rows.append(i)
             kinds.append(kind)
             keys.append(np.array(own, dtype=np.uint64).view(np.int64).tolist())
             ctx.append(np.array(own_ctx, dtype=np.uint64).view(np.int64).tolist())
         kept = batch.select(["doc_id", "source", "n_chars", "n_bytes", "text_hash"])
-        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(kinds, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(ctx, pa.list_(pa.int64()))], names=[*kept.schema.names, "ending", "keys", "contexts"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(kinds, pa.string()), pa.array(opened, pa.list_(pa.string())), pa.array(keys, pa.list_(pa.int64())), pa.array(ctx, pa.list_(pa.int64()))], names=[*kept.schema.names, "ending", "open", "keys", "contexts"])
 
 
 def _bitmap(hashes: DataFrame) -> bytes:
@@ -355,21 +420,22 @@ def field_limits(lengths: DataFrame) -> DataFrame:
 
 def _at_limit(tails: DataFrame) -> DataFrame:
     """``tails`` with ``at_limit``: the post's length is one at which its source cuts."""
-    limits = cut(field_limits(tails.withColumn("unfinished", F.col("ending").isin("partial", "unfinished", "marked") | (F.col("ending").isin("bare", "inside") & (F.coalesce("share", F.lit(0.0)) < 0.01)))))
+    limits = cut(field_limits(tails.withColumn("unfinished", F.col("ending").isin("partial", "unfinished", "marked") | ((F.col("ending") == "bare") & (F.coalesce("share", F.lit(0.0)) < 0.01)))))
     known = limits.groupBy("source").agg(F.collect_list(F.struct("unit", "top", "depth")).alias("limits"))
     hit = F.exists("limits", lambda x: F.when(x["unit"] == "chars", F.col("n_chars")).otherwise(F.col("n_bytes")).between(x["top"] - x["depth"], x["top"] + F.when(x["unit"] == "bytes", 2).otherwise(0)))
     return tails.join(small_side(known), "source", "left").withColumn("at_limit", F.coalesce(hit, F.lit(False))).drop("limits")
 
 
 def judged(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, ending, at_limit, share, is_cut) of each text that is not blank.
+    """(doc_id, source, ending, at_limit, share, open, ratio, is_cut) of each text that is not blank.
 
     ``share`` is the share of segment ends among what follows the last words elsewhere, from the
-    longest context met often enough; null where the words occur nowhere else.
+    longest context met often enough; null where the words occur nowhere else. ``open`` has the
+    classes of what is open at the end, ``ratio`` how far that raises the odds of a cut.
     """
     spark = documents.sparkSession
     texts = spread(documents.select("doc_id", "source", "text")).where(F.length(strip("text")) > 0).select("doc_id", F.coalesce(F.lower(strip("source")), F.lit("")).alias("source"), F.length("text").cast("bigint").alias("n_chars"), F.octet_length("text").cast("bigint").alias("n_bytes"), F.xxhash64("text").alias("text_hash"), "text")
-    tails = cut(texts.mapInArrow(_tails, "doc_id bigint, source string, n_chars bigint, n_bytes bigint, text_hash bigint, ending string, keys array<bigint>, contexts array<bigint>"))
+    tails = cut(texts.mapInArrow(_tails, "doc_id bigint, source string, n_chars bigint, n_bytes bigint, text_hash bigint, ending string, open array<string>, keys array<bigint>, contexts array<bigint>"))
     marks = spark.sparkContext.broadcast((_bitmap(tails.select(F.explode("keys").alias("hash"))), _bitmap(tails.select(F.explode("contexts").alias("hash")))))
     counted = texts.select("text").mapInArrow(_counts(marks), "key bigint, closed bigint, opened bigint, longer bigint").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("closed", "opened", "longer")))
     asked = tails.select("doc_id", "text_hash", F.posexplode("keys").alias("rank", "key"))
@@ -387,22 +453,67 @@ def judged(documents: DataFrame) -> DataFrame:
 
 
 def _decide(rows: DataFrame) -> DataFrame:
-    """Judge each end against the baseline of its source."""
+    """Judge each end against the baseline of its source.
+
+    What is open at the end multiplies the odds of a cut by how much more often texts that look cut
+    leave it open than whole ones; a text is never held against rates it counted for itself. An end
+    that is not bare is a cut if these odds exceed those of a cut falling behind a sentence.
+    """
     share = F.coalesce(F.col("share"), F.lit(0.0))
     bare, marked, limit = F.col("ending") == "bare", F.col("ending") == "marked", F.col("at_limit")
+    broken, closed = F.col("ending").isin("partial", "unfinished"), F.col("ending").isin("terminated", "tag", "picture")
+    cut_like, whole_like = broken | bare & (share < 0.01) | limit & marked, ~limit & (closed | bare & (share >= AT_LIMIT))
+    has = {c: F.array_contains("open", c) for c in CLASSES}
     base = (
         rows.groupBy("source")
         .agg(
             ((F.count_if(~limit & bare & (share >= 0.01)) + 5) / (F.count_if(~limit) + 50)).alias("informal"),
             ((F.count_if(~limit & bare & (share < 0.01)) + 1) / (F.count_if(~limit) + 50)).alias("cuts"),
             (F.count_if(limit & marked) / F.greatest(F.count_if(limit & (marked | bare & (share < AT_LIMIT))), F.lit(1))).alias("marks"),
+            (F.count_if(cut_like & limit) / F.greatest(F.count_if(closed & limit), F.lit(1)) / SEGMENT_CHARS).alias("odds_limit"),
+            (F.count_if(cut_like & ~limit) / F.greatest(F.count_if(closed & ~limit), F.lit(1)) / SEGMENT_CHARS).alias("odds_free"),
+            F.count_if(cut_like).alias("n_cut"),
+            F.count_if(whole_like).alias("n_whole"),
+            *(F.count_if(cut_like & h).alias(f"cut_{c}") for c, h in has.items()),
+            *(F.count_if(whole_like & h).alias(f"whole_{c}") for c, h in has.items()),
         )
         # odds that a bare end is a cut: rate of cuts against rate of informal ends, per place where each can fall
-        .select("source", (F.col("marks") >= 0.5).alias("marks"), F.least(F.greatest(F.col("cuts") / F.col("informal") / SEGMENT_CHARS, F.lit(0.006)), F.lit(0.015)).alias("threshold"))
+        .withColumn("odds_bare", F.col("cuts") / F.col("informal") / SEGMENT_CHARS)
+        .withColumn("threshold", F.least(F.greatest("odds_bare", F.lit(0.006)), F.lit(0.015)))
+        .withColumn("marks", F.col("marks") >= 0.5)
     )
-    unfinished = share < F.when(limit, AT_LIMIT).otherwise(F.col("threshold"))
-    is_cut = F.when(F.col("ending").isin("partial", "unfinished"), True).when(marked, F.when(limit & F.col("marks"), True).otherwise(share < F.col("threshold"))).when(bare | (F.col("ending") == "inside"), unfinished).otherwise(False)
-    return rows.join(small_side(base), "source", "left").select("doc_id", "source", "ending", "at_limit", "share", is_cut.alias("is_cut"))
+    base = cut(base)
+    counts = ["n_cut", "n_whole", *(f"{k}_{c}" for k in ("cut", "whole") for c in CLASSES)]
+    total = base.agg(*(F.sum(c).alias(f"all_{c}") for c in counts))
+
+    def rate(kind: str, c: str, one: int) -> Column:
+        """Share of the source's texts of a kind that leave ``c`` open, ``one`` of them set apart, with a weight for all sources.
+
+        What looks whole is counted without the cuts that are to be expected behind a sentence.
+        """
+
+        def n(prefix: str) -> Column:
+            seen = F.col(f"{prefix}{kind}_{c}") - one
+            return seen if kind == "cut" else F.greatest(seen - F.col(f"{prefix}cut_{c}") / SEGMENT_CHARS, F.lit(0.0))
+
+        pooled = (n("all_") + 0.5) / (F.col(f"all_n_{kind}") - one + 1)
+        return F.try_divide(n("") + POOLED * pooled, F.col(f"n_{kind}") - one + POOLED)
+
+    def ratios(cut_one: int, whole_one: int) -> Column:
+        return F.create_map(*(x for c in CLASSES for x in (F.lit(c), F.try_divide(rate("cut", c, cut_one), rate("whole", c, whole_one)))))
+
+    # a text is never held against what it counted itself
+    base = cut(base.crossJoin(F.broadcast(total)).select("source", "marks", "threshold", "odds_bare", "odds_limit", "odds_free", ratios(0, 0).alias("ratios"), ratios(1, 0).alias("other_cuts"), ratios(0, 1).alias("other_wholes")))
+    own = F.when(cut_like, F.col("other_cuts")).when(whole_like, F.col("other_wholes")).otherwise(F.col("ratios"))
+    rated = rows.join(small_side(base), "source", "left").withColumn("own", own).withColumn("ratio", F.coalesce(F.array_max(F.transform("open", lambda c: F.try_element_at("own", c))), F.lit(1.0)))
+    ratio = F.col("ratio")
+    odds = F.col("odds_bare") * ratio
+    free = F.greatest(F.col("threshold") * F.least(ratio, F.lit(1.0)), odds / (1 + odds))
+    free = F.when(ratio == 1, F.col("threshold")).otherwise(free)
+    at = F.when(limit, AT_LIMIT * ratio / (1 - AT_LIMIT + AT_LIMIT * ratio)).otherwise(free)
+    behind = (F.size("open") > 0) & (ratio * F.when(limit, F.col("odds_limit")).otherwise(F.col("odds_free")) > 1)
+    is_cut = F.when(broken, True).when(marked, F.when(limit & F.col("marks"), True).otherwise(share < free)).when(bare, share < at).otherwise(behind)
+    return rated.select("doc_id", "source", "ending", "at_limit", "share", "open", "ratio", is_cut.alias("is_cut"))
 
 
 def truncated(documents: DataFrame) -> DataFrame:

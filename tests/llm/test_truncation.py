@@ -35,6 +35,41 @@ def test_tokens() -> None:
     assert tokens("").words == [] and len(tokens("x" * 1000).words) == 16
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("a (b) [c] {d}", []), ("a (b", ["bracket"]), ("sad :( and ;-( so", []), ("a) one\nb) two", []), ("[url=x]y[/url] <i>z</i><br><p>", []), ("<i>z", ["tag"]), ("[color=red]z.", ["tag"]),
+        ("[code]if (x) {", ["code"]), ("[code]if (x) {[/code]", []), ("```\n(\n```", []), ("```\nx", ["code"]), ('he said "so" and', []), ('he said "so and', ["mark"]), ('5" wide', []), ("„so“ er", []), ("„so er", ["mark"]), ("“so” it", []), ("« si » et « non", ["mark"]),
+        ("[quote]a (b[/quote] c", []), ("> a (b\nc", []), ("&gt; a (b\nc", []), ("[quote]a [quote]b st […][/quote] c", []), ("[quote]a [quote]b.[/quote] c", ["quote"]), ("「終わり", ["bracket"]), ("", []),
+    ],
+)
+def test_open_at_end(text: str, want: list[str]) -> None:
+    assert truncation.open_at_end(text) == want
+
+
+def test_open_structures_decide(spark) -> None:
+    """Cut behind a sentence inside code that the source always closes; open quotes are nothing in a source that leaves them open."""
+    rng = random.Random(11)
+    rows, cut, loose = [], set(), set()
+    for i, text, _ in corpus(rng, 3000):
+        body = text.split("\n")[0]
+        source = "tidy" if i % 2 else "loose"
+        if source == "loose" and i % 10 == 0:
+            text = f"[quote]{text}"
+            loose.add(i)
+        elif i % 6 == 1:
+            at = rng.randint(20, len(body) - 2)
+            text = f"{body} [code]{body[: at + (body[at - 1] == ' ')]}"
+            if ending(text) == "terminated":
+                cut.add(i)
+        elif source == "tidy":
+            text = f"[code]{body}[/code] {text}"
+        rows.append((i, text, source))
+    found = {r.doc_id for r in truncation.truncated(spark.createDataFrame(rows, DOC)).collect()}
+    assert cut and cut <= found
+    assert not loose & found
+
+
 def corpus(rng: random.Random, n: int) -> list[tuple[int, str, str]]:
     subjects = ["the old pump", "my second lathe", "a borrowed kettle", "our workshop roof", "the garden robot", "that brass valve"]
     verbs = ["keeps slipping", "came loose", "started to rattle", "needs more oil", "turned out fine", "arrived broken"]
