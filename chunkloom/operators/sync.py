@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Columns of a scan: path, size, mtime; of its cache also cached_at and deleted. ``key`` columns come first.
@@ -30,6 +30,40 @@ def next_cache(scan: DataFrame, cache: DataFrame, keys: list[str], now: int | Co
     return seen.unionByName(old.select(*keys, "size", "mtime", "cached_at", "deleted"))
 
 
+def _sightings(scans: DataFrame, keys: list[str]) -> DataFrame:
+    """Each path of each scan, with what the cache held of it before (``c``), when it was seen last and when next.
+
+    As in ``scan_diff`` a null size or mtime leaves what was cached. One window over a path's scans
+    stands for the chain of caches, so no scan waits for the one before.
+    """
+    own = Window.partitionBy(*keys).orderBy("seq")
+    past = own.rowsBetween(Window.unboundedPreceding, -1)
+    kept = [F.last(c, ignorenulls=True).over(past).alias(f"cached_{c}") for c in ("size", "mtime")]
+    rows = scans.select(*keys, "seq", "n_snapshots", "size", "mtime", *kept, F.lag("seq").over(own).alias("seen"), F.coalesce(F.lead("seq").over(own), "n_snapshots").alias("next"))
+    same = F.col("size").eqNullSafe(F.col("cached_size")) & F.col("mtime").eqNullSafe(F.col("cached_mtime"))
+    change = F.when((F.col("seen") == F.col("seq") - 1) & same, "unchanged").otherwise("changed")
+    return rows.select(*keys, "seq", "n_snapshots", "next", F.coalesce("size", "cached_size").alias("size"), F.coalesce("mtime", "cached_mtime").alias("mtime"), change.alias("change"))
+
+
+def scan_diffs(scans: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, seq, size, mtime, change) of every scan after the first against the cache of all before it.
+
+    ``scans`` has one row per path and scan, with ``seq`` from 0 and ``n_snapshots`` of its tree.
+    """
+    seen = _sightings(scans, keys)
+    out = [*keys, "seq", "size", "mtime", "change"]
+    gone = seen.where((F.col("next") > F.col("seq") + 1)).withColumn("seq", F.col("seq") + 1).withColumn("change", F.lit("deleted"))
+    return seen.where("seq > 0").select(*out).unionByName(gone.select(*out))
+
+
+def caches(scans: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, seq, size, mtime, cached_at, deleted): the cache after every scan but the first; scan ``seq`` is made at ``seq`` + 1."""
+    seen = _sightings(scans, keys)
+    held = seen.select(*keys, "size", "mtime", F.col("seq").alias("at"), F.explode(F.sequence(F.col("seq"), F.col("next") - 1)).alias("seq"))
+    deleted = F.col("seq") > F.col("at")
+    return held.where("seq > 0").select(*keys, "seq", "size", "mtime", (F.col("at") + F.when(deleted, 2).otherwise(1)).cast("int").alias("cached_at"), deleted.alias("deleted"))
+
+
 def probe(wanted: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, outcome): ``hit`` if size, mtime and inode are those cached, ``stale`` if not, ``miss`` without an entry."""
     c = cache.select(*keys, F.struct("size", "mtime", "inode").alias("c"))

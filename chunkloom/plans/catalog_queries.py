@@ -443,6 +443,30 @@ def cache_hit_rate(spark: SparkSession, sf: str) -> DataFrame:
     return sync.probe_rates(cache_probe(spark, sf))
 
 
+@query()
+def scan_diff_all(spark: SparkSession, sf: str) -> DataFrame:
+    """``scan_diff`` of every scan after the first of each tree, by ``seq``."""
+    return sync.scan_diffs(inputs.scans(spark, sf), _KEYS)
+
+
+@query()
+def scan_cache_next_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The cache after every scan but the first of each tree, by ``seq``."""
+    return sync.caches(inputs.scans(spark, sf), _KEYS)
+
+
+@query(inputs.SCANS_SQL + ", c AS (SELECT * REPLACE (seq + 1 AS seq) FROM scans) SELECT repo_path, seq, path, CASE WHEN c.n_snapshots IS NULL THEN 'miss' WHEN w.size = c.size AND w.mtime = c.mtime AND w.inode = c.inode THEN 'hit' ELSE 'stale' END AS outcome FROM (SELECT * FROM scans WHERE seq > 0) w LEFT JOIN c USING (repo_path, seq, path)")
+def cache_probe_all(spark: SparkSession, sf: str) -> DataFrame:
+    """``cache_probe`` of every scan after the first against the one before."""
+    scans = cut(inputs.scans(spark, sf))
+    return sync.probe(scans.where("seq > 0"), scans.withColumn("seq", F.col("seq") + 1), ["repo_path", "seq", "path"])
+
+
+@query()
+def cache_hit_rate_all(spark: SparkSession, sf: str) -> DataFrame:
+    return sync.probe_rates(cache_probe_all(spark, sf))
+
+
 @query("SELECT archive_name, item_id, attrs.atime AS cached_at FROM items WHERE attrs.atime >= 1735689600 - 31536000")
 def cache_evict(spark: SparkSession, sf: str) -> DataFrame:
     """Entries cached at their access time, a year old at most at the start of 2025."""

@@ -136,6 +136,24 @@ def test_scan_diff(make) -> None:
     assert {r.change for r in sync.scan_diff(scan.limit(0), cache, ["path"]).collect()} == {"deleted"}
 
 
+def test_scans_of_all_snapshots(make) -> None:
+    """Each scan against the caches folded one by one from all before it."""
+    held = [{"a": (1, 1), "b": (1, 1), "c": (1, None)}, {"a": (1, 1), "c": (None, 2)}, {"a": (2, 1), "d": (1, 1)}, {"b": (1, 1), "d": (1, 1)}, {"a": (2, 1), "b": (1, 1)}]
+    scans = make([("r", n, len(held), p, *v) for n, x in enumerate(held) for p, v in x.items()], "repo_path string, seq int, n_snapshots int, path string, size bigint, mtime bigint")
+    keys = ["repo_path", "path"]
+    diffs, caches = [{tuple(r) for r in f(scans, keys).collect()} for f in (sync.scan_diffs, sync.caches)]
+    cache, want, after = make([], "repo_path string, path string, size bigint, mtime bigint, cached_at int, deleted boolean"), set(), set()
+    for n in range(len(held)):
+        scan = scans.where(F.col("seq") == n)
+        if n:
+            want |= {(r.repo_path, r.path, n, r.size, r.mtime, r.change) for r in sync.scan_diff(scan, cache, keys).collect()}
+        cache = make([tuple(r) for r in sync.next_cache(scan, cache, keys, n + 1).collect()], "repo_path string, path string, size bigint, mtime bigint, cached_at int, deleted boolean")
+        if n:
+            after |= {(r.repo_path, r.path, n, r.size, r.mtime, r.cached_at, r.deleted) for r in cache.collect()}
+    assert diffs == want and {r[2] for r in diffs} == {1, 2, 3, 4}
+    assert caches == after
+
+
 def test_cache_probe(make) -> None:
     cache = make([("p", 1000, 12345, 67890)], "path string, size bigint, mtime bigint, inode bigint")
     ask = make([("p", 1000, 12345, 67890), ("q", 1, 1, 1)], "path string, size bigint, mtime bigint, inode bigint")
