@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +72,7 @@ def folder_edges(items: DataFrame) -> DataFrame:
     return steps.select("archive_name", parent.alias("parent"), path.alias("child")).distinct()
 
 
-def reachable_nodes(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def reachable_nodes(edges: DataFrame) -> DataFrame:
     """(archive_name, node, depth) reachable from the root of each archive, breadth first.
 
     A node is visited once, at its least depth; ends when a round finds nothing new. Each round
@@ -80,10 +82,9 @@ def reachable_nodes(edges: DataFrame, rounds: int = 64) -> DataFrame:
 
     edges = cut(edges)
     seen = frontier = cut(edges.select("archive_name").distinct().select("archive_name", F.lit("").alias("node"), F.lit(0).alias("depth")))
-    for depth in range(1, rounds + 1):
+    for depth in count(1):
         step = frontier.select("archive_name", F.col("node").alias("parent")).join(edges, ["archive_name", "parent"]).select("archive_name", F.col("child").alias("node")).distinct()
         frontier = cut(step.join(seen, ["archive_name", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
-    raise ValueError(f"trees deeper than {rounds}")

@@ -122,6 +122,11 @@ def test_reachability(make) -> None:
     assert verify.reachable_nodes(edges.limit(0)).count() == 0
 
 
+def test_deep_tree(make) -> None:
+    edges = make([("a", str(n) if n else "", str(n + 1)) for n in range(65)], "archive_name string, parent string, child string")
+    assert {(r.node, r.depth) for r in verify.reachable_nodes(edges).collect()} == {(str(n) if n else "", n) for n in range(66)}
+
+
 # --- scans -----------------------------------------------------------------------------------
 
 SCAN, CACHE = "path string, size bigint, mtime bigint", "path string, size bigint, mtime bigint, cached_at bigint, deleted boolean"
