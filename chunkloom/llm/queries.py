@@ -53,7 +53,13 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.truncation_by_source(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p7_pack, p7_pack_each, p7_fill, p8_mix, p8_shares, p9_found, p9_rates)}
+def p9_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """Each cut post with what told it: how it ends, what is open there, and the finding."""
+    found = truncation.judged(table(spark, sf, "documents")).where("is_cut")
+    return found.select("doc_id", "source", "ending", F.array_join("open", ",").alias("left_open"), "at_limit", "reason")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p7_pack, p7_pack_each, p7_fill, p8_mix, p8_shares, p9_found, p9_rates, p9_reasons)}
 
 #: None of these can be stated in SQL: the tokenizer and the corpus walk are no SQL functions.
 SQL: dict[str, str] = {}

@@ -1,27 +1,25 @@
 """Texts that lost their end to a field limit or a broken transfer.
 
-A stack automaton walks each whole text and keeps the open brackets, quotation marks, tags and
-code blocks. How the text ends is read off its last characters: inside a tag, an entity or a
-broken multibyte sequence, with a mark of shortening, with a terminator, or bare. What is open at
-the end shifts the verdict for each kind of end: how often texts that look cut leave that open is
-held against how often whole texts of the source do, so a source that never leaves a code block
-open gives one away even behind a sentence. A bare end needs judging. For it the words of
-the last segment are looked up in all documents: how often the same words are followed by the
-end of a segment, by more words, or by more letters of the last word. The share of ends is held
-against the source's own baseline: how often its posts end without a terminator and how
-often they are cut. At a field limit of the source, found as a spike or cliff in the lengths of
-its posts in characters or bytes, a bare end counts as a cut unless the words nearly always end.
-
-Words are looked up from the longest context down. Only words that end some text are counted:
-they are marked in bitmaps of a fixed size, so the count shuffles a small part of the corpus
-and no key is sent to the driver.
+A stack automaton walks each whole text and keeps the open quotes, brackets, quotation marks, tags
+and code blocks. How the text ends is read off its end: inside a tag, an entity, an escape or a
+broken multibyte sequence, behind a mark after which more must follow, with a mark of shortening,
+with a terminator, or without one (bare). A text with something open behind its terminator is
+a cut unless that is a habit of its source. For bare ends, what is open raises the odds: how often texts
+that look cut leave that open is held against how often whole texts of the source do. A missing terminator is held against the baseline of the source: the share of its
+bare ends that are cuts, apart for posts at a field limit and others, and how its whole posts end.
+
+How much a bare end looks like the end of a thought is told by a logistic model over its last
+words. It is fitted on a bounded sample of texts (``FIT_POSTS``), which label themselves: the
+places where segments end against places drawn at random. Ends whose words the model never met
+carry no weight, so the source's baseline decides them. Everything else, automaton, baselines and
+field limits, covers all texts. The texts are walked once and not shuffled.
 """
 
 from __future__ import annotations
 
 import html
+import random
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,41 +31,43 @@ from pyspark.sql import functions as F
 from chunkloom.model import strip
 from chunkloom.session import cut, small_side, spread
 
-#: Bits of the bitmaps that mark the words and contexts at text ends.
-MARK_BITS = 24
-#: Words (or characters of scripts without blanks) that are looked up, longest first.
-WORD_ORDERS, CHARACTER_ORDERS = (6, 4, 3, 2, 1), (9, 7, 5, 3, 1)
-#: A lookup decides if it met an end and the words this often, or the words so often that no end is telling.
-ENOUGH, TELLING = 3, 60
-#: A bare end of a text speaks for the words if at least so many other texts end alike.
-ALIKE = 4
+#: Texts at most that the end model is fitted on, and places at most that each gives of either kind.
+FIT_POSTS, FIT_PLACES = 20_000, 8
+#: Weights of the model, and distinct texts in which a feature must occur.
+WEIGHT_BITS, FEATURE_TEXTS = 21, 3
+#: Passes of the fit, its step and its penalty.
+EPOCHS, STEP, PENALTY = 4, 0.3, 1e-6
+#: One text in so many is left out of the fit and sets its scale.
+HELD_OUT = 5
 #: Characters between two segment ends, for the odds of a cut that falls on a segment end.
 SEGMENT_CHARS = 70.0
-#: Share of ends above which a bare end at a field limit is whole.
-AT_LIMIT = 0.7
-#: Characters at the end that tell how a text ends; no tag, entity or emoticon is longer.
-END_CHARS = 4000
+#: Scores are kept as whole numbers within +-LOUD; only those below zero speak for a cut.
+LOUD = 12
+#: Ratio from which a score tells a cut by itself, and weight, in posts, of all sources beside one.
+DECISIVE, BACKED = 20.0, 50.0
+#: Share of the ends of a source that leave a structure open from which that is its habit.
+HABIT = 0.15
+#: Log-likelihood ratio above which posts of one length are a field limit; share of them that must look unfinished.
+LIMIT_EVIDENCE, LIMIT_UNFINISHED = 12.0, 0.25
+#: Lengths below a limit that posts may have if it keeps words whole.
+WORD_DEPTH = 12
 #: Marks that a shortened text ends with (fixed values).
 MARKS = ("…", "...", "[more]", "[…]", "(more)", "[...]")
 
-#: A word is cut at 64 characters, so its beginnings stay few.
-_TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]|[\p{L}\p{N}][\p{L}\p{M}\p{N}'’_-]{0,63}")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
-_DIGIT = regex.compile(r"\d")
-#: A terminator ends a segment if something other than the next word follows it.
-_SEGMENT_END = regex.compile(r"[.!?…](?=.)|[。！？\n\r<>\[\]\p{Extended_Pictographic}]", regex.DOTALL)
-_TERMINATOR = regex.compile(r"[.!?…。！？]")
-_ENDED = regex.compile(r"[.!?。！？][\"'”’»)\]]*\s*\Z")
-_CLOSED_TAG = regex.compile(r"(?:\[/?[\w]+(?:=[^\[\]\n]*)?\]|</?[\w]+(?:\s[^<>\n]*)?/?>|```|\[[\p{L} ]+\])\s*\Z")
-_PARTIAL_TAG = regex.compile(r"(?:<(?:/?[A-Za-z][A-Za-z0-9]*(?:\s[^<>\n]*)?)?|\[(?:/?[A-Za-z]*(?:=[^\[\]\n]*)?)?)\Z")
+_FOLDED = str.maketrans("123456789*•", "000000000--")
+#: A terminator ends a segment if a blank follows it. Searched backwards.
+_BREAK = regex.compile(r"(?r)[.!?…](?=\s)|[。！？\n\r<>\[\]\p{Extended_Pictographic}]")
+#: Where segments end in the midst of a text.
+_SEGMENT_END = regex.compile(r"[\p{L}\p{N}](?:[.!?](?=\s)|[。！？]|(?=[ \t]*[\n\r]))")
+_ENDING_FOLLOWS = regex.compile(r"[^\S\n\r]*(?:[.!?…。！？\n\r]|\Z)")
+_CLOSERS = "\"'”’»)] \t\n\r"
+_TERMINAL = _CLOSERS + ".!?。！？"
+_TAG_AT_END = regex.compile(r"\[/?[\w]+(?:=[^\[\]\n]*)?\]\s*\Z|</?[\w]+(?:\s[^<>\n]*)?/?>\s*\Z|\[[\p{L} ]+\]\s*\Z")
+_PARTIAL_TAG = regex.compile(r"<(?:/?[A-Za-z][A-Za-z0-9]*(?:\s[^<>\n]*)?)?\Z|\[(?:/?[A-Za-z]*(?:=[^\[\]\n]*)?)?\Z")
 _PARTIAL_ENTITY = regex.compile(r"&(?:#?[A-Za-z0-9]{0,7})\Z")
 _PARTIAL_ESCAPE = regex.compile(r"(?:\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|%(?:[0-9A-F])?)\Z")
 _PICTURE = regex.compile(r"(?:\p{Extended_Pictographic}️?|(?<![\p{L}\p{N}])(?:[:;=][-^']?[DdPpOo)(/\\|3]|[xX]D|\^_?\^|<3))\s*\Z")
-_TAG = regex.compile(r"\[(?P<off>/)?(?P<square>quote|code|b|i|u|url|size)(?:=[^\[\]\n]*)?\]|<(?P<end>/)?(?P<angle>blockquote|cite|pre|code|b|i)(?:\s[^<>\n]*)?>|(?P<fence>```)", regex.IGNORECASE)
-_ANY_TAG = regex.compile(r"\[/?[A-Za-z]+(?:=[^\[\]\n]*)?\]|</?[A-Za-z]+[0-9]?(?:\s[^<>\n]*)?/?>")
-_QUOTED_LINE = regex.compile(r"^(?:>|&gt;)")
-_URL = regex.compile(r"\bhttps?://[^\s\[\]<>\"]+")
-_LIST = regex.compile(r"[ \t>]*[-*•][ \t]+")
 #: A bare text never ends with one of these, nor with the mark of a list item or quote alone.
 _UNFINISHED = regex.compile(r"(?:[,(、]|\s[:;]|\n[ \t>]*(?:[-*•]|>))\s*\Z")
 _QUOTING = {"quote", "blockquote"}
@@ -85,98 +85,26 @@ _DOWN = dict(zip(")]}」』）】》", "([{「『（【《", strict=True))
 CLASSES = ("quote", "code", "tag", "bracket", "mark")
 _CLASS = {"quote": "quote", "blockquote": "quote", "cite": "quote", "code": "code", "pre": "code", "```": "code"} | dict.fromkeys(_DOWN.values(), "bracket") | dict.fromkeys("“„«»\"", "mark")
 _SHORTENED = regex.compile(r"(?:…|\.\.\.|\[(?:…|\.\.\.|more|snip)\]|\(more\))\s*\Z", regex.IGNORECASE)
-#: Weight, in posts, of the rates over all sources beside those of a source.
-POOLED = 50
+_PAIRS = {"“": "„", "”": "“„", "»": "«", "«": "»", '"': '"'}
 
 
-def _key(*parts: str) -> int:
-    return xxhash.xxh64_intdigest("\x1f".join(parts))
+class _Frame:
+    """Brackets and quotation marks opened since a tag; they are closed only there."""
 
+    __slots__ = ("held", "name", "open")
 
-@dataclass
-class Tokens:
-    """Words of a text in order: plain form, segment start, what ends the segment after each, if quoted."""
+    def __init__(self, name: str) -> None:
+        self.name, self.open, self.held = name, [], {}
 
-    words: list[str]
-    starts: list[bool]
-    ends: list[bool]
-    quoted: list[bool]
-    open_tags: list[str]
+    def push(self, mark: str) -> None:
+        self.open.append(mark)
+        self.held[mark] = self.held.get(mark, 0) + 1
 
-
-def tokens(text: str) -> Tokens:
-    """Walk the text once, with a stack of open tags.
-
-    The segment end after a quoted word counts only if a terminator makes it: a line end in a
-    quote may be where the quoted text was cut.
-    """
-    text = html.unescape(regex.sub(r"&(?:nbsp|amp|lt|gt|quot);", lambda m: {"&nbsp;": " ", "&amp;": "&"}.get(m[0], m[0]), text)) if "&" in text else text
-    tags = [(m.start(), m.end(), (m["square"] or m["angle"] or "```").lower(), bool(m["off"] or m["end"])) for m in _TAG.finditer(text)]
-    spans = [m.span() for m in _ANY_TAG.finditer(text)] if "[" in text or "<" in text else []
-    stack, at_tag, at_span, depth = [], 0, 0, 0
-    words, starts, ends, quoted = [], [], [], []
-    new, last, line_end, line_quoted = True, 0, -1, False
-    urls = [m.end() for m in _URL.finditer(text)] if "://" in text else []
-    for m in _TOKEN.finditer(text):
-        s = m.start()
-        while at_span < len(spans) and spans[at_span][1] <= s:
-            at_span += 1
-        if at_span < len(spans) and spans[at_span][0] < s:
-            continue  # the words of a tag are not of the text
-        while at_tag < len(tags) and tags[at_tag][0] <= s:
-            _, _, name, off = tags[at_tag]
-            if name == "```":
-                stack.remove(name) if name in stack else stack.append(name)
-            elif not off:
-                stack.append(name)
-                depth += name in _QUOTING
-            elif name in stack:
-                while stack:
-                    top = stack.pop()
-                    depth -= top in _QUOTING
-                    if top == name:
-                        break
-            at_tag += 1
-        if s > line_end:
-            line_start = text.rfind("\n", 0, s) + 1
-            line_end = text.find("\n", s)
-            line_end = len(text) if line_end < 0 else line_end
-            line_quoted = bool(_QUOTED_LINE.match(text[line_start : line_start + 4]))
-            bullet = _LIST.match(text, line_start, s)
-        else:
-            bullet = None
-        if words:
-            gap = text[last:s]
-            while urls and urls[0] < last:
-                urls.pop(0)
-            # an address ends where its characters end
-            new = (gap != " " and bool(_SEGMENT_END.search(gap))) or bool(urls and urls[0] <= s and last <= urls[0])
-            ends.append(new and (not quoted[-1] or bool(_TERMINATOR.search(gap.replace("…", "")))))
-        if bullet and s == bullet.end():
-            new = True
-            words.append("<li>")
-            starts.append(True)
-            ends.append(False)
-            quoted.append(line_quoted or depth > 0)
-            new = False
-        word = m[0].lower()
-        words.append(word if word.isalpha() else _DIGIT.sub("0", word))
-        starts.append(new)
-        quoted.append(line_quoted or depth > 0)
-        last = m.end()
-    while at_tag < len(tags):
-        _, _, name, off = tags[at_tag]
-        if off and name in stack:
-            while stack and stack.pop() != name:
-                pass
-        elif name == "```":
-            stack.remove(name) if name in stack else stack.append(name)
-        elif not off:
-            stack.append(name)
-        at_tag += 1
-    if words:
-        ends.append(True)
-    return Tokens(words, starts, ends, quoted, stack)
+    def close(self, mark: str) -> None:
+        top = None
+        while top != mark:
+            top = self.open.pop()
+            self.held[top] -= 1
 
 
 def open_at_end(text: str) -> list[str]:
@@ -184,87 +112,81 @@ def open_at_end(text: str) -> list[str]:
 
     A closing tag closes all that was opened inside it; behind a mark of shortening it closes the
     quotes around it as well, as quoted text that was shortened lost their ends. Nothing is read in
-    quoted lines, and in code only the end of the code.
+    quoted lines, and in code only the end of the code. Takes time in proportion to the text.
     """
     if "&" in text:
         text = html.unescape(text)
-    stack: list[str] = []
+    frames, tags = [_Frame("")], {}
+
+    def start(name: str) -> None:
+        frames.append(_Frame(name))
+        tags[name] = tags.get(name, 0) + 1
 
     def close(name: str) -> None:
-        while stack.pop() != name:
-            pass
+        top = None
+        while top != name:
+            top = frames.pop().name
+            tags[top] -= 1
 
     for m in _STRUCTURE.finditer(text):
-        if m["line"]:
+        kind, frame = m.lastgroup, frames[-1]
+        if kind == "line":
             continue
-        name = (m["square"] or m["angle"] or m["fence"] or m[0]).lower()
-        if stack and _CLASS.get(stack[-1]) == "code" and not (name == stack[-1] and (m["fence"] or m["off"] or m["end"])):
+        name = (m["square"] or m["angle"] or m[0]).lower() if kind in ("square", "angle") else m[0]
+        off = kind in ("square", "angle") and bool(m["off"] or m["end"])
+        if _CLASS.get(frame.name) == "code" and not (name == frame.name and (off or kind == "fence")):
             continue
-        if m["square"] or m["angle"]:
-            if not (m["off"] or m["end"]):
-                stack.append(name)
-            elif name in stack:
+        if kind == "fence":
+            close(name) if tags.get(name) else start(name)
+        elif kind in ("square", "angle"):
+            if not off:
+                start(name)
+            elif tags.get(name):
                 close(name)
-                if name in _QUOTING and name in stack and _SHORTENED.search(text, max(0, m.start() - 20), m.start()):
-                    close(stack[next(i for i, x in enumerate(stack) if x in _QUOTING)])
-        elif m["fence"]:
-            close(name) if name in stack else stack.append(name)
-        else:
-            # a bracket or quotation mark closes only what was opened since the last tag
-            own = next((i for i in range(len(stack), 0, -1) if _CLASS.get(stack[i - 1]) not in ("bracket", "mark")), 0)
-            if m["up"]:
-                stack.append(name)
-            elif m["down"]:
-                if _DOWN[name] in stack[own:]:
-                    close(_DOWN[name])
-            else:
-                opened = next((x for x in {"“": "„", "”": "“„", "»": "«", "«": "»", '"': '"'}.get(name, "") if x in stack[own:]), None)
-                before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
-                if opened:
-                    close(opened)
-                elif name in "“„" or name in '«»"' and not before.strip() and (name == "«" or after.strip()):
-                    stack.append(name)
-    return sorted({_CLASS.get(x, "tag") for x in stack})
-
-
-def contexts(t: Tokens, i: int) -> Iterator[tuple[int, str]]:
-    """(order, context) of word ``i``, longest first; a context never reaches beyond the segment's start."""
-    orders = CHARACTER_ORDERS if _UNSPACED.match(t.words[i]) else WORD_ORDERS
-    begin = i
-    while begin > 0 and not t.starts[begin] and i - begin < orders[0]:
-        begin -= 1
-    full = False
-    for order in orders:
-        first = i - order + 1
-        if first < begin or (first == begin and t.starts[begin] and order > 1):
-            if not full:
-                full = True
-                yield order, "\x1e" + " ".join(t.words[begin:i])
+                if name in _QUOTING and tags.get(name) and _SHORTENED.search(text, max(0, m.start() - 20), m.start()):
+                    while any(tags.get(x) for x in _QUOTING):
+                        close(next(f.name for f in reversed(frames) if f.name in _QUOTING))
+        elif kind == "up":
+            frame.push(name)
+        elif kind == "down":
+            if frame.held.get(_DOWN[name]):
+                frame.close(_DOWN[name])
         else:
-            yield order, " ".join(t.words[first:i])
+            opened = next((x for x in _PAIRS.get(name, "") if frame.held.get(x)), None)
+            before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+            if opened:
+                frame.close(opened)
+            elif name in "“„" or (name in '«»"' and not before.strip() and (name == "«" or after.strip())):
+                frame.push(name)
+    classes = {_CLASS.get(f.name, "tag") for f in frames[1:]}
+    return sorted(classes.union(*({_CLASS[x] for x in set(f.open)} for f in frames)))
 
 
 def ending(text: str) -> str:
     """How a text ends: ``partial`` (in a tag, entity, escape or multibyte sequence), ``marked``,
-    ``terminated``, ``tag``, ``picture``, ``unfinished`` (after a mark that more must follow) or ``bare``."""
-    end = text.rstrip()[-END_CHARS:]
-    if end.endswith("�"):
+    ``terminated``, ``tag``, ``picture``, ``unfinished`` (behind a mark that more must follow) or ``bare``."""
+    end = text.rstrip()
+    if end.endswith("\ufffd"):
         return "partial"
-    for mark in MARKS:
-        if end.endswith(mark):
-            bare = end[: -len(mark)]
-            if _PARTIAL_TAG.search(bare) or _PARTIAL_ENTITY.search(bare):
-                return "partial"
-            return "marked"
-    if _PICTURE.search(end):
+    bare = unmarked(end)
+    if len(bare) < len(end):
+        return "partial" if _in_tag(bare) or _PARTIAL_ENTITY.search(bare, max(0, len(bare) - 9)) else "marked"
+    near = max(0, len(end) - 12)
+    if _PICTURE.search(end, near):
         return "picture"
-    if _PARTIAL_TAG.search(end) or _PARTIAL_ENTITY.search(end) or _PARTIAL_ESCAPE.search(end):
+    if _in_tag(end) or _PARTIAL_ENTITY.search(end, near) or _PARTIAL_ESCAPE.search(end, near):
         return "partial"
-    if _ENDED.search(end):
+    if end.rstrip(_CLOSERS)[-1:] in tuple(".!?。！？"):
         return "terminated"
-    if _CLOSED_TAG.search(end):
+    at = max(end.rfind("["), end.rfind("<"))
+    if end.endswith("```") or (at >= 0 and _TAG_AT_END.match(end, at)):
         return "tag"
-    return "unfinished" if _UNFINISHED.search(end) else "bare"
+    return "unfinished" if _UNFINISHED.search(end, end.rfind("\n") if "\n" in end else near) else "bare"
+
+
+def _in_tag(text: str) -> bool:
+    at = max(text.rfind("["), text.rfind("<"))
+    return at >= 0 and bool(_PARTIAL_TAG.match(text, at))
 
 
 def unmarked(text: str) -> str:
@@ -276,123 +198,139 @@ def unmarked(text: str) -> str:
     return end
 
 
-def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text how it ends and what is open there; per bare or marked end the keys of its last words by order."""
+def features(text: str, end: int) -> list[int]:
+    """Hashed features of the words before ``end``: last words by number, the whole segment, last letters."""
+    found = _BREAK.search(text, 0, max(end - 1, 0))
+    segment = text[found.end() if found else 0 : end].lower().translate(_FOLDED).strip()
+    if not segment:
+        return []
+    if _UNSPACED.match(segment, len(segment) - 1):
+        parts = [f"c{segment[-k:]}" for k in (1, 2, 3, 5, 7, 9) if k <= len(segment)]
+        parts += [f"s{segment}"] if len(segment) <= 24 else []
+    else:
+        words = segment.rsplit(None, 6)
+        last = words[-6:]
+        parts = [f"w{' '.join(last[-k:])}" for k in (1, 2, 3, 4, 6) if k <= len(last)]
+        parts += [f"s{' '.join(words)}"] if len(words) <= 6 else []
+        parts += [f"l{last[-1][-k:]}" for k in (2, 4) if k < len(last[-1])]
+    return [1 + xxhash.xxh32_intdigest(x) % ((1 << WEIGHT_BITS) - 1) for x in parts]
+
+
+#: Features of one place at most.
+WIDTH = 8
+
+
+def _random_place(rng: random.Random, text: str) -> int:
+    """A place where a cut leaves a bare end, or 0 if the one drawn is none."""
+    p = rng.randrange(1, len(text)) if len(text) > 1 else 0
+    return p if p and text[p - 1].isalnum() and not _ENDING_FOLLOWS.match(text, p) else 0
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labelled places of the sampled texts: ends of segments and of texts (true), places drawn at random.
+
+    The ends of whole texts, without their terminators, and the random places set the scale of the scores.
+    """
     for batch in batches:
-        kinds, opened, keys, ctx = [], [], [], []
-        for text in batch.column("text").to_pylist():
-            kind = ending(text)
-            opened.append(open_at_end(_PARTIAL_TAG.sub("", unmarked(text)) if kind in ("partial", "marked") else text))
-            own, own_ctx = [], []
-            if kind in ("bare", "marked"):
-                t = tokens(unmarked(text))
-                if t.words:
-                    for order, context in contexts(t, len(t.words) - 1):
-                        own_ctx.append(_key("c", context))
-                        own.append(_key("w", context, t.words[-1]))
-                else:
-                    kind = "wordless"
-            kinds.append(kind)
-            keys.append(np.array(own, dtype=np.uint64).view(np.int64).tolist())
-            ctx.append(np.array(own_ctx, dtype=np.uint64).view(np.int64).tolist())
-        kept = batch.select(["doc_id", "source", "n_chars", "n_bytes", "text_hash"])
-        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(kinds, pa.string()), pa.array(opened, pa.list_(pa.string())), pa.array(keys, pa.list_(pa.int64())), pa.array(ctx, pa.list_(pa.int64()))], names=[*kept.schema.names, "ending", "open", "keys", "contexts"])
-
-
-def _bitmap(hashes: DataFrame) -> bytes:
-    """Bitmap of ``MARK_BITS`` bits of a column of hashes; its size does not depend on the input."""
-    bit = F.pmod("hash", F.lit(1 << MARK_BITS)) + 1
-    rows = hashes.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    marks = bytearray((1 << MARK_BITS) // 8)
-    for r in rows:
-        marks[(r["part"] - 1) * 4096 : r["part"] * 4096] = r["bits"]
-    return bytes(marks)
-
-
-class _Marked:
-    """Marked words by marked context, with what was looked up before at hand."""
-
-    KEPT = 400_000
-
-    def __init__(self, words_at: bytes, contexts_at: bytes) -> None:
-        self.words_at, self.contexts_at = words_at, contexts_at
-        self._tables: dict[str, dict[str, tuple[tuple[int, bool], ...]] | None] = {}
-        self._room = self.KEPT
-
-    @staticmethod
-    def _bit(marks: bytes, key: int) -> int:
-        m = key & ((1 << MARK_BITS) - 1)
-        return marks[m >> 3] >> (m & 7) & 1
-
-    def table(self, context: str) -> dict[str, tuple[tuple[int, bool], ...]] | None:
-        """Words looked up in a context; null if no text ends in it."""
-        try:
-            return self._tables[context]
-        except KeyError:
-            self._room -= 1
-            if self._room < 0:
-                self._tables.clear()
-                self._room = self.KEPT
-            found = self._tables[context] = {} if self._bit(self.contexts_at, _key("c", context)) else None
-            return found
-
-    def hits(self, table: dict, context: str, word: str) -> tuple[tuple[int, bool], ...]:
-        """(key, is whole word) of the word and its beginnings that end a text in the context."""
-        self._room -= 1
-        found = []
-        for k in range(len(word), 0, -1):
-            key = _key("w", context, word[:k])
-            if self._bit(self.words_at, key):
-                found.append((key, k == len(word)))
-        table[word] = tuple(found)
-        return table[word]
-
-
-def _counts(broadcast_marks: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per marked key how often the words are followed by a segment end, more words, or more letters."""
-    by_word, by_character = tuple(reversed(WORD_ORDERS)), tuple(reversed(CHARACTER_ORDERS))
+        texts, ends, scales, rows = [], [], [], []
+        for text, at in zip(batch.column("text").to_pylist(), batch.column("text_hash").to_pylist(), strict=True):
+            rng, text = random.Random(at), text.rstrip()
+            closed = [m.start() + 1 for m in _SEGMENT_END.finditer(text)]
+            places = [(p, True, False) for p in rng.sample(closed, min(FIT_PLACES, len(closed)))]
+            kind, bare = ending(text), len(text.rstrip(_TERMINAL))
+            if kind == "terminated" and bare:
+                places.append((bare, True, True))
+            elif kind == "bare":
+                places.append((len(text), True, False))
+            drawn = (_random_place(rng, text) for _ in range(FIT_PLACES))
+            places += [(p, False, True) for p in drawn if p]
+            for p, is_end, sets_scale in places:
+                own = features(text, p)
+                texts.append(at)
+                ends.append(is_end)
+                scales.append(sets_scale)
+                rows.append(own + [0] * (WIDTH - len(own)))
+        flat = pa.array(np.array(rows, np.int32).reshape(-1))
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.int64()), pa.array(ends, pa.bool_()), pa.array(scales, pa.bool_()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * WIDTH + 1, WIDTH), pa.int32()), flat)], names=["text_hash", "is_end", "sets_scale", "features"])
+
+
+def _slope(score: np.ndarray, label: np.ndarray, importance: np.ndarray) -> float:
+    """Factor that makes scores log-odds on places of texts that were not fitted, by Newton's method; no constant, so unknown words stay at even odds."""
+    slope = 1.0
+    for _ in range(20):
+        p = 1 / (1 + np.exp(-slope * score))
+        bend = float((importance * p * (1 - p) * score * score).sum())
+        if bend < 1e-9:
+            break
+        slope = float(np.clip(slope - ((p - label) * importance * score).sum() / bend, 0.1, 10.0))
+    return slope
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weights of a logistic model, place 0 unused; features met in few texts have none."""
+    rows = pa.Table.from_batches(list(batches), schema=pa.schema([("text_hash", pa.int64()), ("is_end", pa.bool_()), ("sets_scale", pa.bool_()), ("features", pa.list_(pa.int32()))]))
+    weights = np.zeros(1 << WEIGHT_BITS, np.float32)
+    if rows.num_rows:
+        label = rows["is_end"].to_numpy().astype(np.float32)
+        x = rows["features"].combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
+        _, text = np.unique(rows["text_hash"].to_numpy(), return_inverse=True)
+        pairs = np.unique((text[:, None] * np.int64(1 << WEIGHT_BITS) + x).ravel()) & ((1 << WEIGHT_BITS) - 1)
+        known = np.bincount(pairs, minlength=1 << WEIGHT_BITS) >= FEATURE_TEXTS
+        known[0] = False
+        x = np.where(known[x], x, 0)
+        share = float(np.clip(label.mean(), 0.01, 0.99))
+        importance = np.where(label > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+        squares, rng = np.full(1 << WEIGHT_BITS, 1e-6, np.float32), np.random.default_rng(5)
+        held_out = text % HELD_OUT == 0
+        fitted = np.flatnonzero(~held_out)
+        for _ in range(EPOCHS):
+            for own in np.array_split(rng.permutation(fitted), max(1, len(fitted) // 2048)):
+                at = x[own]
+                p = 1 / (1 + np.exp(-weights[at].sum(axis=1)))
+                slots, where = np.unique(at, return_inverse=True)
+                g = np.bincount(where.ravel(), np.repeat((p - label[own]) * importance[own], WIDTH), len(slots)).astype(np.float32) + PENALTY * weights[slots]
+                squares[slots] += g * g
+                weights[slots] -= STEP * g / np.sqrt(squares[slots])
+                weights[0] = 0
+        held_out &= rows["sets_scale"].to_numpy()
+        weights *= _slope(weights[x[held_out]].sum(axis=1).astype(float), label[held_out], importance[held_out])
+    yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], names=["weights"])
+
+
+def end_model(texts: DataFrame) -> bytes:
+    """Weights of the end model, of (text_hash, text); fitted on ``FIT_POSTS`` texts at most, drawn by hash."""
+    n, draw = texts.count(), F.pmod(F.xxhash64("text_hash"), F.lit(1 << 30))
+    sample = texts.where(draw < int((1 << 30) * min(1.0, FIT_POSTS / max(n, 1)))).limit(FIT_POSTS)
+    places = spread(sample).mapInArrow(_places, "text_hash bigint, is_end boolean, sets_scale boolean, features array<int>")
+    return bytes(places.repartition(1).mapInArrow(_fit, "weights binary").head()["weights"])  # one row of fixed size
+
+
+def _walk(model: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per text how it ends, what is open there, and the log-odds of an end against a random place:
+    for its last words, without a terminator, and for a place in it drawn at random."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = _Marked(*broadcast_marks.value)
+        weights = np.frombuffer(model.value, np.float32)
+
+        def scores(rows: list[list[int]]) -> pa.Array:
+            found = np.array([own + [0] * (WIDTH - len(own)) for own in rows], np.int32).reshape(-1, WIDTH)
+            return pa.array(np.clip(np.rint(weights[found].sum(axis=1)), -LOUD, LOUD).astype(np.int32), mask=np.array([not own for own in rows], bool))
+
         for batch in batches:
-            found: dict[int, list[int]] = {}
-            for text in batch.column("text").to_pylist():
-                t = tokens(text)
-                words, starts, n, begin = t.words, t.starts, len(t.words), 0
-                for i, word in enumerate(words):
-                    if starts[i]:
-                        begin = i
-                    before, context, slot = i - begin, "", None
-                    # contexts as of ``contexts``, shortest first: a text end has them all marked
-                    for order in by_character if _UNSPACED.match(word) else by_word:
-                        full = order > 1 and before < order
-                        if order > 1:
-                            context = "\x1e" + " ".join(words[begin:i]) if full else " ".join(words[i - order + 1 : i])
-                        table = marked.table(context)
-                        if table is None:
-                            break
-                        hits = table.get(word)
-                        if hits is None:
-                            hits = marked.hits(table, context, word)
-                        if not hits:
-                            break
-                        if slot is None:
-                            slot = 0 if t.ends[i] else 1
-                            if i == n - 1:
-                                slot = 0 if ending(text) in ("terminated", "tag", "picture") else -1  # bare ends are counted by text
-                            elif slot and starts[i + 1]:
-                                slot = -1  # a quoted segment end without a terminator says nothing
-                        for key, whole in hits:
-                            if not whole or slot >= 0:
-                                row = found.get(key)
-                                if row is None:
-                                    row = found[key] = [0, 0, 0]
-                                row[slot if whole else 2] += 1
-                        if full:
-                            break
-            keys = np.fromiter(found, dtype=np.uint64, count=len(found)).view(np.int64)
-            table = np.array(list(found.values()), dtype=np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(table[:, j]) for j in range(3))], names=["key", "closed", "opened", "longer"])
+            kinds, opened, ends, places = [], [], [], []
+            for text, at in zip(batch.column("text").to_pylist(), batch.column("text_hash").to_pylist(), strict=True):
+                kind = ending(text)
+                body = unmarked(text) if kind in ("partial", "marked") else text.rstrip()
+                opened.append(open_at_end(body[: max(body.rfind("["), body.rfind("<"))] if kind == "partial" and _in_tag(body) else body))
+                own = features(body, len(body.rstrip(_TERMINAL) if kind == "terminated" else body)) if kind in ("bare", "marked", "terminated") else []
+                if kind == "bare" and not own:
+                    kind = "wordless"
+                kinds.append(kind)
+                ends.append(own)
+                p = _random_place(random.Random(at), body)
+                places.append(features(body, p) if p else [])
+            kept = batch.drop_columns(["text"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(kinds, pa.string()), pa.array(opened, pa.list_(pa.string())), scores(ends), scores(places)], names=[*kept.schema.names, "ending", "open", "score", "place"])
 
     return run
 
@@ -400,87 +338,127 @@ def _counts(broadcast_marks: object) -> Callable[[Iterator[pa.RecordBatch]], Ite
 def field_limits(lengths: DataFrame) -> DataFrame:
     """(source, unit, top, depth): lengths at which a source cuts, of (source, n_chars, n_bytes, text_hash, unfinished).
 
-    A spike is a length held by far more texts than those around it; a cliff is a source's
-    greatest length if the texts just below it are far denser than those further down, as where
-    words are kept whole. Reposts of a text count once, and a quarter of the texts there must look
-    unfinished. ``depth`` is how far below ``top`` a cut text may end.
+    A spike is a length held by far more texts than those around it; a cliff is a length up to which,
+    within a word, texts are far denser than further down and further up, as where words are kept
+    whole. Both are told by a log-likelihood ratio (``LIMIT_EVIDENCE``), at any length and for any
+    number of texts, and need a share of texts that look unfinished. Reposts of a text count
+    once. ``depth`` is how far below ``top`` a cut text may end.
     """
     once = lengths.where(F.col("source") != "").select("source", "n_chars", "n_bytes", "text_hash", "unfinished").distinct()
     units = once.select("source", "unfinished", F.explode(F.map_from_arrays(F.array(F.lit("chars"), F.lit("bytes")), F.array("n_chars", "n_bytes"))).alias("unit", "length"))
-    held = units.where(F.col("length") >= 100).groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("n"), F.count_if("unfinished").alias("cut"))
-    near = Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-100, 100)
-    spike = (F.col("n") >= 4) & (F.col("n") >= 8 * F.greatest("around", F.lit(0.1))) & (F.col("cut") * 4 >= F.col("n"))
-    spikes = held.withColumn("around", (F.sum("n").over(near) - F.col("n")) / 200).where(spike).select("source", "unit", F.col("length").alias("top"), F.when(F.col("unit") == "bytes", 3).otherwise(0).alias("depth"))
-    top = F.max("length").over(Window.partitionBy("source", "unit"))
-    high, low = F.col("length") > F.col("top") - 13, F.col("length") > F.col("top") - 213
-    counts = held.withColumn("top", top).groupBy("source", "unit", "top").agg(F.sum(F.when(high, F.col("n")).otherwise(0)).alias("here"), F.sum(F.when(high, F.col("cut")).otherwise(0)).alias("cut"), F.sum(F.when(~high & low, F.col("n")).otherwise(0)).alias("below"))
-    cliff = (F.col("here") >= 5) & (F.col("here") >= 4 * F.greatest(F.col("below") * 12 / 200, F.lit(0.25))) & (F.col("cut") * 4 >= F.col("here"))
-    return spikes.unionByName(counts.where(cliff).select("source", "unit", "top", F.lit(12).alias("depth")))
-
-
-def _at_limit(tails: DataFrame) -> DataFrame:
-    """``tails`` with ``at_limit``: the post's length is one at which its source cuts."""
-    limits = cut(field_limits(tails.withColumn("unfinished", F.col("ending").isin("partial", "unfinished", "marked") | ((F.col("ending") == "bare") & (F.coalesce("share", F.lit(0.0)) < 0.01)))))
+    held = units.groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("n"), F.count_if("unfinished").alias("cut"))
+    by = Window.partitionBy("source", "unit").orderBy("length")
+
+    def within(column: str, low: int, high: int) -> Column:
+        return F.coalesce(F.sum(column).over(by.rangeBetween(low, high)), F.lit(0))
+
+    def evidence(seen: Column, expected: Column) -> Column:
+        return F.when(seen > expected, seen * F.log(seen / expected) - (seen - expected)).otherwise(0.0)
+
+    counts = held.select(
+        "source", "unit", "length", "n", "cut",
+        (within("n", -100, 100) - F.col("n")).alias("around"),
+        within("n", -WORD_DEPTH, 0).alias("here"),
+        within("cut", -WORD_DEPTH, 0).alias("here_cut"),
+        within("n", -WORD_DEPTH - 200, -WORD_DEPTH - 1).alias("below"),
+        within("n", 1, 200).alias("above"),
+    )
+    spike = (evidence(F.col("n"), (F.col("around") + 0.5) / 200) >= LIMIT_EVIDENCE) & (F.col("cut") >= LIMIT_UNFINISHED * F.col("n"))
+    wide = (WORD_DEPTH + 1) / 200
+    cliff = (
+        (evidence(F.col("here"), (F.col("below") + 0.5) * wide) >= LIMIT_EVIDENCE)
+        & (evidence(F.col("here"), (F.col("above") + 0.5) * wide) >= LIMIT_EVIDENCE)
+        & (F.col("above") * 4 <= F.col("below"))
+        & (F.col("here_cut") >= LIMIT_UNFINISHED * F.col("here"))
+        & (F.col("cut") > 0)
+    )
+    kinds = counts.withColumn("depth", F.when(spike, F.when(F.col("unit") == "bytes", 3).otherwise(0)).when(cliff, WORD_DEPTH))
+    return kinds.where(F.col("depth").isNotNull()).select("source", "unit", F.col("length").alias("top"), "depth")
+
+
+def _at_limit(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``at_limit``: the post's length is one at which its source cuts."""
+    looks_cut = F.col("ending").isin("partial", "unfinished", "marked") | ((F.col("ending") == "bare") & (F.col("score") < 0))
+    limits = cut(field_limits(rows.withColumn("unfinished", looks_cut)))
     known = limits.groupBy("source").agg(F.collect_list(F.struct("unit", "top", "depth")).alias("limits"))
     hit = F.exists("limits", lambda x: F.when(x["unit"] == "chars", F.col("n_chars")).otherwise(F.col("n_bytes")).between(x["top"] - x["depth"], x["top"] + F.when(x["unit"] == "bytes", 2).otherwise(0)))
-    return tails.join(small_side(known), "source", "left").withColumn("at_limit", F.coalesce(hit, F.lit(False))).drop("limits")
+    return rows.join(small_side(known), "source", "left").withColumn("at_limit", F.coalesce(hit, F.lit(False))).drop("limits")
+
+
+def baselines(rows: DataFrame) -> DataFrame:
+    """(source, ending, at_limit, score, ratio, share_cut): what a score tells for a cut among the bare or marked ends of a source, and the share of cuts.
+
+    A score is weighed by how often random places have it in all texts, against how often the ends
+    of the source's whole posts, without their terminators, have it. The share of cuts among the
+    ends of a kind counts those that are told by their score alone; all others are taken for
+    informal, so a source that often ends without a terminator raises no odds. At a field limit it is
+    at least the share that the missing terminators leave: whole posts there end without one as often
+    beside each that has one as the source's other posts do. Rates of a source are backed by those
+    of all sources with a weight of ``BACKED`` posts.
+    """
+    zero, n_bins = F.lit(0).cast("bigint"), 2 * LOUD + 1
+    whole = rows.where((F.col("ending") == "terminated") & ~F.col("at_limit") & F.col("score").isNotNull()).groupBy("source", "score").agg(F.count(F.lit(1)).alias("n"))
+    whole = cut(whole)
+    sizes = whole.groupBy("source").agg(F.sum("n").alias("n_whole"))
+    places = rows.where(F.col("place").isNotNull()).groupBy(F.col("place").alias("score")).agg(F.count(F.lit(1)).alias("n_places"))
+    every = F.lit(1)
+    # one row per score: smoothed shares over all sources
+    shares = rows.sparkSession.range(n_bins).select((F.col("id") - LOUD).cast("int").alias("score")).join(places, "score", "left").join(whole.groupBy("score").agg(F.sum("n").alias("n_ends")), "score", "left").fillna(0)
+    at_all = Window.partitionBy(every)
+    shares = cut(shares.select("score", ((F.col("n_places") + 0.5) / (F.sum("n_places").over(at_all) + n_bins / 2)).alias("p_cut"), ((F.col("n_ends") + 0.5) / (F.sum("n_ends").over(at_all) + n_bins / 2)).alias("p_end")))
+    bins = rows.where(F.col("ending").isin("bare", "marked") & F.col("score").isNotNull()).groupBy("source", "ending", "at_limit", "score").agg(F.count(F.lit(1)).alias("n_ends"))
+    told = bins.join(F.broadcast(shares), "score").join(whole, ["source", "score"], "left").join(sizes, "source", "left")
+    p_whole = (F.coalesce("n", zero) + BACKED * F.col("p_end")) / (F.coalesce("n_whole", zero) + BACKED)
+    ratio = F.col("p_cut") / p_whole
+    told = cut(told.select("source", "ending", "at_limit", "score", "n_ends", F.when(F.col("score") >= 0, F.least(ratio, F.lit(1.0))).otherwise(ratio).alias("ratio")))
+    decisive = F.sum(F.when(F.col("ratio") >= DECISIVE, F.col("n_ends")).otherwise(zero))
+    pooled = told.groupBy("ending", "at_limit").agg(((decisive + 1) / (F.sum("n_ends") + 2)).alias("pooled"))  # four rows at most
+    own = told.groupBy("source", "ending", "at_limit").agg(decisive.alias("decisive"), F.sum("n_ends").alias("n")).join(F.broadcast(pooled), ["ending", "at_limit"])
+    free, limit = ~F.col("at_limit"), F.col("at_limit")
+    ended = rows.groupBy("source").agg(*(F.count_if((F.col("ending") == k) & w).cast("double").alias(f"{k}_{n}") for k in ("terminated", "bare", "marked") for n, w in (("free", free), ("limit", limit))))
+    lacking = [(k, 1 - F.try_divide(F.col("terminated_limit") * F.col(f"{k}_free") / F.col("terminated_free"), F.col(f"{k}_limit"))) for k in ("bare", "marked")]
+    missing = cut(ended.where("terminated_free > 0").select("source", F.explode(F.create_map(*(x for k, c in lacking for x in (F.lit(k), c)))).alias("ending", "missing")).withColumn("at_limit", F.lit(True)).where("missing is not null"))
+    own = own.join(missing, ["source", "ending", "at_limit"], "left").select("source", "ending", "at_limit", ((F.col("decisive") + BACKED * F.col("pooled")) / (F.col("n") + BACKED)).alias("share_cut"), F.when(F.col("missing") > 0.99, 0.99).otherwise(F.col("missing")).alias("missing"))
+    own = own.select("source", "ending", "at_limit", F.greatest("share_cut", "missing").alias("share_cut"))
+    return told.join(own, ["source", "ending", "at_limit"]).select("source", "ending", "at_limit", "score", "ratio", "share_cut")
 
 
 def judged(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, ending, at_limit, share, open, ratio, is_cut) of each text that is not blank.
+    """(doc_id, source, ending, at_limit, score, open, ratio, reason, is_cut) of each text that is not blank.
 
-    ``share`` is the share of segment ends among what follows the last words elsewhere, from the
-    longest context met often enough; null where the words occur nowhere else. ``open`` has the
-    classes of what is open at the end, ``ratio`` how far that raises the odds of a cut.
+    ``score`` is the log-odds of an end against a random place for a bare or marked end, ``open`` has
+    the classes of what is open at the end, ``ratio`` how far that raises the odds of a cut.
+    ``reason`` says which finding made a text a cut.
     """
-    spark = documents.sparkSession
-    texts = spread(documents.select("doc_id", "source", "text")).where(F.length(strip("text")) > 0).select("doc_id", F.coalesce(F.lower(strip("source")), F.lit("")).alias("source"), F.length("text").cast("bigint").alias("n_chars"), F.octet_length("text").cast("bigint").alias("n_bytes"), F.xxhash64("text").alias("text_hash"), "text")
-    tails = cut(texts.mapInArrow(_tails, "doc_id bigint, source string, n_chars bigint, n_bytes bigint, text_hash bigint, ending string, open array<string>, keys array<bigint>, contexts array<bigint>"))
-    marks = spark.sparkContext.broadcast((_bitmap(tails.select(F.explode("keys").alias("hash"))), _bitmap(tails.select(F.explode("contexts").alias("hash")))))
-    counted = texts.select("text").mapInArrow(_counts(marks), "key bigint, closed bigint, opened bigint, longer bigint").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("closed", "opened", "longer")))
-    asked = tails.select("doc_id", "text_hash", F.posexplode("keys").alias("rank", "key"))
-    alike = asked.groupBy("key").agg((F.countDistinct("text_hash") - 1).alias("alike"))
-    zero = F.lit(0).cast("bigint")
-    ends = F.coalesce("closed", zero) + F.when(F.col("alike") >= ALIKE, F.col("alike")).otherwise(zero)
-    looked = asked.join(counted, "key", "left").join(alike, "key").select("doc_id", "rank", ends.alias("ends"), (ends + F.coalesce("opened", zero) + F.coalesce("longer", zero)).alias("others"))
-    decides = ((F.col("ends") > 0) & (F.col("others") >= ENOUGH)) | (F.col("others") >= TELLING)
-    best = looked.groupBy("doc_id").agg(
-        F.min_by(F.expr("try_divide(ends, others)"), F.when(decides, F.col("rank"))).alias("known"),
-        F.max_by(F.expr("try_divide(ends, others)"), F.when(F.col("others") > 0, F.col("rank"))).alias("weak"),
-    )
-    rows = cut(tails.drop("keys", "contexts").join(best.select("doc_id", F.coalesce("known", "weak").alias("share")), "doc_id", "left"))
-    return _decide(_at_limit(rows))
+    texts = documents.select("doc_id", "source", "text").where(F.length(strip("text")) > 0).select("doc_id", F.coalesce(F.lower(strip("source")), F.lit("")).alias("source"), F.length("text").cast("bigint").alias("n_chars"), F.octet_length("text").cast("bigint").alias("n_bytes"), F.xxhash64("text").alias("text_hash"), "text")
+    model = documents.sparkSession.sparkContext.broadcast(end_model(texts.select("text_hash", "text")))
+    walked = cut(spread(texts).mapInArrow(_walk(model), "doc_id bigint, source string, n_chars bigint, n_bytes bigint, text_hash bigint, ending string, open array<string>, score int, place int"))
+    rows = cut(_at_limit(walked))
+    base = cut(baselines(rows))
+    told = rows.join(small_side(base), ["source", "ending", "at_limit", "score"], "left")
+    return _decide(told.withColumn("odds", F.col("ratio") * F.col("share_cut") / (1 - F.col("share_cut"))))
 
 
 def _decide(rows: DataFrame) -> DataFrame:
-    """Judge each end against the baseline of its source.
+    """Judge each end with what is open there.
 
-    What is open at the end multiplies the odds of a cut by how much more often texts that look cut
-    leave it open than whole ones; a text is never held against rates it counted for itself. An end
-    that is not bare is a cut if these odds exceed those of a cut falling behind a sentence.
+    What is open multiplies the odds of a cut by how much more often texts that look cut leave it
+    open than whole ones; a text is never held against rates it counted for itself. An end that is
+    not bare is a cut if something is open there that the source's ends leave open in a share of
+    less than ``HABIT``.
     """
-    share = F.coalesce(F.col("share"), F.lit(0.0))
-    bare, marked, limit = F.col("ending") == "bare", F.col("ending") == "marked", F.col("at_limit")
+    odds, limit = F.coalesce(F.col("odds"), F.lit(0.0)), F.col("at_limit")
+    ended = F.col("ending").isin("bare", "marked")
     broken, closed = F.col("ending").isin("partial", "unfinished"), F.col("ending").isin("terminated", "tag", "picture")
-    cut_like, whole_like = broken | bare & (share < 0.01) | limit & marked, ~limit & (closed | bare & (share >= AT_LIMIT))
+    cut_like, whole_like = broken | ended & (odds > 9), ~limit & (closed | ended & (odds < 1 / 9))
     has = {c: F.array_contains("open", c) for c in CLASSES}
-    base = (
-        rows.groupBy("source")
-        .agg(
-            ((F.count_if(~limit & bare & (share >= 0.01)) + 5) / (F.count_if(~limit) + 50)).alias("informal"),
-            ((F.count_if(~limit & bare & (share < 0.01)) + 1) / (F.count_if(~limit) + 50)).alias("cuts"),
-            (F.count_if(limit & marked) / F.greatest(F.count_if(limit & (marked | bare & (share < AT_LIMIT))), F.lit(1))).alias("marks"),
-            (F.count_if(cut_like & limit) / F.greatest(F.count_if(closed & limit), F.lit(1)) / SEGMENT_CHARS).alias("odds_limit"),
-            (F.count_if(cut_like & ~limit) / F.greatest(F.count_if(closed & ~limit), F.lit(1)) / SEGMENT_CHARS).alias("odds_free"),
-            F.count_if(cut_like).alias("n_cut"),
-            F.count_if(whole_like).alias("n_whole"),
-            *(F.count_if(cut_like & h).alias(f"cut_{c}") for c, h in has.items()),
-            *(F.count_if(whole_like & h).alias(f"whole_{c}") for c, h in has.items()),
-        )
-        # odds that a bare end is a cut: rate of cuts against rate of informal ends, per place where each can fall
-        .withColumn("odds_bare", F.col("cuts") / F.col("informal") / SEGMENT_CHARS)
-        .withColumn("threshold", F.least(F.greatest("odds_bare", F.lit(0.006)), F.lit(0.015)))
-        .withColumn("marks", F.col("marks") >= 0.5)
+    base = rows.groupBy("source").agg(
+        F.count_if(closed).alias("n_closed"),
+        F.count_if(cut_like).alias("n_cut"),
+        F.count_if(whole_like).alias("n_whole"),
+        *(F.count_if(cut_like & h).alias(f"cut_{c}") for c, h in has.items()),
+        *(F.count_if(whole_like & h).alias(f"whole_{c}") for c, h in has.items()),
+        *(F.count_if(closed & h).alias(f"closed_{c}") for c, h in has.items()),
     )
     base = cut(base)
     counts = ["n_cut", "n_whole", *(f"{k}_{c}" for k in ("cut", "whole") for c in CLASSES)]
@@ -496,24 +474,27 @@ def _decide(rows: DataFrame) -> DataFrame:
             seen = F.col(f"{prefix}{kind}_{c}") - one
             return seen if kind == "cut" else F.greatest(seen - F.col(f"{prefix}cut_{c}") / SEGMENT_CHARS, F.lit(0.0))
 
-        pooled = (n("all_") + 0.5) / (F.col(f"all_n_{kind}") - one + 1)
-        return F.try_divide(n("") + POOLED * pooled, F.col(f"n_{kind}") - one + POOLED)
+        pooled = (n("all_") + 0.5) / F.greatest(F.col(f"all_n_{kind}") - one + 1, F.lit(1))
+        return F.try_divide(n("") + BACKED * pooled, F.col(f"n_{kind}") - one + BACKED)
 
     def ratios(cut_one: int, whole_one: int) -> Column:
         return F.create_map(*(x for c in CLASSES for x in (F.lit(c), F.try_divide(rate("cut", c, cut_one), rate("whole", c, whole_one)))))
 
-    # a text is never held against what it counted itself
-    base = cut(base.crossJoin(F.broadcast(total)).select("source", "marks", "threshold", "odds_bare", "odds_limit", "odds_free", ratios(0, 0).alias("ratios"), ratios(1, 0).alias("other_cuts"), ratios(0, 1).alias("other_wholes")))
+    habits = F.filter(F.array(*(F.when(F.col(f"closed_{c}") >= HABIT * (F.col("n_closed") + BACKED), F.lit(c)) for c in CLASSES)), lambda c: c.isNotNull())
+    # a text is never held against what it counted itself; one row over all sources
+    base = cut(base.crossJoin(F.broadcast(total)).select("source", habits.alias("habits"), ratios(0, 0).alias("ratios"), ratios(1, 0).alias("other_cuts"), ratios(0, 1).alias("other_wholes")))
     own = F.when(cut_like, F.col("other_cuts")).when(whole_like, F.col("other_wholes")).otherwise(F.col("ratios"))
     rated = rows.join(small_side(base), "source", "left").withColumn("own", own).withColumn("ratio", F.coalesce(F.array_max(F.transform("open", lambda c: F.try_element_at("own", c))), F.lit(1.0)))
-    ratio = F.col("ratio")
-    odds = F.col("odds_bare") * ratio
-    free = F.greatest(F.col("threshold") * F.least(ratio, F.lit(1.0)), odds / (1 + odds))
-    free = F.when(ratio == 1, F.col("threshold")).otherwise(free)
-    at = F.when(limit, AT_LIMIT * ratio / (1 - AT_LIMIT + AT_LIMIT * ratio)).otherwise(free)
-    behind = (F.size("open") > 0) & (ratio * F.when(limit, F.col("odds_limit")).otherwise(F.col("odds_free")) > 1)
-    is_cut = F.when(broken, True).when(marked, F.when(limit & F.col("marks"), True).otherwise(share < free)).when(bare, share < at).otherwise(behind)
-    return rated.select("doc_id", "source", "ending", "at_limit", "share", "open", "ratio", is_cut.alias("is_cut"))
+    ratio, is_open = F.col("ratio"), F.size("open") > 0
+    reason = (
+        F.when(F.col("ending") == "partial", "broken markup, escape or character")
+        .when(F.col("ending") == "unfinished", "ends behind a mark that more must follow")
+        .when(ended & (odds * ratio > 1) & is_open & (ratio > 1) & (odds <= 1), "left open, no terminator")
+        .when(ended & (odds * ratio > 1) & limit, "no terminator at a field limit")
+        .when(ended & (odds * ratio > 1), "no terminator against the baseline")
+        .when(closed & (F.size(F.array_except("open", "habits")) > 0), "left open behind a terminator")
+    )
+    return rated.withColumn("reason", reason).select("doc_id", "source", "ending", "at_limit", "score", "open", "ratio", "reason", F.col("reason").isNotNull().alias("is_cut"))
 
 
 def truncated(documents: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chunkloom.llm import queries, truncation
-from chunkloom.llm.truncation import ending, tokens
+from chunkloom.llm.truncation import ending, features
 
 DOC = "doc_id bigint, text string, source string"
 
@@ -23,16 +23,13 @@ def test_ending(text: str, want: str) -> None:
     assert ending(text) == want
 
 
-def test_tokens() -> None:
-    t = tokens("On Monday. Next one\n> quoted wo\n- item [b]bold")
-    assert t.words == ["on", "monday", "next", "one", "quoted", "wo", "<li>", "item", "bold"]
-    assert t.ends == [False, True, False, True, False, False, False, True, True]
-    assert t.quoted[4] and not t.quoted[0] and t.open_tags == ["b"]
-    assert tokens("[quote]a[/quote] [b]x[/b] ```c").open_tags == ["```"]
-    assert tokens("see https://h.example/img/12 then").words == ["see", "https", "h", "example", "img", "00", "then"]
-    assert tokens("see https://h.example/img/12 then").ends == [False] * 5 + [True, True]
-    assert tokens('a [url=http://x.y/z]b[/url]<br>c').words == ["a", "b", "c"]
-    assert tokens("").words == [] and len(tokens("x" * 1000).words) == 16
+def test_features() -> None:
+    text = "One. The old pump\n* that valve"
+    assert features(text, 3) == features("ONE", 3) != features("on", 2)
+    assert set(features(text, 17)) == set(features("the old pump", 12))
+    assert features(text, len(text)) == features("- That valve", 12)  # marks of list items are alike
+    assert features("終わりです", 5) and features("", 0) == [] and len(features("a b c d e f g h", 15)) <= truncation.WIDTH
+    assert features("x" * 100_000, 100_000)
 
 
 @pytest.mark.parametrize(
@@ -47,6 +44,11 @@ def test_open_at_end(text: str, want: list[str]) -> None:
     assert truncation.open_at_end(text) == want
 
 
+def test_deep_nesting_takes_linear_time() -> None:
+    assert truncation.open_at_end("(" * 200_000) == ["bracket"]
+    assert truncation.open_at_end("[b](" * 50_000 + "[/b]" * 50_000) == []
+
+
 def test_open_structures_decide(spark) -> None:
     """Cut behind a sentence inside code that the source always closes; open quotes are nothing in a source that leaves them open."""
     rng = random.Random(11)
@@ -112,6 +114,38 @@ def test_limits(spark) -> None:
     assert not any(r.top == 300 for r in limits)  # reposts of one text are no limit
 
 
+def novel(rng: random.Random) -> str:
+    """A sentence of made-up words that occur nowhere else."""
+    return " ".join("".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(6, 14)))
+
+
+def test_texts_that_repeat_nothing(spark) -> None:
+    """Informal ends of unseen words are whole; unclosed structures and cuts at a field limit are found."""
+    rng = random.Random(23)
+    rows, informal, unclosed, limited = [], set(), set(), set()
+    for i in range(4000):
+        text = ". ".join(novel(rng).capitalize() for _ in range(rng.randint(2, 6)))
+        source = rng.choice(["x", "y", "z"])
+        if i < 1000:
+            source, text = "chat", text
+            informal.add(i)
+        elif i < 1100:
+            text = f'{text} (and [quote]{novel(rng)}.' if i % 2 else f"{text}. (He said {novel(rng)}."
+            unclosed.add(i)
+        elif source == "z" and len(text) > 240:
+            text = text[:240]
+            if ending(text) == "bare":
+                limited.add(i)
+        else:
+            text += "."
+        rows.append((i, text, source))
+    found = {r.doc_id for r in truncation.truncated(spark.createDataFrame(rows, DOC)).collect()}
+    assert len(found & informal) <= 10
+    assert unclosed <= found
+    assert len(limited) > 100 and len(found & limited) >= 0.95 * len(limited)
+    assert len(found - informal - unclosed - limited) <= 20
+
+
 def test_edge_cases(spark) -> None:
     rows = [(1, None, "s"), (2, "", None), (3, " \n", "s"), (4, "One whole text.", None), (5, "…", "s"), (6, "word", "s"), (7, "x" * 100_000, "s"), (8, "a b " * 20_000 + "<blockqu", "s"), (8, "a b " * 20_000 + "<blockqu", "s")]
     docs = spark.createDataFrame(rows, DOC)
