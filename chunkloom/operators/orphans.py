@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.model import distinct_archives, plain_id, usable_id
+from chunkloom.model import distinct_archives, plain_id, plain_ids, usable_id
 from chunkloom.session import cut, fits, small_side
 
 HEAVY_SHARE = 1e-3
@@ -92,7 +92,51 @@ def orphan_references(items: DataFrame, archives: DataFrame, reports: DataFrame,
     return found.select("ref_field", "ref_key", "chunk_id", _reason(F.col("live"), F.col("earliest"), F.col("ref_time")).alias("reason"), _month(F.col("ref_time")).alias("period")).where(F.col("reason").isNotNull()).distinct()
 
 
-def orphan_counts(found: DataFrame) -> DataFrame:
-    """(ref_field, period, reason, n_references, n_ids) from the orphan references."""
-    per_id = found.groupBy("ref_field", "period", "reason", "chunk_id").agg(F.count(F.lit(1)).alias("n"))
+def _with_copies(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``copies``: how many rows are equal to each, found by a hash of the row alone."""
+    rows = rows.withColumn("row_hash", F.xxhash64(*rows.columns))
+    repeated = cut(rows.groupBy("row_hash").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1))
+    return rows.join(small_side(repeated), "row_hash", "left").drop("row_hash").fillna(1, ["copies"])
+
+
+def _distinct_ids(c: str) -> Column:
+    """The distinct plain ids of a list; lists whose ids are plain already are not transformed."""
+    return F.when(F.array_join(c, ",").rlike(r"\A[0-9a-f]{64}(?:,[0-9a-f]{64})*\z"), F.array_distinct(c)).otherwise(F.array_distinct(plain_ids(c)))
+
+
+def _countable(items: DataFrame, archives: DataFrame, reports: DataFrame) -> DataFrame:
+    """(ref_field, ref_time, copies, chunk_id): one row per row of the referring tables and distinct id."""
+    known = distinct_archives(archives).select("archive_name", F.col("archive_time").alias("ref_time"))
+    held = _with_copies(items.select("item_id", "archive_name", "chunks").where(F.size("chunks") > 0)).join(small_side(known), "archive_name", "left")
+    found = held.select(F.lit("archive_items.chunks").alias("ref_field"), "ref_time", "copies", F.explode(_distinct_ids("chunks")).alias("chunk_id"))
+    names = archives.select("archive_name", "archive_time", plain_id("id").alias("chunk_id")).distinct()
+    found = found.unionByName(names.select(F.lit("archives.id").alias("ref_field"), F.col("archive_time").alias("ref_time"), F.lit(1).cast("bigint").alias("copies"), "chunk_id").where(F.col("chunk_id").isNotNull()))
+    for field in ("missing_chunks", "orphaned_chunks"):
+        rows = _with_copies(reports.select("report_id", "report_time", field).where(F.size(field) > 0))
+        found = found.unionByName(rows.select(F.lit(f"verify_reports.{field}").alias("ref_field"), F.col("report_time").alias("ref_time"), "copies", F.explode(_distinct_ids(field)).alias("chunk_id")))
+    return found
+
+
+def orphan_counts(items: DataFrame, archives: DataFrame, reports: DataFrame, store: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(ref_field, period, reason, n_references, n_ids): orphan references, by their counts alone.
+
+    References are counted per id, field and month before anything is joined; rows delivered more
+    than once are counted by their copies and divided. Heavy and light keys are then checked as in
+    ``orphan_references`` and their counts united. Only where the earliest record of an id falls
+    among the references of one month, so that some are ``later`` and some are not, the references
+    of that id and month are read again. Rows of one record that differ count as records of their own.
+    """
+    refs, state = _countable(items, archives, reports), cut(register_state(store, seeds))
+    usable = usable_id("chunk_id")
+    refs = refs.select(F.when(usable, F.unhex("chunk_id")).alias("key"), F.when(~usable, F.col("chunk_id")).alias("other"), "ref_field", _month(F.col("ref_time")).alias("period"), "copies", "ref_time")
+    pre = cut(refs.groupBy("key", "other", "ref_field", "period", "copies").agg(F.count(F.lit(1)).alias("n"), F.min("ref_time").alias("first_time"), F.max("ref_time").alias("last_time")))
+    odd = pre.where(F.col("key").isNull()).withColumns({"live": F.lit(None).cast("boolean"), "earliest": F.lit(None).cast("timestamp_ntz")})
+    checked = cut(_checked(pre.where(F.col("key").isNotNull()), state).unionByName(odd).withColumn("reason", _reason(F.col("live"), F.col("earliest"), F.col("first_time"))).where(F.col("reason").isNotNull()))
+    partly = (F.col("reason") == "later") & (F.col("earliest") <= F.col("last_time"))
+    mixed = cut(checked.where(partly).select("key", "ref_field", "period", "earliest").distinct())
+    again = refs.join(small_side(mixed), ["key", "ref_field", "period"]).where(F.col("earliest") > F.col("ref_time"))
+    again = again.groupBy("key", "other", "ref_field", "period", "copies").agg(F.count(F.lit(1)).alias("n")).withColumn("reason", F.lit("later"))
+    columns = ["key", "other", "ref_field", "period", "reason", "copies", "n"]
+    found = checked.where(~partly | F.col("earliest").isNull()).select(columns).unionByName(again.select(columns))
+    per_id = found.groupBy("ref_field", "period", "reason", "key", "other").agg(F.sum(F.expr("n div copies")).alias("n"))
     return per_id.groupBy("ref_field", "period", "reason").agg(F.sum("n").alias("n_references"), F.count(F.lit(1)).alias("n_ids"))

@@ -135,8 +135,8 @@ class Cascade:
 
 
 def fingerprint_bits(n_keys: int, wrong: float) -> int:
-    """Bits with which ``n_keys`` keys give a new key a false match with probability ``wrong`` at most."""
-    return min(64, max(8, int(np.ceil(np.log2(max(n_keys, 1) / wrong)))))
+    """Bits with which ``n_keys`` keys give a new key a false match with probability ``wrong`` at most, however many."""
+    return max(8, int(np.ceil(np.log2(max(n_keys, 1) / wrong))))
 
 
 def mean_wrong(n_keys: int, bits: int) -> float:

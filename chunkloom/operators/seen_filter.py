@@ -3,11 +3,14 @@
 Map side, each task sorts its records by key and settles all but the earliest record of a key on
 its own: they come after a record of their own task. Only one record per key and task goes on
 as a candidate, so a key that fills a third of the input reaches its range with a handful of rows.
-The hash space is cut into ranges by its first bits, which the range's filter need not store. A task per range reads its candidates in
-arrival order and keeps a cascade of quotient filters, never the keys themselves.
-
-A false match takes equal fingerprints of two keys; ``bits`` is derived from the number of
-records and the rate of wrong answers allowed, and ``seen_error_report`` measures what comes out.
+A key has two 64-bit hashes: the first bits of one name its range, and the range's filter keeps up to 64
+bits of the other. A task per range reads its candidates in arrival order and keeps a cascade of
+quotient filters, never the keys themselves.
+
+A false match takes equal fingerprints of two keys: equal range and equal bits within it. The bits are
+derived from the number of records and the rate of wrong answers allowed. As ranges grow in number with the
+records, not in size, the bits within a range stay at about 60 for any number of records at the
+rate ``WRONG``. ``seen_error_report`` measures what comes out, at the width in use as well.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from chunkloom.session import cut, parallelism
 WRONG = 2.0**-40
 #: Rows a map task settles at a time, and records a range's task holds at most on average.
 LOCAL_ROWS, RANGE_ROWS = 400_000, 1_000_000
+#: What sets the second hash of a key apart.
+PLACE_SEED = 20_240_601
 #: A key of the register stands before every record.
 REGISTER = np.iinfo(np.int64).min
 
@@ -48,30 +53,30 @@ def _settle_locally(prefix: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _batches(source, LOCAL_ROWS):
-            record, key = t["record"].to_numpy(), t["hash"].to_numpy()
+            record, place, key = t["record"].to_numpy(), t["place"].to_numpy(), t["hash"].to_numpy()
             order = np.lexsort((record, key))
-            record, key = record[order], key[order]
+            record, place, key = record[order], place[order].view(np.uint64), key[order]
             first = np.ones(len(order), dtype=bool)
-            first[1:] = key[1:] != key[:-1]
+            first[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1])  # both hashes: a record more or less left open does no harm
             # a second delivery of the earliest record is that record
             earliest = record[np.flatnonzero(first)][np.cumsum(first) - 1]
             keep = first | (record != earliest)
-            first, record, key = first[keep], record[keep], key[keep].view(np.uint64)
-            to = np.where(first, (key >> np.uint64(64 - prefix)).astype(np.int64), record % (1 << prefix)).astype(np.int32)
+            first, record, place, key = first[keep], record[keep], place[keep], key[keep]
+            to = np.where(first, (place >> np.uint64(64 - prefix)).astype(np.int64), record % (1 << prefix)).astype(np.int32)
             for i in range(0, len(record), 100_000):
                 s = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(to[s]), pa.array(record[s]), pa.array(key[s].view(np.int64)), pa.array(first[s])], names=["to", "record", "hash", "open"])
+                yield pa.RecordBatch.from_arrays([pa.array(to[s]), pa.array(record[s]), pa.array(key[s]), pa.array(first[s])], names=["to", "record", "hash", "open"])
 
     return run
 
 
-def _resolve(prefix: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _resolve(within: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cascade, last = Cascade(bits - prefix), None
+        cascade, last = Cascade(within), None
         for t in _batches(source, 65_536):
             record, key, is_open = t["record"].to_numpy(), t["hash"].to_numpy().view(np.uint64), t["open"].to_numpy(zero_copy_only=False)
             seen = [record[~is_open]]
-            record, key = record[is_open], (key[is_open] << np.uint64(prefix)) >> np.uint64(64 - bits + prefix)
+            record, key = record[is_open], key[is_open] >> np.uint64(64 - within)
             if len(record):
                 # register keys share one record number, so only records proper are deliveries of one another
                 again = np.zeros(len(record), dtype=bool)
@@ -95,6 +100,20 @@ def _resolve(prefix: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
+def filter_bits(records: int, partitions: int, wrong: float = WRONG, bits: int | None = None) -> tuple[int, int]:
+    """(bits of the range, bits within it) for a number of records, over as many ranges as partitions at least.
+
+    ``bits`` overrides the sum that ``wrong`` asks for. Within a range there are 8 to 64 bits.
+    """
+    prefix = max(1, (max(partitions, 1) - 1).bit_length())
+    return prefix, min(64, max(8, (bits or fingerprint_bits(records, wrong)) - prefix))
+
+
+def _bits_in_use(records: DataFrame, wrong: float, bits: int | None) -> tuple[int, int]:
+    n = records.count()
+    return filter_bits(n, parallelism(records.sparkSession, n, RANGE_ROWS), wrong, bits)
+
+
 def seen_records(records: DataFrame, register: DataFrame, wrong: float = WRONG, bits: int | None = None) -> DataFrame:
     """(record bigint) of the records whose key stands in ``register`` or came with a smaller record number.
 
@@ -102,18 +121,15 @@ def seen_records(records: DataFrame, register: DataFrame, wrong: float = WRONG,
     A second delivery of a record is the same record and comes out once. ``bits`` overrides the
     fingerprint width that ``wrong`` asks for.
     """
-    spark = records.sparkSession
-    n = records.count()
-    bits = bits or fingerprint_bits(n, wrong)
-    prefix = max(1, (parallelism(spark, n, RANGE_ROWS) - 1).bit_length())
-    bits = max(bits, prefix + 8)
+    prefix, within = _bits_in_use(records, wrong, bits)
+    hashes = F.xxhash64("key").alias("hash"), F.xxhash64(F.lit(PLACE_SEED), "key").alias("place")
     every = (
         records.where(F.col("record").isNotNull() & F.col("key").isNotNull())
-        .select(F.col("record").cast("bigint").alias("record"), F.xxhash64("key").alias("hash"))
-        .unionByName(register.where(F.col("key").isNotNull()).select(F.lit(REGISTER).alias("record"), F.xxhash64("key").alias("hash")))
+        .select(F.col("record").cast("bigint").alias("record"), *hashes)
+        .unionByName(register.where(F.col("key").isNotNull()).select(F.lit(REGISTER).alias("record"), *hashes))
     )
     routed = every.mapInArrow(_settle_locally(prefix), "to int, record bigint, hash bigint, open boolean")
-    resolved = routed.repartitionById(1 << prefix, F.col("to")).sortWithinPartitions("record").select("record", "hash", "open").mapInArrow(_resolve(prefix, bits), "record bigint")
+    resolved = routed.repartitionById(1 << prefix, F.col("to")).sortWithinPartitions("record").select("record", "hash", "open").mapInArrow(_resolve(within), "record bigint")
     return resolved.where(F.col("record") != REGISTER).distinct()
 
 
@@ -130,8 +146,10 @@ def seen_exactly(records: DataFrame, register: DataFrame) -> DataFrame:
     return first.select("key", "first")
 
 
-def seen_error_report(records: DataFrame, register: DataFrame, widths: tuple[int, ...]) -> DataFrame:
-    """(bits, n_keys, n_asked, derived_wrong, n_wrong, measured_wrong) per fingerprint width.
+def seen_error_report(records: DataFrame, register: DataFrame, widths: tuple[int | None, ...], wrong: float = WRONG) -> DataFrame:
+    """(bits, n_keys, n_asked, derived_wrong, n_wrong, measured_wrong) per fingerprint width; null asks for the one in use.
+
+    ``bits`` are those the filter really had: the range's and those within it.
 
     A filter can only take a new key for a known one. ``n_asked`` counts the new keys, each asked
     once, ``n_wrong`` those that the filter claims to have seen, ``derived_wrong`` is the mean
@@ -141,9 +159,10 @@ def seen_error_report(records: DataFrame, register: DataFrame, widths: tuple[int
     new = first.where(F.col("first") != REGISTER).select(F.col("first").alias("record"))
     n_keys, n_new = first.count(), new.count()
     spark, out = records.sparkSession, None
-    for bits in widths:
-        wrong = seen_records(records, register, bits=bits).join(new, "record", "left_semi").agg(F.count(F.lit(1)).alias("n_wrong"))
-        row = wrong.select(
+    for asked in widths:
+        bits = sum(_bits_in_use(records, wrong, asked))
+        found = seen_records(records, register, wrong, asked).join(new, "record", "left_semi").agg(F.count(F.lit(1)).alias("n_wrong"))
+        row = found.select(
             F.lit(bits).alias("bits"),
             F.lit(n_keys).cast("bigint").alias("n_keys"),
             F.lit(n_new).cast("bigint").alias("n_asked"),

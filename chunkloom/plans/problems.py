@@ -26,24 +26,24 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_error_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Derived and measured rates at three small widths and at the one p3_found uses."""
     records, seeds = seen_filter.arrivals_and_seeds(table(spark, sf, "chunk_arrivals"), table(spark, sf, "seed_chunks"))
-    return seen_filter.seen_error_report(records, seeds, (20, 28, 36))
+    return seen_filter.seen_error_report(records, seeds, (20, 28, 36, None))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.job_periods(table(spark, sf, "job_execution_history"))
 
 
-def _orphans(spark: SparkSession, sf: str) -> DataFrame:
-    return orphans.orphan_references(*(table(spark, sf, t) for t in ("archive_items", "archives", "verify_reports", "chunk_store", "seed_chunks")))
+_REFERRING = ("archive_items", "archives", "verify_reports", "chunk_store", "seed_chunks")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _orphans(spark, sf)
+    return orphans.orphan_references(*(table(spark, sf, t) for t in _REFERRING))
 
 
 def p5_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return orphans.orphan_counts(_orphans(spark, sf))
+    return orphans.orphan_counts(*(table(spark, sf, t) for t in _REFERRING))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -206,6 +206,13 @@ def test_seen_records(spark, monkeypatch: pytest.MonkeyPatch) -> None:
     assert seen_filter.seen_records(records.limit(0), register).count() == 0
 
 
+def test_width_holds_at_any_size() -> None:
+    for n in (10**3, 10**6, 10**9, 10**12):
+        bits = sum(seen_filter.filter_bits(n, max(8, n // seen_filter.RANGE_ROWS)))
+        assert mean_wrong(n, bits) <= seen_filter.WRONG
+    assert seen_filter.filter_bits(10**9, 1000)[1] <= 64
+
+
 def test_error_rates_are_as_derived(spark) -> None:
     records = spark.range(40_000).select(F.col("id").alias("record"), F.col("id").cast("string").alias("key"))
     rows = {r.bits: r for r in seen_filter.seen_error_report(records, records.select("key").limit(0), (14, 18, 40)).collect()}
@@ -277,13 +284,27 @@ def test_orphan_references(spark, bound: int, monkeypatch: pytest.MonkeyPatch) -
     f = "archive_items.chunks"
     want = {(f, "1", k[1], "deleted", "2024-01"), (f, "4", k[3], "later", "2024-01"), (f, "4", "abc", "absent", "2024-01"), (f, "5", k[4], "absent", None), ("verify_reports.missing_chunks", "7", k[1], "deleted", "2024-01"), ("verify_reports.orphaned_chunks", "8", k[2], "later", "2024-01")} | {(f, str(100 + i), k[4], "absent", "2024-01") for i in range(30)}
     assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
-    counts = {(r.ref_field, r.period, r.reason): (r.n_references, r.n_ids) for r in orphans.orphan_counts(found).collect()}
-    assert counts[(f, "2024-01", "absent")] == (31, 2)
+    by = defaultdict(list)
+    for r in want:
+        by[(r[0], r[4], r[3])].append(r[2])
+    counts = {(r.ref_field, r.period, r.reason): (r.n_references, r.n_ids) for r in orphans.orphan_counts(items, archives, reports, store, seeds).collect()}
+    assert counts == {k: (len(v), len(set(v))) for k, v in by.items()}
     none = [x.limit(0) for x in (items, archives, reports, store, seeds)]
-    assert orphans.orphan_references(*none).count() == 0
+    assert orphans.orphan_references(*none).count() == orphans.orphan_counts(*none).count() == 0
     assert orphans.orphan_references(items, archives, reports, *none[3:]).count() > 30
 
 
+def test_orphan_counts_within_a_month(spark) -> None:
+    """Of the references to a key in the month of its first record some are later, some are not; copies count once."""
+    key, day = "a" * 64, lambda d: dt.datetime(2024, 1, d)
+    items = spark.createDataFrame([(i, f"n{i}", [key, key.upper()]) for i in range(1, 21)] * 2, "item_id bigint, archive_name string, chunks array<string>")
+    archives = spark.createDataFrame([(f"n{i}", day(i), "r", None) for i in range(1, 21)], "archive_name string, archive_time timestamp_ntz, repo_path string, id string")
+    reports = spark.createDataFrame([], "report_id bigint, report_time timestamp_ntz, missing_chunks array<string>, orphaned_chunks array<string>")
+    store = spark.createDataFrame([(key, day(8), None)], "chunk_id string, stored_at timestamp_ntz, deleted_at timestamp_ntz")
+    seeds = store.select("chunk_id", "stored_at").limit(0)
+    assert [tuple(r) for r in orphans.orphan_counts(items, archives, reports, store, seeds).collect()] == [("archive_items.chunks", "2024-01", "later", 7, 1)]
+
+
 # --- 6: rolling totals -----------------------------------------------------------------------
 
 
