@@ -123,13 +123,17 @@ class Splitter:
 
 
 class PathSplitter:
-    """Splits at a mark only where a path follows, so a path may hold the mark itself."""
+    """Splits at a mark; if some piece is no path, only where a path follows, so a path may hold the mark itself."""
 
     def __init__(self, mark: str) -> None:
+        self._every = Splitter(mark)
         self._at = re.compile(rf"(?<!\\){re.escape(mark)}(?=[{re.escape(_INNER_BLANKS)}]*{_PATH.pattern})")
         self._end = re.compile(rf"{re.escape(mark)}+\Z")
 
     def entries(self, text: str) -> list[tuple[str, bool]]:
+        found = self._every.entries(text)
+        if all(is_path(p) for p, _ in found):
+            return found
         parts = (p.strip(BLANKS) for p in self._at.split(self._end.sub("", text)))
         return [(p, False) for p in parts if p]
 
