@@ -115,7 +115,19 @@ def decompress_bytes(data: bytes, algorithm: str) -> bytes:
     return _codecs()[algorithm][1](data)
 
 
-def compressed_sizes(rows: DataFrame, key: str, column: str, algorithm: str, min_size: int = 64) -> DataFrame:
+def round_trip(chunks: DataFrame, algorithm: str) -> DataFrame:
+    """(chunk_id, size, stored_size, is_equal) of (chunk_id, data) after compressing and decompressing."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            data = [bytes(x) if x is not None else b"" for x in pdf["data"]]
+            done = [compress_bytes(d, algorithm) for d in data]
+            yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "size": [len(d) for d in data], "stored_size": [len(b) for _, b in done], "is_equal": [decompress_bytes(b, used) == d for (used, b), d in zip(done, data, strict=True)]})
+
+    return chunks.select("chunk_id", "data").mapInPandas(run, "chunk_id string, size bigint, stored_size bigint, is_equal boolean")
+
+
+def compressed_sizes(rows: DataFrame, key: str, column: str, algorithm: str, min_size: int = 128) -> DataFrame:
     """(key, size, used, stored_size) of each row's bytes; nulls count as empty."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

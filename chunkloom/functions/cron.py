@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chunkloom.functions.scalars import day_in_month, next_weekday
+
 #: Least and greatest value of each field, and the names of months and days (fixed values).
 RANGES = [(0, 59), (0, 59), (0, 23), (1, 31), (1, 12), (0, 7)]
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
@@ -60,9 +62,25 @@ def occurrences(text: str, after: dt.datetime, before: dt.datetime) -> list[dt.d
     return out
 
 
-def schedule_cron(schedule_type: Column | str, minute: Column, hour: Column, weekday: Column, day_of_month: Column) -> Column:
-    """Schedule of a task's settings; null for those started by hand."""
+#: Schedule of a task started by hand: a time far off, in seven fields (fixed value).
+NEVER = "0 0 0 1 1 ? 2099"
+
+
+def schedule_cron(schedule_type: Column | str, minute: Column, hour: Column, weekday: Column, day_of_month: Column, today: Column | None = None, zone: str = "UTC") -> Column:
+    """Schedule in UTC of a task's settings, which are in local time of ``zone``.
+
+    The local time of the first day from ``today`` on that the settings name is brought into UTC, and
+    its minute, hour, weekday or day of the month make the schedule, so all of them may shift. ``weekday``
+    counts from Monday as 0; a day beyond the month is its last. Other kinds give null.
+    """
     kind = F.col(schedule_type) if isinstance(schedule_type, str) else schedule_type
+    day = F.lit(dt.date(2024, 1, 1)) if today is None else today
+    day = F.when(kind == "Weekly", next_weekday(day, weekday)).when(kind == "Monthly", day_in_month(day, day_of_month)).otherwise(day)
+    local = F.make_timestamp_ntz(F.year(day), F.month(day), F.day(day), hour, minute, F.lit(0))
+    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
+    shifted = kind.isin("Daily", "Weekly", "Monthly")
+    minute, hour = F.when(shifted, F.minute(utc)).otherwise(minute), F.hour(utc)
+    weekday, day_of_month = F.dayofweek(utc) - 1, F.day(utc)
 
     def text(*parts: Column | str) -> Column:
         return F.concat_ws(" ", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
@@ -72,6 +90,7 @@ def schedule_cron(schedule_type: Column | str, minute: Column, hour: Column, wee
         .when(kind == "Daily", text("0", minute, hour, "* * *"))
         .when(kind == "Weekly", text("0", minute, hour, "* *", weekday))
         .when(kind == "Monthly", text("0", minute, hour, day_of_month, "* *"))
+        .when(kind == "Manual", NEVER)
     )
 
 

@@ -1,8 +1,8 @@
 """Parity of stored objects: 16 data shards and up to 4 parity shards over GF(256).
 
-The blob starts with 16 bytes (mark, version, count of parity shards, length of the object),
-then the CRC-32 of each data shard, then the parity shards. Coefficients are those of a Cauchy
-matrix, so any data shards as many as there are parity shards can be restored. The checksums
+The blob starts with 16 bytes (mark, version, counts of data and parity shards, a zero, length of the object),
+then the CRC-32 of each data shard, then the parity shards. The layout is that of other
+implementations, the coefficients are our own, those of a Cauchy matrix, so any data shards as many as there are parity shards can be restored. The checksums
 tell which shards are damaged.
 """
 
@@ -58,7 +58,7 @@ def encode(data: bytes, parity: int) -> bytes:
     if not parity:
         return b""
     shards = _shards(data)
-    blob = MARK + bytes([1, parity, 0, 0]) + len(data).to_bytes(8, "little") + b"".join(zlib.crc32(s.tobytes()).to_bytes(4, "little") for s in shards)
+    blob = MARK + bytes([1, DATA_SHARDS, parity, 0]) + len(data).to_bytes(8, "little") + b"".join(zlib.crc32(s.tobytes()).to_bytes(4, "little") for s in shards)
     for p in range(parity):
         row = np.zeros(shards.shape[1], dtype=np.uint8)
         for i, s in enumerate(shards):
@@ -71,7 +71,7 @@ def repair(data: bytes, blob: bytes) -> bytes:
     """The object with damaged shards restored; raises ValueError if there are more of them than parity shards."""
     if blob[:4] != MARK or len(blob) < 80:
         raise ValueError("no parity blob")
-    parity, length = blob[5], int.from_bytes(blob[8:16], "little")
+    parity, length = blob[6], int.from_bytes(blob[8:16], "little")
     shards = _shards(data[:length].ljust(length, b"\0")).copy()
     sums = [int.from_bytes(blob[16 + 4 * i : 20 + 4 * i], "little") for i in range(DATA_SHARDS)]
     lost = [i for i, s in enumerate(shards) if zlib.crc32(s.tobytes()) != sums[i]]

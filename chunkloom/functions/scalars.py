@@ -19,6 +19,8 @@ PROFILE_TOP = "64M"
 #: Compression algorithms by id, and other names for them (fixed values).
 ALGORITHMS = {0: "none", 1: "lz4", 2: "zstd", 3: "zlib", 4: "lzma", 5: "xz"}
 ALIASES = {"zstandard": "zstd", "deflate": "zlib"}
+#: Level of compression where none is named (fixed value).
+DEFAULT_LEVEL = 6
 #: Parity shards of 16 data shards by redundancy (fixed values).
 PARITY = {"low": 1, "medium": 2, "high": 4}
 #: Letters of item types, and other names of types in a search (fixed values).
@@ -156,11 +158,16 @@ def percent_decode(text: Column | str) -> Column:
 
 
 def normal_href(text: Column | str) -> Column:
-    """Path of a link: without query and scheme with host, decoded, with a leading and no trailing ``/``."""
-    t = F.regexp_replace(_c(text), r"\A[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", "")
-    t = percent_decode(F.regexp_replace(t, r"(?s)[?#].*\z", ""))
-    t = F.regexp_replace(t, r"/+\z", "")
-    return F.when(t.startswith("/"), t).otherwise(F.concat(F.lit("/"), t))
+    """A link without its query, decoded, without trailing ``/``; ``/`` if nothing is left."""
+    t = F.regexp_replace(percent_decode(F.regexp_replace(_c(text), r"(?s)\?.*\z", "")), r"/+\z", "")
+    return F.when(t == "", "/").otherwise(t)
+
+
+def normal_path(text: Column | str) -> Column:
+    """A path of a WebDAV root: trimmed, with a leading slash, and without one trailing slash unless it is all."""
+    t = F.trim(_c(text))
+    t = F.when(t.startswith("/"), t).otherwise(F.concat(F.lit("/"), t))
+    return F.when((F.length(t) > 1) & t.endswith("/"), F.regexp_replace(t, r"/\z", "")).otherwise(t)
 
 
 def relative_path(path: Column | str) -> Column:
@@ -212,10 +219,19 @@ def algorithm_name(text: Column | str) -> Column:
 
 
 def compression_spec(text: Column | str) -> Column:
-    """``algo,level`` as struct(algorithm, level): unknown names are zstd, no or a bad level is 3."""
-    parts = F.split(F.coalesce(_c(text), F.lit("")), ",", -1)
-    level = F.get(parts, F.lit(1)).try_cast("int")
-    return F.struct(F.coalesce(algorithm_name(F.get(parts, F.lit(0))), F.lit("zstd")).alias("algorithm"), F.coalesce(level, F.lit(3)).alias("level"))
+    """``algo,level`` as struct(algorithm, level).
+
+    No text and ``none`` stand for the default, zstd at level 6; other unknown names are zstd, a level that
+    is missing or no number up to 255 is 3, and one above 9 is 6.
+    """
+    t = F.coalesce(_c(text), F.lit(""))
+    parts = F.split(t, ",", -1)
+    written = F.get(parts, F.lit(1))
+    given = F.when(written.rlike(r"\A\+?\d{1,9}\z"), written.try_cast("int"))
+    level = F.when(given <= 9, given).when(given <= 255, F.lit(DEFAULT_LEVEL)).otherwise(F.lit(3))
+    plain = t.isin("", "none")
+    algorithm = F.when(plain, "zstd").otherwise(F.coalesce(algorithm_name(F.get(parts, F.lit(0))), F.lit("zstd")))
+    return F.struct(algorithm.alias("algorithm"), F.when(plain, DEFAULT_LEVEL).otherwise(level).alias("level"))
 
 
 def parity_shards(redundancy: Column | str) -> Column:
@@ -242,7 +258,7 @@ def path_list(text: Column | str) -> Column:
 
 def archive_name(template: Column | str, host: Column, now: Column) -> Column:
     """The template with ``{hostname}``, ``{now}`` and ``{now:%Y...}`` filled in."""
-    t = F.replace(F.replace(_c(template), F.lit("{hostname}"), host), F.lit("{now}"), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss"))
+    t = F.replace(F.replace(_c(template), F.lit("{hostname}"), host), F.lit("{now}"), F.date_format(now, "yyyy-MM-dd_HH:mm:ss"))
     codes = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss"}
     given = F.regexp_extract(t, r"\{now:([^}]*)\}", 1)
     filled = given
@@ -251,29 +267,56 @@ def archive_name(template: Column | str, host: Column, now: Column) -> Column:
     return F.when(given != "", F.replace(t, F.concat(F.lit("{now:"), given, F.lit("}")), filled)).otherwise(t)
 
 
+def unique_archive_name(host: Column, user: Column, now: Column) -> Column:
+    """Name of an archive that got none: host, user and the time to a thousandth of a second."""
+    return F.concat(F.lit("backup_archive_ptintime_"), host, F.lit("_"), user, F.lit("_"), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+
+
 def task_name(repo: Column, archive: Column, frequency: Column, hour: Column, minute: Column) -> Column:
     """``repo_archive_freq_HH_MM`` in lower case, blanks as ``_``."""
     return F.replace(F.lower(F.format_string("%s_%s_%s_%02d_%02d", repo, archive, frequency, hour, minute)), F.lit(" "), F.lit("_"))
 
 
 def next_weekday(day: Column, weekday: Column) -> Column:
-    """The next date from ``day`` on that falls on ``weekday`` (0 is Sunday)."""
-    return F.date_add(day, F.pmod(weekday - (F.dayofweek(day) - 1), F.lit(7)).cast("int"))
+    """The next date from ``day`` on that falls on ``weekday`` (0 is Monday, 6 and above Sunday)."""
+    return F.date_add(day, F.pmod(F.least(weekday, F.lit(6)) - F.weekday(day), F.lit(7)).cast("int"))
 
 
 def day_in_month(day: Column, day_of_month: Column) -> Column:
-    """That day of ``day``'s month, or the month's last if it is shorter."""
+    """That day of ``day``'s month, from the first to the month's last."""
     first = F.trunc(day, "month")
-    return F.date_add(first, (F.least(day_of_month, F.dayofmonth(F.last_day(day))) - 1).cast("int"))
+    return F.date_add(first, (F.least(F.greatest(day_of_month, F.lit(1)), F.dayofmonth(F.last_day(day))) - 1).cast("int"))
+
+
+#: Remote addresses: with a scheme, and short with the path behind the last colon.
+SSH_ADDRESS = r"ssh://(?:([^@/]*)@)?([^:/@]+)(?::(\d+))?(/(?s:.*))"
+SSH_SHORT = r"(?:([^@:]*)@)?((?!ssh://)(?s:.*)):([^:]*)"
 
 
 def parse_location(text: str) -> dict[str, object]:
-    """Kind, host, port, user and path of ``user@host:path`` or ``ssh://user@host:port/path``; else a local path."""
-    m = re.fullmatch(r"ssh://(?:(?P<user>[^@/]+)@)?(?P<host>[^:/]+)(?::(?P<port>\d+))?(?P<path>/.*)?", text) or re.fullmatch(r"(?:(?P<user>[^@/:]+)@)(?P<host>[^:/]+):(?P<path>.+)", text)
+    """Kind, host, port, user and path of ``ssh://user@host:port/path`` or ``user@host:path``, the user may be missing; else a local path.
+
+    The driver's form of ``location``.
+    """
+    m = re.fullmatch(SSH_ADDRESS, text) or re.fullmatch(SSH_SHORT, text)
     if not m:
         return {"kind": "local", "path": text}
-    found = m.groupdict()
-    return {"kind": "ssh", "user": found["user"], "host": found["host"], "port": int(found.get("port") or 22), "path": found["path"] or "/"}
+    found = m.groups()
+    return {"kind": "ssh", "user": found[0], "host": found[1], "port": int(found[2] or 22) if len(found) == 4 else 22, "path": found[-1]}
+
+
+def location(text: Column | str) -> Column:
+    """struct(kind, user, host, port, path) of a remote address; anything without a colon is a local path."""
+    t = _c(text)
+
+    def part(shape: str, n: int) -> Column:
+        return F.nullif(F.regexp_extract(t, shape, n), F.lit(""))
+
+    long, short = t.rlike(rf"\A{SSH_ADDRESS}\z"), t.rlike(rf"\A{SSH_SHORT}\z") & ~t.startswith("ssh://")
+    fields = [F.when(long, part(rf"\A{SSH_ADDRESS}\z", a)).when(short, part(rf"\A{SSH_SHORT}\z", b)) for a, b in ((1, 1), (2, 2), (4, 3))]
+    port = F.when(long, F.coalesce(part(rf"\A{SSH_ADDRESS}\z", 3).cast("int"), F.lit(22))).when(short, 22)
+    kind = F.when(long | short, "ssh").otherwise("local")
+    return F.when(t.isNotNull(), F.struct(kind.alias("kind"), fields[0].alias("user"), fields[1].alias("host"), port.alias("port"), F.when(long | short, fields[2]).otherwise(t).alias("path")))
 
 
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "re", "Column", "F", "strip", "plain_path")]

@@ -77,13 +77,13 @@ def distinct_archives(archives: DataFrame) -> DataFrame:
     return archives.where(F.col("archive_name").isNotNull()).groupBy("archive_name").agg(F.min(F.struct("archive_time", "repo_path")).alias("a")).select("archive_name", "a.repo_path", "a.archive_time")
 
 
-def final_runs(history: DataFrame) -> DataFrame:
+def final_runs(history: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """One row per run id, with start_us and end_us of its times: the row with a readable end, else with any end text, else the first.
 
     Rows without an id are runs of their own, unless equal in all columns. Ties are settled by
     the later end text and then the other columns, so that the choice never depends on row order.
     """
-    cols = ["job_name", "start_time", "end_time", "status", "files_processed", "bytes_processed"]
+    cols = ["job_name", "start_time", "end_time", "status", "files_processed", "bytes_processed", *more]
     # times are read before the aggregation, once per row: filters on them do not pass it
     end_us, start_us = micros(rfc3339("end_time")), micros(rfc3339("start_time"))
     rank = F.struct(end_us.isNotNull().alias("r"), (F.coalesce(F.length(strip("end_time")), F.lit(0)) > 0).alias("t"), *cols, start_us.alias("start_us"), end_us.alias("end_us"))

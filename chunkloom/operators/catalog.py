@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions.patterns import search_glob_regex
 from chunkloom.model import distinct_archives
+from chunkloom.session import small_side
 
 
 def distinct_items(items: DataFrame) -> DataFrame:
@@ -101,20 +102,18 @@ def browse(items: DataFrame, pattern: str, *, regex: bool = False, root: str | C
     return items.where(full.rlike(pattern))
 
 
-def head_then_tail(df: DataFrame, order: list[Column], first: int | None, last: int | None) -> DataFrame:
-    """The first rows in order, then the last of what remains."""
+def head_then_tail(df: DataFrame, order: list[tuple[str, bool]], first: int | None, last: int | None) -> DataFrame:
+    """The first rows in order, given as (column, descending) pairs, then the last of what remains."""
     if first is not None:
-        df = df.orderBy(*order).limit(first)
+        df = df.orderBy(*_sorted(order)).limit(first)
     if last is not None:
-        flipped = [_flip(c) for c in order]
-        df = df.orderBy(*flipped).limit(last)
+        df = df.orderBy(*_sorted(order, flip=True)).limit(last)
     return df
 
 
-def _flip(order: Column) -> Column:
-    text = order._jc.toString() if hasattr(order, "_jc") else str(order)
-    base = F.expr(text.split(" ASC")[0].split(" DESC")[0])
-    return base.asc_nulls_first() if " DESC" in text else base.desc_nulls_last()
+def _sorted(order: list[tuple[str, bool]], *, flip: bool = False) -> list[Column]:
+    """Sort keys of (column, descending) pairs, nulls as the least values."""
+    return [F.col(c).desc_nulls_last() if down != flip else F.col(c).asc_nulls_first() for c, down in order]
 
 
 def list_archives(archives: DataFrame, sort: str = "time", contains: str | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
@@ -122,7 +121,7 @@ def list_archives(archives: DataFrame, sort: str = "time", contains: str | None
     rows = distinct_archives(archives)
     if contains is not None:
         rows = rows.where(F.col("archive_name").contains(contains))
-    order = [F.col("archive_name").asc()] if sort == "name" else [F.col("archive_time").desc(), F.col("archive_name").asc()]
+    order = [("archive_name", False)] if sort == "name" else [("archive_time", True), ("archive_name", False)]
     return head_then_tail(rows, order, first, last)
 
 
@@ -169,6 +168,33 @@ def load_archive(items: DataFrame, archives: DataFrame, name: str) -> DataFrame:
     return distinct_items(items.where(F.col("archive_name") == name))
 
 
+def with_exact_path(items: DataFrame, path: str) -> DataFrame:
+    """Items of exactly that path, with regard to case; no path keeps all."""
+    return items if path == "" else items.where(F.col("path") == path)
+
+
+def at_defaults(items: DataFrame, archives: DataFrame) -> DataFrame:
+    """Items at or below one of the paths their archive was made from; all items of an archive that names none.
+
+    Items of archives that are not registered are left out. Paths are compared as written, component by component.
+    """
+    roots = archives.where(F.col("archive_name").isNotNull()).groupBy("archive_name").agg(F.max("original_paths").alias("_roots"))
+    held = items.join(small_side(roots), "archive_name")
+    below = F.exists("_roots", lambda r: (F.col("path") == r) | F.col("path").startswith(F.concat(F.rtrim(r, F.lit("/")), F.lit("/"))))
+    return held.where(F.col("_roots").isNull() | below).drop("_roots")
+
+
+def first_shown(items: DataFrame, n: int = 4096) -> DataFrame:
+    """The first ``n`` items of each archive in archive order, as a content view loads them."""
+    return items.withColumn("n", F.row_number().over(Window.partitionBy("archive_name").orderBy("item_id"))).where(F.col("n") <= n)
+
+
+def recent_files(items: DataFrame, n: int = 50) -> DataFrame:
+    """The ``n`` files of each archive that were processed last, latest first."""
+    files = items.where(F.col("item_type") == "File")
+    return files.withColumn("n", F.row_number().over(Window.partitionBy("archive_name").orderBy(F.col("item_id").desc()))).where(F.col("n") <= n)
+
+
 def restore_order(items: DataFrame) -> DataFrame:
     """(archive_name, item_id, path, restore_pass, restore_rank): hardlinks in a second pass, else by path components."""
     late = F.when(F.col("item_type") == "Hardlink", 2).otherwise(1)

@@ -37,11 +37,12 @@ def chunk_sizes(store: DataFrame, seeds: DataFrame) -> DataFrame:
     return rows.select(plain_id("chunk_id").alias("chunk_id"), "original_size").where(usable_id("chunk_id")).groupBy("chunk_id").agg(F.max("original_size").alias("original_size"))
 
 
-def archive_stats(items: DataFrame, archives: DataFrame, store: DataFrame, seeds: DataFrame) -> DataFrame:
+def archive_stats(items: DataFrame, archives: DataFrame, store: DataFrame, seeds: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Statistics per archive: files (hardlinks too), directories, sizes and chunks.
 
     ``original_size`` leaves hardlinks out. A chunk is new in the archive of its first reference;
-    chunks that the register does not know have no size.
+    chunks that the register does not know have no size. ``stored`` has (chunk_id, stored_size) of compressed chunks;
+    ``compressed_size`` counts new chunks without one as they are.
     """
     kinds = items.groupBy("archive_name").agg(
         F.count_if(F.col("item_type").isin("File", "Hardlink")).alias("nfiles"),
@@ -50,9 +51,12 @@ def archive_stats(items: DataFrame, archives: DataFrame, store: DataFrame, seeds
         F.sum(F.coalesce(F.size(F.filter("chunks", lambda x: F.length(strip(x)) > 0)), F.lit(0))).alias("nchunks"),
     )
     owned = first_owners(chunk_references(items, archives)).join(chunk_sizes(store, seeds), "chunk_id", "left")
-    new = owned.groupBy("archive_name").agg(F.count(F.lit(1)).alias("nchunks_unique"), F.coalesce(F.sum("original_size"), F.lit(0)).alias("deduplicated_size"))
+    packed = F.lit(None).cast("bigint")
+    if stored is not None:
+        owned, packed = owned.join(stored.groupBy("chunk_id").agg(F.max("stored_size").alias("stored_size")), "chunk_id", "left"), F.col("stored_size")
+    new = owned.groupBy("archive_name").agg(F.count(F.lit(1)).alias("nchunks_unique"), F.coalesce(F.sum("original_size"), F.lit(0)).alias("deduplicated_size"), F.coalesce(F.sum(F.coalesce(packed, F.col("original_size"))), F.lit(0)).alias("compressed_size"))
     zero = F.lit(0).cast("bigint")
-    return kinds.join(new, "archive_name", "left").select("archive_name", "nfiles", "ndirs", "original_size", F.col("nchunks").cast("bigint").alias("nchunks"), F.coalesce("nchunks_unique", zero).alias("nchunks_unique"), F.coalesce("deduplicated_size", zero).alias("deduplicated_size"))
+    return kinds.join(new, "archive_name", "left").select("archive_name", "nfiles", "ndirs", "original_size", F.col("nchunks").cast("bigint").alias("nchunks"), F.coalesce("nchunks_unique", zero).alias("nchunks_unique"), F.coalesce("deduplicated_size", zero).alias("deduplicated_size"), F.coalesce("compressed_size", zero).alias("compressed_size"))
 
 
 def new_chunks(arrivals: DataFrame, known: DataFrame) -> DataFrame:

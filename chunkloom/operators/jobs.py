@@ -14,10 +14,12 @@ ALERT_COOLDOWN_S = 300
 
 
 def runs(history: DataFrame) -> DataFrame:
-    """(id, job_name, start_us, status, is_success, files, bytes): one row per run with a readable start that has ended."""
-    own = final_runs(history)
+    """(id, job_name, start_us, status, is_success, error_message): one row per run with a readable start that has ended."""
+    if "error_message" not in history.columns:
+        history = history.withColumn("error_message", F.lit(None).cast("string"))
+    own = final_runs(history, ("error_message",))
     ended = own.where(F.col("start_us").isNotNull() & F.col("job_name").isNotNull() & F.col("status").isin("success", "failed"))
-    return ended.select("id", "job_name", "start_us", "status", (F.col("status") == "success").alias("is_success"))
+    return ended.select("id", "job_name", "start_us", "status", (F.col("status") == "success").alias("is_success"), "error_message")
 
 
 def last_states(ended: DataFrame) -> DataFrame:
@@ -35,10 +37,12 @@ def failure_streaks(ended: DataFrame) -> DataFrame:
 
 
 def job_states(ended: DataFrame) -> DataFrame:
-    """Folded state per job: last times and the failures in a row; ``last_failure_us`` is cleared by a later success."""
+    """Folded state per job: last times, failures in a row and their last error; a later success clears ``last_failure_us`` and ``last_error``."""
     streak = failure_streaks(ended).groupBy("job_name").agg(F.max_by("streak", F.struct("start_us", "id")).alias("consecutive_failures"))
-    state = last_states(ended).join(streak, "job_name")
-    return state.withColumn("last_failure_us", F.when(F.col("consecutive_failures") > 0, F.col("last_failure_us")))
+    error = ended.groupBy("job_name").agg(F.max(F.when(~F.col("is_success"), F.struct("start_us", "id", "error_message"))).alias("e"))
+    state = last_states(ended).join(streak, "job_name").join(error, "job_name")
+    failed = F.col("consecutive_failures") > 0
+    return state.withColumn("last_failure_us", F.when(failed, F.col("last_failure_us"))).withColumn("last_error", F.when(failed, F.col("e.error_message"))).drop("e")
 
 
 def recent_history(history: DataFrame, n: int) -> DataFrame:
@@ -68,12 +72,15 @@ def missed_runs(ended: DataFrame, expected: DataFrame, window_s: int = 3600) ->
     return expected.withColumn("w", F.floor(F.col("slot_us") / F.lit(w))).join(taken, ["job_name", "w"], "left_anti").select("job_name", "slot_us")
 
 
-def just_missed(tasks: DataFrame, slots: DataFrame, now_us: int, window_s: int = 300) -> DataFrame:
-    """(name, slot_us): the last slot of each task within the window before ``now`` that its last run does not reach.
+def just_missed(tasks: DataFrame, slots: DataFrame, now_us: int, window_s: int = 300, known: DataFrame | None = None) -> DataFrame:
+    """(name, slot_us): the first slot of each task within the window before ``now``, if its last run does not reach it.
 
-    ``tasks`` has (name, last_run_us), ``slots`` (name, slot_us); a task that never ran has missed it.
+    ``tasks`` has (name, last_run_us), ``slots`` (name, slot_us); a task that never ran has missed it. Tasks whose
+    name stands in ``known`` were there before and are not asked.
     """
-    recent = slots.where((F.col("slot_us") <= now_us) & (F.col("slot_us") > now_us - window_s * 1_000_000)).groupBy("name").agg(F.max("slot_us").alias("slot_us"))
+    recent = slots.where((F.col("slot_us") <= now_us) & (F.col("slot_us") > now_us - window_s * 1_000_000)).groupBy("name").agg(F.min("slot_us").alias("slot_us"))
+    if known is not None:
+        recent = recent.join(known.select("name"), "name", "left_anti")
     return recent.join(tasks.select("name", "last_run_us"), "name").where(F.col("last_run_us").isNull() | (F.col("last_run_us") < F.col("slot_us"))).select("name", "slot_us")
 
 
@@ -116,6 +123,12 @@ def alerts(streaks: DataFrame, threshold: int = 2, cooldown_s: int = ALERT_COOLD
     return ordered.mapInPandas(lambda frames: _alerts(frames, threshold, cooldown_s * 1_000_000), "id bigint, job_name string, start_us bigint, streak bigint")
 
 
+def missed_alerts(missed: DataFrame, cooldown_s: int) -> DataFrame:
+    """(job_name, slot_us) of the missed slots that raise an alert: none was raised for the job within the cooldown before."""
+    rows = missed.select(F.col("slot_us").alias("id"), "job_name", F.col("slot_us").alias("start_us"), F.lit(1).cast("bigint").alias("streak"))
+    return alerts(rows, 1, cooldown_s).select("job_name", F.col("start_us").alias("slot_us"))
+
+
 def retained(archives: DataFrame, keep: dict[str, int]) -> DataFrame:
     """Archives with ``is_kept``: the last one of each of the last n hours, days, weeks, months or years that have any.
 

@@ -33,6 +33,12 @@ def insert_new(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return table.unionByName(rows)
 
 
+def taken(names: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """(key, is_taken) of each distinct name: whether it is held already."""
+    known = held.where(F.col(key).isNotNull()).select(key).distinct().withColumn("is_taken", F.lit(True))
+    return names.select(key).distinct().join(known, key, "left").fillna(False, ["is_taken"])
+
+
 def reindex(table: DataFrame, rows: DataFrame, part: str) -> DataFrame:
     """``table`` in which all rows of the parts found in ``rows`` are replaced: no stale row of a part stays."""
     return delete(table, rows.select(part).distinct(), part).unionByName(rows.select(*table.columns))

@@ -30,12 +30,17 @@ def archive_report(items: DataFrame, missing: DataFrame) -> DataFrame:
 
 
 def report_metrics(reports: DataFrame) -> DataFrame:
-    """Per report: count of errors, success rate in percent (100 if nothing was checked) and bytes per second (0 without time)."""
+    """Per report: count of errors, success rate in percent (100 if nothing was checked), bytes per second (0 without time), and the bad ids.
+
+    Each element of the two lists that is an id is an error, also if it is repeated; ``corrupted`` and
+    ``missing`` list each id once, in order, joined by commas.
+    """
     own = reports.dropDuplicates(["report_id"])
-    n = [F.size(F.array_distinct(plain_ids(c))) for c in ("corrupted_chunks", "missing_chunks")]
+    ids = [plain_ids(c) for c in ("corrupted_chunks", "missing_chunks")]
+    n = [F.size(c) for c in ids]
     rate = F.when(F.col("total_chunks") > 0, F.col("verified_chunks") / F.col("total_chunks") * 100).otherwise(100.0)
     speed = F.when(F.col("duration_s") > 0, F.col("bytes_verified") / F.col("duration_s")).otherwise(0.0)
-    return own.select("report_id", "repo_path", (n[0] + n[1]).cast("bigint").alias("error_count"), rate.alias("success_rate"), speed.alias("throughput"))
+    return own.select("report_id", "repo_path", (n[0] + n[1]).cast("bigint").alias("error_count"), rate.alias("success_rate"), speed.alias("throughput"), *(F.array_join(F.array_sort(F.array_distinct(c)), ",").alias(k) for c, k in zip(ids, ("corrupted", "missing"), strict=True)))
 
 
 def integrity(archive_reports: DataFrame) -> DataFrame:

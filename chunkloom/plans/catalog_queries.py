@@ -48,7 +48,7 @@ kinds AS (
   FROM items GROUP BY 1),
 held AS (SELECT archive_name, count(*) AS nchunks FROM refs GROUP BY 1),
 new AS (SELECT o.archive_name AS archive_name, count(*) AS n, CAST(coalesce(sum(original_size), 0) AS BIGINT) AS bytes FROM owned LEFT JOIN sizes USING (chunk_id) GROUP BY 1)
-SELECT archive_name, nfiles, ndirs, original_size, coalesce(nchunks, 0) AS nchunks, coalesce(n, 0) AS nchunks_unique, coalesce(bytes, 0) AS deduplicated_size
+SELECT archive_name, nfiles, ndirs, original_size, coalesce(nchunks, 0) AS nchunks, coalesce(n, 0) AS nchunks_unique, coalesce(bytes, 0) AS deduplicated_size, coalesce(bytes, 0) AS compressed_size
 FROM kinds LEFT JOIN held USING (archive_name) LEFT JOIN new USING (archive_name)"""
 )
 def dedup_stats_by_archive(spark: SparkSession, sf: str) -> DataFrame:
@@ -339,12 +339,13 @@ def verify_integrity(spark: SparkSession, sf: str) -> DataFrame:
     return verify.integrity(_report(spark, sf))
 
 
-_IDS = r"len(list_distinct(list_filter(list_transform(coalesce({}, []), lambda x: regexp_replace(lower(trim(x, E' \t\n\r')), '^(sha256:|0x)', '')), lambda x: x <> '')))"
+_IDS = r"list_filter(list_transform(coalesce({}, []), lambda x: regexp_replace(lower(trim(x, E' \t\n\r')), '^(sha256:|0x)', '')), lambda x: x <> '')"
 
 
 @query(
     f"""
-SELECT DISTINCT report_id, repo_path, CAST({_IDS.format("corrupted_chunks")} + {_IDS.format("missing_chunks")} AS BIGINT) AS error_count,
+SELECT DISTINCT report_id, repo_path, CAST(len({_IDS.format("corrupted_chunks")}) + len({_IDS.format("missing_chunks")}) AS BIGINT) AS error_count,
+       array_to_string(list_sort(list_distinct({_IDS.format("corrupted_chunks")})), ',') AS corrupted, array_to_string(list_sort(list_distinct({_IDS.format("missing_chunks")})), ',') AS missing,
        CASE WHEN total_chunks > 0 THEN CAST(verified_chunks AS DOUBLE) / total_chunks * 100 ELSE 100.0 END AS success_rate,
        CASE WHEN duration_s > 0 THEN bytes_verified / duration_s ELSE 0.0 END AS throughput
 FROM verify_reports""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.functions import chunking, cron
@@ -26,15 +26,15 @@ WITH picked AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY try_cast(end_time AS TIMESTAMPTZ) IS NOT NULL DESC, length(coalesce(end_time, '')) > 0 DESC, job_name DESC, start_time DESC, end_time DESC, status DESC) AS rn
   FROM (SELECT DISTINCT * FROM job_execution_history)) WHERE rn = 1),
 runs AS (
-  SELECT id, job_name, epoch_us(try_cast(start_time AS TIMESTAMPTZ)) AS start_us, status, status = 'success' AS ok
+  SELECT id, job_name, epoch_us(try_cast(start_time AS TIMESTAMPTZ)) AS start_us, status, status = 'success' AS ok, error_message
   FROM picked WHERE try_cast(start_time AS TIMESTAMPTZ) IS NOT NULL AND status IN ('success', 'failed') AND job_name IS NOT NULL),
 islands AS (SELECT *, sum(CAST(ok AS INTEGER)) OVER (PARTITION BY job_name ORDER BY start_us, id ROWS UNBOUNDED PRECEDING) AS island FROM runs),
 streaks AS (SELECT id, job_name, start_us, CAST(sum(CAST(NOT ok AS INTEGER)) OVER (PARTITION BY job_name, island ORDER BY start_us, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS streak FROM islands),
 states AS (
-  SELECT r.job_name, max(r.start_us) AS last_run_us, max(r.start_us) FILTER (ok) AS last_success_us, max(r.start_us) FILTER (NOT ok) AS failed_us, arg_max(streak, (r.start_us, r.id)) AS consecutive_failures
+  SELECT r.job_name, max(r.start_us) AS last_run_us, max(r.start_us) FILTER (ok) AS last_success_us, max(r.start_us) FILTER (NOT ok) AS failed_us, arg_max(streak, (r.start_us, r.id)) AS consecutive_failures, arg_max({'e': error_message}, (r.start_us, r.id)) FILTER (NOT ok) AS err
   FROM runs r JOIN streaks USING (id) GROUP BY 1)
 """
-_STATE = _RUNS + "SELECT job_name, last_run_us, last_success_us, CASE WHEN consecutive_failures > 0 THEN failed_us END AS last_failure_us, consecutive_failures FROM states"
+_STATE = _RUNS + "SELECT job_name, last_run_us, last_success_us, CASE WHEN consecutive_failures > 0 THEN failed_us END AS last_failure_us, consecutive_failures, CASE WHEN consecutive_failures > 0 THEN err.e END AS last_error FROM states"
 _TASKS = "WITH t AS (SELECT DISTINCT * FROM scheduled_tasks) "
 
 
@@ -127,12 +127,25 @@ def active_tasks(spark: SparkSession, sf: str) -> DataFrame:
     return _tasks(spark, sf).where(F.col("active") & (F.col("schedule_type") != "Manual")).select("id", "task_name", "schedule_type")
 
 
-@query(
-    _TASKS
-    + "SELECT id, CASE schedule_type WHEN 'Hourly' THEN '0 ' || run_minute || ' * * * *' WHEN 'Daily' THEN '0 ' || run_minute || ' ' || run_hour || ' * * *' WHEN 'Weekly' THEN '0 ' || run_minute || ' ' || run_hour || ' * * ' || weekday WHEN 'Monthly' THEN '0 ' || run_minute || ' ' || run_hour || ' ' || day_of_month || ' * *' END AS cron FROM t"
-)
+_ZONE = "Europe/Berlin"
+_SHIFT = """, l AS (
+  SELECT *, CASE schedule_type
+    WHEN 'Weekly' THEN make_timestamp(2024, 6, 12, run_hour, run_minute, 0) + to_days(CAST((weekday - 2 + 7) % 7 AS INTEGER))
+    WHEN 'Monthly' THEN make_timestamp(2024, 6, least(greatest(day_of_month, 1), 30), run_hour, run_minute, 0)
+    ELSE make_timestamp(2024, 6, 12, run_hour, run_minute, 0) END AS local_time FROM t),
+u AS (SELECT *, timezone('UTC', timezone('Europe/Berlin', local_time)) AS utc FROM l)
+SELECT id, CASE schedule_type WHEN 'Hourly' THEN '0 ' || run_minute || ' * * * *' WHEN 'Daily' THEN '0 ' || minute(utc) || ' ' || hour(utc) || ' * * *'
+  WHEN 'Weekly' THEN '0 ' || minute(utc) || ' ' || hour(utc) || ' * * ' || dayofweek(utc) WHEN 'Monthly' THEN '0 ' || minute(utc) || ' ' || hour(utc) || ' ' || day(utc) || ' * *' WHEN 'Manual' THEN '0 0 0 1 1 ? 2099' END AS cron FROM u"""
+
+
+def _cron(today: dt.date, zone: str) -> Column:
+    return cron.schedule_cron("schedule_type", F.col("run_minute"), F.col("run_hour"), F.col("weekday"), F.col("day_of_month"), F.lit(today), zone)
+
+
+@query(_TASKS + _SHIFT)
 def schedule_cron(spark: SparkSession, sf: str) -> DataFrame:
-    return _tasks(spark, sf).select("id", cron.schedule_cron("schedule_type", F.col("run_minute"), F.col("run_hour"), F.col("weekday"), F.col("day_of_month")).alias("cron"))
+    """Schedules in UTC of tasks set in local time, as of a Wednesday in summer."""
+    return _tasks(spark, sf).select("id", _cron(dt.date(2024, 6, 12), _ZONE).alias("cron"))
 
 
 _WEEK = (dt.datetime(2024, 5, 31, 12), dt.datetime(2024, 6, 7, 12))
@@ -142,11 +155,11 @@ _WEEK = (dt.datetime(2024, 5, 31, 12), dt.datetime(2024, 6, 7, 12))
     _TASKS
     + """, m AS (SELECT unnest(generate_series(TIMESTAMP '2024-05-31 12:01:00', TIMESTAMP '2024-06-07 12:00:00', INTERVAL 1 MINUTE)) AS slot)
 SELECT task_name AS name, slot FROM t JOIN m ON t.run_minute = minute(slot)
-  AND (schedule_type = 'Hourly' OR (run_hour = hour(slot) AND (schedule_type = 'Daily' OR (schedule_type = 'Weekly' AND t.weekday = dayofweek(slot)) OR (schedule_type = 'Monthly' AND t.day_of_month = day(slot)))))"""
+  AND (schedule_type = 'Hourly' OR (run_hour = hour(slot) AND (schedule_type = 'Daily' OR (schedule_type = 'Weekly' AND (t.weekday + 1) % 7 = dayofweek(slot)) OR (schedule_type = 'Monthly' AND least(t.day_of_month, 31) = day(slot)))))"""
 )
 def expected_runs(spark: SparkSession, sf: str) -> DataFrame:
     """All times of a week at which the tasks' schedules fall due."""
-    rows = _tasks(spark, sf).select(F.col("task_name").alias("name"), cron.schedule_cron("schedule_type", F.col("run_minute"), F.col("run_hour"), F.col("weekday"), F.col("day_of_month")).alias("cron"))
+    rows = _tasks(spark, sf).select(F.col("task_name").alias("name"), _cron(dt.date(2024, 5, 31), "UTC").alias("cron"))
     return cron.expand(rows, *_WEEK)
 
 
@@ -229,17 +242,27 @@ def tasks_list(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     _TASKS
-    + """, r AS (SELECT task_name AS name, make_timestamp(2024, 6, 1, run_hour, run_minute, 0) AS slot,
-  epoch_us(CASE WHEN last_run LIKE '%T%' THEN try_cast(last_run AS TIMESTAMPTZ) ELSE CAST(try_strptime(last_run, '%H:%M %d.%m.%Y') AS TIMESTAMPTZ) END) AS last_run_us FROM t WHERE schedule_type = 'Daily')
-SELECT name, epoch_us(slot) AS slot_us FROM r WHERE slot > TIMESTAMP '2024-06-01 06:00:00' AND slot <= TIMESTAMP '2024-06-01 12:00:00' AND (last_run_us IS NULL OR last_run_us < epoch_us(slot))"""
+    + """, m AS (SELECT unnest(generate_series(TIMESTAMP '2024-06-01 06:01:00', TIMESTAMP '2024-06-01 12:00:00', INTERVAL 1 MINUTE)) AS slot),
+r AS (SELECT id, task_name AS name, min(slot) AS slot, any_value(epoch_us(CASE WHEN last_run LIKE '%T%' THEN try_cast(last_run AS TIMESTAMPTZ) ELSE CAST(try_strptime(last_run, '%H:%M %d.%m.%Y') AS TIMESTAMPTZ) END)) AS last_run_us
+  FROM t JOIN m ON run_minute = minute(slot) AND (schedule_type = 'Hourly' OR (run_hour = hour(slot) AND (schedule_type = 'Daily' OR (schedule_type = 'Weekly' AND (weekday + 1) % 7 = dayofweek(slot)) OR (schedule_type = 'Monthly' AND least(greatest(day_of_month, 1), 30) = day(slot)))))
+  WHERE run_on_boot_if_missed AND execution_count = 0 GROUP BY 1, 2)
+SELECT name, epoch_us(slot) AS slot_us FROM r WHERE last_run_us IS NULL OR last_run_us < epoch_us(slot)"""
 )
 def just_missed(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily tasks whose time within six hours before noon their last run does not reach."""
-    daily = _tasks(spark, sf).where(F.col("schedule_type") == "Daily")
-    noon = 1717243200_000000
-    slots = daily.select(F.col("task_name").alias("name"), (F.lit(noon - 43_200_000_000) + (F.col("run_hour") * 60 + F.col("run_minute")).cast("bigint") * 60_000_000).alias("slot_us"))
-    last = task_last_runs(spark, sf).join(daily.select("id", F.col("task_name").alias("name")), "id")
-    return jobs.just_missed(last, slots, noon, 6 * 3600)
+    """Tasks of all schedules, to be made up for and not run before, whose time within six hours before noon their last run does not reach."""
+    noon = dt.datetime(2024, 6, 1, 12)
+    asked = _tasks(spark, sf).where("run_on_boot_if_missed").withColumn("name", F.col("task_name"))
+    slots = cron.expand(asked.select("name", _cron(noon.date(), "UTC").alias("cron")), noon - dt.timedelta(hours=6), noon).select("name", F.unix_micros(F.col("slot").cast("timestamp")).alias("slot_us"))
+    last = task_last_runs(spark, sf).join(asked.select("id", "name"), "id")
+    known = asked.where(F.coalesce("execution_count", F.lit(0)) > 0)
+    return jobs.just_missed(last, slots, 1717243200_000000, 6 * 3600, known)
+
+
+@query()
+def missed_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts for the hours that jobs missed, at most one a job within three hours."""
+    ended = jobs.runs(_history(spark, sf))
+    return jobs.missed_alerts(jobs.missed_runs(ended, jobs.expected_hours(ended)), 3 * 3600)
 
 
 # --- scalar functions ------------------------------------------------------------------------
@@ -311,8 +334,8 @@ def http_dates(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     """
 WITH v AS (SELECT DISTINCT compression AS c, redundancy AS r FROM archive_bookmarks)
-SELECT c AS compression, r AS redundancy, CASE split_part(c, ',', 1) WHEN 'none' THEN 'none' WHEN 'lz4' THEN 'lz4' WHEN 'zlib' THEN 'zlib' WHEN 'lzma' THEN 'lzma' WHEN 'xz' THEN 'xz' ELSE 'zstd' END AS algorithm,
-       coalesce(try_cast(nullif(split_part(c, ',', 2), '') AS INTEGER), 3) AS level,
+SELECT c AS compression, r AS redundancy, CASE lower(trim(split_part(c, ',', 1))) WHEN 'none' THEN CASE WHEN c = 'none' THEN 'zstd' ELSE 'none' END WHEN 'deflate' THEN 'zlib' WHEN 'lz4' THEN 'lz4' WHEN 'zlib' THEN 'zlib' WHEN 'lzma' THEN 'lzma' WHEN 'xz' THEN 'xz' ELSE 'zstd' END AS algorithm,
+       CAST(CASE WHEN coalesce(c, '') IN ('', 'none') THEN 6 WHEN try_cast(split_part(c, ',', 2) AS UTINYINT) <= 9 THEN try_cast(split_part(c, ',', 2) AS UTINYINT) WHEN try_cast(split_part(c, ',', 2) AS UTINYINT) > 9 THEN 6 ELSE 3 END AS INTEGER) AS level,
        CASE r WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 4 ELSE 0 END AS shards,
        CAST(CASE r WHEN 'low' THEN 80 + 62501 WHEN 'medium' THEN 80 + 125002 WHEN 'high' THEN 80 + 250004 ELSE 0 END AS BIGINT) AS parity_of_1000001
 FROM v"""
@@ -336,7 +359,7 @@ def repository_places(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("repo_path", place_columns("repo_path").alias("p")).select("repo_path", "p.kind", "p.host", "p.root")
 
 
-@query(_TASKS + "SELECT id, replace(replace(lower(repo_name || '_' || archive_name || '_' || schedule_type || '_' || printf('%02d', run_hour) || '_' || printf('%02d', run_minute)), ' ', '_'), '\t', '\t') AS task_name, replace(replace(replace(archive_name, '{hostname}', repo_name), '{now}', '2024-06-01T00:00:00'), '{now:%Y}', '2024') AS next_archive FROM t")
+@query(_TASKS + "SELECT id, replace(replace(lower(repo_name || '_' || archive_name || '_' || schedule_type || '_' || printf('%02d', run_hour) || '_' || printf('%02d', run_minute)), ' ', '_'), '\t', '\t') AS task_name, replace(replace(replace(archive_name, '{hostname}', repo_name), '{now}', '2024-06-01_00:00:00'), '{now:%Y}', '2024') AS next_archive FROM t")
 def task_names(spark: SparkSession, sf: str) -> DataFrame:
     t = _tasks(spark, sf)
     now = F.lit(dt.datetime(2024, 6, 1)).cast("timestamp_ntz")
@@ -345,7 +368,7 @@ def task_names(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     _TASKS
-    + """SELECT id, CAST(DATE '2024-02-14' + CAST((weekday - dayofweek(DATE '2024-02-14') + 7) % 7 AS INTEGER) AS VARCHAR) AS weekly_day,
+    + """SELECT id, CAST(DATE '2024-02-14' + CAST((weekday - 2 + 7) % 7 AS INTEGER) AS VARCHAR) AS weekly_day,
        CAST(DATE '2024-02-01' + CAST(least(day_of_month, 29) - 1 AS INTEGER) AS VARCHAR) AS monthly_day FROM t"""
 )
 def schedule_days(spark: SparkSession, sf: str) -> DataFrame:
@@ -359,7 +382,10 @@ def parse_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("size", "written", s.parse_size("written").alias("parsed"), s.parse_size(F.concat(F.lit(" "), F.col("size").cast("string"), F.lit("kb"))).alias("parsed_k"))
 
 
-@query()
+@query(
+    """SELECT DISTINCT path, CASE WHEN d = '' THEN '/' ELSE d END AS decoded FROM (
+  SELECT path, rtrim(array_to_string(list_transform(regexp_extract_all(hex(encode(split_part(path, '?', 1))), '..'), lambda h: chr(CAST('0x' || h AS INTEGER))), ''), '/') AS d FROM archive_items WHERE path IS NOT NULL)"""
+)
 def percent_decoded(spark: SparkSession, sf: str) -> DataFrame:
     """Paths with their blanks and brackets escaped, decoded again: beyond ASCII as Latin-1."""
     rows = table(spark, sf, "archive_items").select("path").where(F.col("path").isNotNull()).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chunkloom.plans import catalog_queries, operation_queries, problems
+from chunkloom.plans import catalog_queries, operation_queries, problems, store_queries
 
-QUERIES = {**problems.QUERIES, **catalog_queries.QUERIES, **operation_queries.QUERIES}
-SQL = {**problems.SQL, **catalog_queries.SQL, **operation_queries.SQL}
+QUERIES = {**problems.QUERIES, **catalog_queries.QUERIES, **operation_queries.QUERIES, **store_queries.QUERIES}
+SQL = {**problems.SQL, **catalog_queries.SQL, **operation_queries.SQL, **store_queries.SQL}

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions import cron
 from chunkloom.functions.patterns import Rule, parse_rules
+from chunkloom.functions.scalars import epoch_text, list_size, mode_text, type_letter
 from chunkloom.operators.tables import insert_new
+from chunkloom.sources import storage
 
 SNAPSHOT = "id string, name string, time timestamp, root_tree string, hostname string, username string, cmdline array<string>, comment string, tags array<string>"
 
@@ -37,7 +39,7 @@ def commit_archive(items: DataFrame, snapshot: DataFrame, folder: str) -> None:
     of a failed commit are never seen.
     """
     spark = items.sparkSession
-    if Path(folder.removeprefix("file://"), "snapshots").exists():
+    if storage.exists(spark, f"{folder}/snapshots"):
         insert_new(spark.read.parquet(f"{folder}/snapshots").select("archive_name"), snapshot.select("archive_name"), "archive_name")
     items.write.mode("append").partitionBy("archive_name").parquet(f"{folder}/items")
     snapshot.write.mode("append").parquet(f"{folder}/snapshots")
@@ -81,6 +83,16 @@ def write_json(rows: DataFrame, folder: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
 
 
+def listing(items: DataFrame, layout: str = "long") -> DataFrame:
+    """(line): items as lines of a list. ``short`` is the path alone; ``long`` has type, mode, size and time before it, and a link's target behind it."""
+    if layout == "short":
+        return items.select(F.col("path").alias("line"))
+    target = F.coalesce("symlink_target", "hardlink_target")
+    head = F.concat(type_letter("item_type", "-"), mode_text(F.coalesce("attrs.mode", F.lit(0))))
+    size, time = F.lpad(list_size(F.coalesce("size", F.lit(0))), 10, " "), epoch_text(F.coalesce("attrs.mtime", F.lit(0)), "yyyy-MM-dd HH:mm")
+    return items.select(F.concat_ws(" ", head, size, time, "path", F.when(target.isNotNull(), F.concat(F.lit("-> "), target))).alias("line"))
+
+
 def report(rows: DataFrame, most: int = 20) -> str:
     """The first rows as text; says how many more there are."""
     columns, shown, n = rows.columns, rows.limit(most).collect(), rows.count()

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import stat
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from chunkloom.functions.chunking import compress_bytes, decompress_bytes
+from chunkloom.functions.parity import encode, repair
 from chunkloom.functions.patterns import Rule
+from chunkloom.functions.scalars import PARITY
 from chunkloom.model import usable_id
+from chunkloom.session import cut
+from chunkloom.sources import storage
 
 ENTRY = "root string, path string, item_type string, size bigint, mode bigint, uid bigint, gid bigint, atime bigint, mtime bigint, ctime bigint, inode bigint, nlink bigint, symlink_target string"
+#: Payloads below this many bytes are stored raw (fixed value).
+MIN_COMPRESSED = 128
 ITEM_KINDS = ((stat.S_ISREG, "File"), (stat.S_ISDIR, "Directory"), (stat.S_ISLNK, "Symlink"), (stat.S_ISFIFO, "Fifo"), (stat.S_ISSOCK, "Socket"), (stat.S_ISBLK, "BlockDevice"), (stat.S_ISCHR, "CharDevice"))
 
 
@@ -110,49 +119,101 @@ def to_items(entries: DataFrame) -> DataFrame:
     return linked.select("root", "path", F.when(F.col("linked"), "Hardlink").otherwise(F.col("item_type")).alias("item_type"), "size", F.struct("mode", "uid", "gid", "atime", "mtime", "ctime").alias("attrs"), "symlink_target", F.when(F.col("linked"), F.col("first_path")).alias("hardlink_target"))
 
 
-def put_objects(chunks: DataFrame, folder: str) -> DataFrame:
-    """Write the chunks (chunk_id, data) that the store lacks, by hash prefix; gives those written.
+#: Columns of a stored object: its payload as stored, how it was compressed, and its parity blob; the last are null in raw stores.
+OBJECT = "chunk_id string, data binary, algorithm string, parity binary, prefix string"
 
-    Each chunk is written once however often it comes.
+
+def _encoded(chunks: DataFrame, algorithm: str, shards: int) -> DataFrame:
+    """Chunks as they are stored: compressed where that gains, with parity of what is stored."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            done = [compress_bytes(bytes(d or b""), algorithm, MIN_COMPRESSED) for d in pdf["data"]]
+            yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "data": [b for _, b in done], "algorithm": [a for a, _ in done], "parity": [encode(b, shards) or None for _, b in done]})
+
+    return chunks.select("chunk_id", "data").mapInPandas(run, "chunk_id string, data binary, algorithm string, parity binary")
+
+
+def put_objects(chunks: DataFrame, folder: str, algorithm: str = "none", redundancy: str = "none") -> DataFrame:
+    """Write the chunks (chunk_id, data) that the store lacks, by hash prefix; gives the ids written.
+
+    Each chunk is written once however often it comes. Which are new is settled first, by ids alone, so
+    no payload is held while the store is read.
     """
     spark = chunks.sparkSession
-    new = chunks.where(usable_id("chunk_id")).dropDuplicates(["chunk_id"])
-    if os.path.exists(folder.removeprefix("file://")) and "://" not in folder.removeprefix("file://"):
-        new = new.join(list_objects(spark, folder), "chunk_id", "left_anti")
-    new = new.withColumn("prefix", F.substring("chunk_id", 1, 2)).persist()
-    new.write.mode("append").partitionBy("prefix").parquet(folder)
-    return new.select("chunk_id")
+    ids = chunks.where(usable_id("chunk_id")).select("chunk_id").distinct()
+    if storage.exists(spark, folder):
+        ids = ids.join(list_objects(spark, folder), "chunk_id", "left_anti")
+    ids = cut(ids)
+    new = chunks.select("chunk_id", F.col("data").cast("binary").alias("data")).join(ids, "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
+    _encoded(new, algorithm, PARITY.get(redundancy, 0)).withColumn("prefix", F.substring("chunk_id", 1, 2)).write.mode("append").partitionBy("prefix").parquet(folder)
+    return ids
+
+
+def _stored(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(OBJECT).parquet(folder)
 
 
 def list_objects(spark: SparkSession, folder: str) -> DataFrame:
     """(chunk_id) of a store written by ``put_objects``; reads no payload."""
-    return spark.read.schema("chunk_id string, data binary, prefix string").parquet(folder).select("chunk_id")
+    return _stored(spark, folder).select("chunk_id")
 
 
 def get_objects(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
-    """(chunk_id, data) of the wanted chunks."""
-    return spark.read.schema("chunk_id string, data binary, prefix string").parquet(folder).join(wanted.select("chunk_id", F.substring("chunk_id", 1, 2).alias("prefix")), ["chunk_id", "prefix"], "left_semi").select("chunk_id", "data")
+    """(chunk_id, data) of the wanted chunks, decompressed.
+
+    A payload that does not give its id is repaired by its parity; where that fails ``data`` is null.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            data = [_decoded(*x) for x in zip(pdf["chunk_id"], pdf["data"], pdf["algorithm"], pdf["parity"], strict=True)]
+            yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "data": data})
+
+    keys = wanted.select("chunk_id", F.substring("chunk_id", 1, 2).alias("prefix"))
+    return _stored(spark, folder).join(keys, ["chunk_id", "prefix"], "left_semi").select("chunk_id", "data", "algorithm", "parity").mapInPandas(run, "chunk_id string, data binary")
+
+
+def _decoded(chunk_id: str, data: bytes | None, algorithm: str | None, parity: bytes | None) -> bytes | None:
+    stored = bytes(data or b"")
+    for payload in (lambda: stored, lambda: repair(stored, bytes(parity or b""))):
+        try:
+            out = decompress_bytes(payload(), algorithm or "none")
+        except Exception:  # noqa: BLE001, S112 - damaged payloads raise whatever their codec does
+            continue
+        if hashlib.sha256(out).hexdigest() == chunk_id:
+            return out
+    return None
 
 
 def delete_objects(spark: SparkSession, folder: str, unwanted: DataFrame) -> None:
     """Rewrite the hash prefixes that hold unwanted chunks without them; other prefixes stay untouched.
 
-    What is kept is written beside the store first, as the store can't be read and replaced at once.
+    What is kept is written beside the store and renamed into it prefix by prefix. A deletion that was
+    cut short is ended by the next one, or by ``settle_objects``; no kept chunk is lost at any moment.
     """
+    folder = folder.rstrip("/")
+    settle_objects(spark, folder)
     gone = unwanted.select("chunk_id").where(usable_id("chunk_id")).distinct()
-    hit = gone.select(F.substring("chunk_id", 1, 2).alias("prefix")).distinct()  # 256 rows at most
-    store = spark.read.schema("chunk_id string, data binary, prefix string").parquet(folder)
-    kept = store.join(F.broadcast(hit), "prefix", "left_semi").join(gone, "chunk_id", "left_anti")
-    kept.write.mode("overwrite").partitionBy("prefix").parquet(folder.rstrip("/") + ".kept")
-    again = spark.read.schema("chunk_id string, data binary, prefix string").parquet(folder.rstrip("/") + ".kept")
-    prefixes = {r[0] for r in hit.collect()}
-    fs, path = spark.sparkContext._jvm.org.apache.hadoop.fs, folder.rstrip("/")
-    place = fs.Path(path)
-    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for prefix in sorted(prefixes):
-        system.delete(fs.Path(f"{path}/prefix={prefix}"), True)
-    again.select("chunk_id", "data", "prefix").write.mode("append").partitionBy("prefix").parquet(folder)
-    system.delete(fs.Path(path + ".kept"), True)
+    hit = cut(gone.select(F.substring("chunk_id", 1, 2).alias("prefix")).distinct())  # 256 rows at most
+    kept = _stored(spark, folder).join(F.broadcast(hit), "prefix", "left_semi").join(gone, "chunk_id", "left_anti")
+    kept.write.mode("overwrite").partitionBy("prefix").parquet(folder + ".kept")
+    fresh = set(storage.children(spark, folder + ".kept"))
+    for prefix in sorted(r["prefix"] for r in hit.collect()):
+        part = f"prefix={prefix}"
+        if part in fresh:
+            storage.swap_in(spark, f"{folder}.kept/{part}", f"{folder}/{part}")
+        else:
+            storage.delete(spark, f"{folder}/{part}")
+    storage.delete(spark, folder + ".kept")
+
+
+def settle_objects(spark: SparkSession, folder: str) -> None:
+    """End a deletion that was cut short: prefixes that were moved away get their kept chunks."""
+    for part in storage.children(spark, folder + ".kept"):
+        if part.startswith("prefix="):
+            storage.settle(spark, f"{folder}.kept/{part}", f"{folder}/{part}")
+    storage.delete(spark, folder + ".kept")
 
 
 def object_ids(paths: DataFrame, column: str = "path") -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from chunkloom.sources import storage
+
 #: Columns of each table in order (fixed values); those added later come last and may be missing in older files.
 TABLES = {
     "repo_bookmarks": "id bigint, uuid string, name string, path string, repo_type string",
@@ -23,7 +23,7 @@ DEFAULTS = {"run_on_boot_if_missed": False, "execution_count": 0, "active": True
 def create(spark: SparkSession, folder: str) -> None:
     """Make the tables that are not there yet."""
     for name, schema in TABLES.items():
-        if not os.path.exists(f"{folder}/{name}".removeprefix("file://")):
+        if not storage.exists(spark, f"{folder}/{name}"):
             spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}")
 
 
@@ -40,8 +40,18 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def replace(rows: DataFrame, folder: str, name: str) -> None:
     """Write the table's next state beside the old one and swap them, as the old one may be read for it."""
-    place = f"{folder}/{name}".removeprefix("file://")
-    migrated(rows, name).write.mode("overwrite").parquet(f"{folder}/{name}.next")
-    if os.path.exists(place):
-        os.rename(place, place + ".old")
-    os.rename(place + ".next", place)
+    place = f"{folder}/{name}"
+    migrated(rows, name).write.mode("overwrite").parquet(place + ".next")
+    storage.swap_in(rows.sparkSession, place + ".next", place)
+
+
+def save_job_states(states: DataFrame, folder: str) -> None:
+    """Write folded job states to their table: times as RFC 3339 text, alert times kept from the table."""
+    spark = states.sparkSession
+    old = load(spark, folder, "job_state").select("job_name", "last_failure_alert", "last_missed_alert")
+
+    def text(column: str) -> Column:
+        return F.date_format(F.timestamp_micros(column), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+
+    rows = states.join(old, "job_name", "left").select("job_name", *(text(f"last_{k}_us").alias(f"last_{k}") for k in ("run", "success", "failure")), "consecutive_failures", "last_error", "last_failure_alert", "last_missed_alert")
+    replace(rows, folder, "job_state")

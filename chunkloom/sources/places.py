@@ -31,8 +31,10 @@ def parse_place(text: str) -> Place:
     """The place a text names. ``http(s)`` with user data names an S3-like endpoint, else WebDAV."""
     scheme = text.split("://", 1)[0].lower() if "://" in text else ""
     if scheme in S3:
-        bucket, _, prefix = text.split("://", 1)[1].partition("/")
-        return Place("s3", prefix.strip("/"), bucket=bucket)
+        rest, _, prefix = text.split("://", 1)[1].partition("/")
+        data, _, bucket = rest.rpartition("@")
+        user, _, secret = data.partition(":")
+        return Place("s3", prefix.strip("/"), None, bucket, unquote(user) or None, unquote(secret) or None)
     if scheme not in WEBDAV:
         return Place("local", text)
     u = urlsplit(text)
@@ -54,10 +56,19 @@ def with_credentials(text: str, user: str | None = None, secret: str | None = No
     return urlunsplit(u)
 
 
+def with_credentials_column(text: str, user: str, secret: str) -> Column:
+    """``with_credentials`` as an expression on a column of addresses."""
+    c = F.col(text)
+    full = F.when(c.contains("://"), c).otherwise(F.concat(F.lit("https://"), c))
+    known = F.regexp_extract(full, r"\A[^:]*://([^/]*)", 1).contains("@")
+    data = f"{user}:{secret}@".replace("\\", "\\\\").replace("$", "\\$")
+    return F.when(c.startswith("s3://") | known, F.when(c.startswith("s3://"), c).otherwise(full)).otherwise(F.regexp_replace(full, r"\A([^:]*://)", "$1" + data))
+
+
 def s3_settings(place: Place, env: Mapping[str, str] = os.environ, **given: str) -> dict[str, str]:
     """Hadoop settings of an S3 place: what is given comes first, then the place, then ``S3_*`` of the environment."""
-    key = given.get("access_key") or place.user or env.get("S3_ACCESS_KEY_ID")
-    secret = given.get("secret_key") or place.secret or env.get("S3_SECRET_ACCESS_KEY")
+    key = given.get("access_key") or place.user or env.get("S3_ACCESS_KEY") or env.get("S3_ACCESS_KEY_ID")
+    secret = given.get("secret_key") or place.secret or env.get("S3_SECRET_KEY") or env.get("S3_SECRET_ACCESS_KEY")
     token = given.get("session_token") or env.get("S3_SESSION_TOKEN") or env.get("AWS_SESSION_TOKEN")
     endpoint = given.get("endpoint") or place.endpoint or env.get("S3_ENDPOINT")
     found = {"fs.s3a.access.key": key, "fs.s3a.secret.key": secret, "fs.s3a.session.token": token, "fs.s3a.endpoint": endpoint, "fs.s3a.path.style.access": "true" if endpoint else None}

@@ -1,31 +1,30 @@
-"""WebDAV listings: PROPFIND answers as scans, breadth first through any fetch function."""
+"""WebDAV: PROPFIND answers as scans, breadth first, by a Python data source; ranged reading that goes on after breaks."""
 
 from __future__ import annotations
 
+import base64
+import re
+import urllib.request
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from email.utils import parsedate_to_datetime
-from urllib.parse import urlsplit
+from urllib.parse import quote, urlsplit
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCAN = "path string, size bigint, mtime bigint, etag string"
 _D = "{DAV:}"
 
 
 def href_path(href: str) -> str:
-    """Path of a link: percent escapes as the characters of their numbers, no trailing and one leading slash."""
-    path = urlsplit(href).path.encode().decode("latin-1")
-    out, i = [], 0
-    while i < len(path):
-        if path[i] == "%" and i + 2 < len(path) + 0 and all(c in "0123456789abcdefABCDEF" for c in path[i + 1 : i + 3]) and len(path[i + 1 : i + 3]) == 2:
-            out.append(chr(int(path[i + 1 : i + 3], 16)))
-            i += 3
-        else:
-            out.append(path[i])
-            i += 1
-    return "/" + "".join(out).strip("/")
+    """Path of a link without its query: percent escapes as the characters of their numbers, no trailing slash; ``/`` if nothing is left."""
+    latin = href.split("?", 1)[0].encode().decode("latin-1")
+    path = re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), latin)
+    if "://" in path:
+        path = "/" + path.split("://", 1)[1].partition("/")[2]
+    return path.rstrip("/") or "/"
 
 
 def entries(xml: str) -> Iterator[tuple[str, bool, int, int, str | None]]:
@@ -56,33 +55,121 @@ def scan(root: str, propfind: Callable[[str], str]) -> list[tuple[str, int, int,
     return found
 
 
-def scan_table(spark: SparkSession, root: str, propfind: Callable[[str], str]) -> DataFrame:
-    return spark.createDataFrame(scan(root, propfind), SCAN)
+def scan_table(spark: SparkSession, url: str, user: str | None = None, secret: str | None = None) -> DataFrame:
+    """Files below a WebDAV folder, listed by the executors: a task for each folder within it and one for its own files."""
+    spark.dataSource.register(WebDavSource)
+    reader = spark.read.format("webdav_scan").option("url", url)
+    for name, value in (("user", user), ("secret", secret)):
+        if value is not None:
+            reader = reader.option(name, value)
+    return reader.load()
+
+
+def http_propfind(url: str, user: str | None = None, secret: str | None = None) -> Callable[[str], str]:
+    """A ``propfind`` that asks the server of ``url``, at depth 1."""
+    at = urlsplit(url)
+
+    def ask(path: str) -> str:
+        request = urllib.request.Request(f"{at.scheme}://{at.netloc}{quote(path.encode('latin-1'))}", method="PROPFIND", headers={"Depth": "1"} | _login(user, secret))
+        with urllib.request.urlopen(request, timeout=60) as answer:  # noqa: S310 - the caller names the server
+            return answer.read().decode()
+
+    return ask
+
+
+def _login(user: str | None, secret: str | None) -> dict[str, str]:
+    return {"Authorization": "Basic " + base64.b64encode(f"{user}:{secret or ''}".encode()).decode()} if user else {}
+
+
+class _Folder(InputPartition):
+    def __init__(self, path: str, deep: bool) -> None:  # noqa: FBT001
+        super().__init__(0)
+        self.path, self.deep = path, deep
+
+
+class WebDavReader(DataSourceReader):
+    def __init__(self, options: dict) -> None:
+        self.url, self.user, self.secret = options["url"], options.get("user"), options.get("secret")
+
+    def partitions(self) -> list[InputPartition]:
+        root = href_path(urlsplit(self.url).path)
+        below = [path for path, is_folder, *_ in entries(http_propfind(self.url, self.user, self.secret)(root)) if is_folder and path != root]
+        return [_Folder(root, deep=False), *(_Folder(p, deep=True) for p in below)]
+
+    def read(self, partition: _Folder) -> Iterator[tuple]:
+        ask = http_propfind(self.url, self.user, self.secret)
+        if partition.deep:
+            yield from scan(partition.path, ask)
+        else:
+            yield from ((path, size, mtime, etag) for path, is_folder, size, mtime, etag in entries(ask(partition.path)) if not is_folder and path != partition.path)
+
+
+class WebDavSource(DataSource):
+    """``spark.read.format("webdav_scan").option("url", ...)``: one row per file below the folder."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "webdav_scan"
+
+    def schema(self) -> str:
+        return SCAN
+
+    def reader(self, schema: object) -> WebDavReader:
+        return WebDavReader(dict(self.options))
+
+
+class Changed(OSError):
+    """The file was replaced while it was read."""
+
+
+Answer = tuple[int, Mapping[str, str], bytes]
+
+
+def http_get(url: str, user: str | None = None, secret: str | None = None) -> Callable[[dict[str, str]], Answer]:
+    """A ``get`` that asks a server, for ``read_ranged``."""
 
+    def get(headers: dict[str, str]) -> Answer:
+        with urllib.request.urlopen(urllib.request.Request(url, headers=headers | _login(user, secret)), timeout=60) as answer:  # noqa: S310
+            return answer.status, {k.lower(): v for k, v in answer.headers.items()}, answer.read()
 
-def ranges(size: int, block: int) -> list[str]:
-    """Range headers that read a file of ``size`` bytes in blocks."""
-    return [f"bytes={a}-{min(a + block, size) - 1}" for a in range(0, size, block)]
+    return get
 
 
-def read_all(size: int, fetch: Callable[[int], bytes], tries: int = 4, wait: Callable[[float], None] | None = None) -> bytes:
-    """The whole of a file through ``fetch(offset)``; a broken transfer goes on where it stopped.
+def read_ranged(get: Callable[[dict[str, str]], Answer], block: int = 8 << 20, tries: int = 4, wait: Callable[[float], None] | None = None) -> Iterator[bytes]:
+    """A file block by block through ``get(headers)``, which gives (status, headers in lower case, body) or raises OSError.
 
-    ``fetch`` may give fewer bytes than are left or raise OSError; the wait before each new try
-    is 200 ms longer than the one before. Raises OSError after ``tries`` tries without progress.
+    A broken transfer goes on where it stopped, on condition that the file is the one begun with
+    (``If-Range``); each answer must be for the range asked. The wait before each new try is 200 ms
+    longer than the one before. Raises ``Changed`` if the file was replaced, OSError after ``tries``
+    tries without progress. A server without ranges gives the whole file at once.
     """
-    data, failed = b"", 0
-    while len(data) < size:
+    at, total, mark, failed = 0, None, None, 0
+    while total is None or at < total:
+        headers = {"Range": f"bytes={at}-{at + block - 1}"} | ({"If-Range": mark} if mark else {})
         try:
-            piece = fetch(len(data))
+            status, given, body = get(headers)
         except OSError:
-            piece = b""
-        if piece:
-            data, failed = data + piece, 0
+            status, given, body = 0, {}, b""
+        if status == 200:
+            if at:
+                raise Changed("the file was replaced while it was read")
+            yield body
+            return
+        if status == 206:
+            m = re.fullmatch(r"bytes (\d+)-(\d+)/(\d+)", given.get("content-range", ""))
+            if not m or int(m[1]) != at or len(body) > int(m[2]) - int(m[1]) + 1:
+                raise OSError(f"answer for another range than bytes from {at}")
+            if total is not None and int(m[3]) != total:
+                raise Changed("the file was replaced while it was read")
+            total, mark = int(m[3]), mark or given.get("etag") or given.get("last-modified")
+        if status == 416 and not at:  # an empty file has no range
+            return
+        if body and status == 206:
+            at, failed = at + len(body), 0
+            yield body
             continue
         failed += 1
         if failed >= tries:
-            raise OSError(f"transfer stopped at {len(data)} of {size} bytes")
+            raise OSError(f"transfer stopped at {at} of {total if total is not None else '?'} bytes")
         if wait:
             wait(0.2 * failed)
-    return data[:size]

@@ -17,16 +17,28 @@ from pyspark.sql.streaming import StreamingQuery
 
 from chunkloom.operators import jobs, sync
 from chunkloom.session import shared_dir
+from chunkloom.sources import storage
 
 Fold = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 class FoldedTable:
-    """State of a stream: ``fold(state, batch)`` gives the next version."""
+    """State of a stream: ``fold(state, batch)`` gives the next version.
 
-    def __init__(self, spark: SparkSession, schema: str, fold: Fold, name: str) -> None:
+    State and progress lie in ``folder``, so a stream goes on there after its driver ended; without one they
+    get a folder of their own. The last ``KEPT`` versions stay, as an epoch may be repeated.
+    """
+
+    KEPT = 2
+
+    def __init__(self, spark: SparkSession, schema: str, fold: Fold, name: str, folder: str | None = None) -> None:
         self.spark, self.schema, self.fold = spark, schema, fold
-        self.folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.folder = folder or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def epochs(self) -> list[int]:
+        """Epochs whose version was written to its end, in order."""
+        found = sorted(int(n) for n in storage.children(self.spark, f"{self.folder}/state") if n.isdigit())
+        return [n for n in found if storage.exists(self.spark, f"{self.folder}/state/{n}/_SUCCESS")]
 
     def version(self, epoch: int) -> DataFrame:
         if epoch < 0:
@@ -34,17 +46,19 @@ class FoldedTable:
         return self.spark.read.schema(self.schema).parquet(f"{self.folder}/state/{epoch}")
 
     def take(self, batch: DataFrame, epoch: int) -> None:
-        self.fold(self.version(epoch - 1), batch).write.mode("overwrite").parquet(f"{self.folder}/state/{epoch}")
-        self.last = epoch
+        before = [n for n in self.epochs() if n < epoch]
+        self.fold(self.version(before[-1] if before else -1), batch).write.mode("overwrite").parquet(f"{self.folder}/state/{epoch}")
+        for n in before[: max(len(before) + 1 - self.KEPT, 0)]:
+            storage.delete(self.spark, f"{self.folder}/state/{n}")
 
     def run(self, stream: DataFrame) -> DataFrame:
         """Fold all that is there, and give the state after it. A later call goes on where this one ended."""
         query: StreamingQuery = stream.writeStream.foreachBatch(self.take).option("checkpointLocation", f"{self.folder}/progress").trigger(availableNow=True).start()
         query.awaitTermination()
-        return self.version(getattr(self, "last", -1))
+        return self.version(self.epochs()[-1] if self.epochs() else -1)
 
 
-JOB_STATE = "job_name string, last_run_us bigint, last_success_us bigint, last_failure_us bigint, consecutive_failures bigint"
+JOB_STATE = "job_name string, last_run_us bigint, last_success_us bigint, last_failure_us bigint, consecutive_failures bigint, last_error string"
 
 
 def fold_job_state(state: DataFrame, history: DataFrame) -> DataFrame:
@@ -54,7 +68,7 @@ def fold_job_state(state: DataFrame, history: DataFrame) -> DataFrame:
     """
     ended = jobs.runs(history)
     success = ended.where("is_success").groupBy("job_name").agg(F.max(F.struct("start_us", "id")).alias("ok"))
-    since = ended.where(~F.col("is_success")).join(success, "job_name", "left").where(F.col("ok").isNull() | (F.struct("start_us", "id") > F.col("ok"))).groupBy("job_name").agg(F.count(F.lit(1)).alias("failures"), F.max("start_us").alias("failed_us"))
+    since = ended.where(~F.col("is_success")).join(success, "job_name", "left").where(F.col("ok").isNull() | (F.struct("start_us", "id") > F.col("ok"))).groupBy("job_name").agg(F.count(F.lit(1)).alias("failures"), F.max("start_us").alias("failed_us"), F.max_by("error_message", F.struct("start_us", "id")).alias("error"))
     batch = ended.groupBy("job_name").agg(F.max("start_us").alias("run_us")).join(success.select("job_name", F.col("ok.start_us").alias("ok_us")), "job_name", "left").join(since, "job_name", "left")
     both = state.join(batch, "job_name", "full_outer")
     n = F.coalesce("failures", F.lit(0).cast("bigint"))
@@ -65,6 +79,7 @@ def fold_job_state(state: DataFrame, history: DataFrame) -> DataFrame:
         F.coalesce("ok_us", "last_success_us").alias("last_success_us"),
         F.when(streak > 0, F.coalesce("failed_us", "last_failure_us")).alias("last_failure_us"),
         streak.alias("consecutive_failures"),
+        F.when(streak > 0, F.when(F.col("failed_us").isNotNull(), F.col("error")).otherwise(F.col("last_error"))).alias("last_error"),
     )
 
 
