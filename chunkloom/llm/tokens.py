@@ -1,4 +1,4 @@
-"""Sizes of texts in tokens of a public tokenizer."""
+"""Sizes of texts in tokens of a public tokenizer, and weights by quality."""
 
 from __future__ import annotations
 
@@ -8,16 +8,19 @@ import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chunkloom.session import cut, small_side
+
 #: Folder of the vocabulary files, and the rank file used unless another is named.
 TOKENIZER_DIR = "/opt/tokenizers"
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: The pattern that splits text before the merges of the rank files (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A text with a run of blanks or of other characters this long is counted in pieces, else its merges take too long.
+#: A text with a run of blanks or of other characters this long is counted in pieces of that length, else its merges take too long; its count may be higher by a token a piece.
 RUN = 20_000
 _LONG_RUN = re.compile(r"\S{%d}|\s{%d}" % (RUN, RUN))
 
@@ -54,10 +57,96 @@ def token_counts(documents: DataFrame, columns: list[str], directory: str = TOKE
     return rows.mapInArrow(_count(f"{directory}/{ranks}"), f"{schema}, n_tokens bigint")
 
 
-def quality_weight(text: str = "text") -> Column:
-    """Sampling weight of a text, from 0.05 to 1: its share of letters, less for short and marked-up ones."""
+#: Texts at most that the character model is fitted on, and bytes at most that each gives, from a place drawn at random.
+FIT_TEXTS, FIT_BYTES = 10_000, 4_000
+#: Slots of the hashed trigrams of the character model, and its smoothing.
+TRIGRAMS, ALPHA = 1 << 20, 0.01
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bounded part of each sampled text."""
+    for batch in batches:
+        out = []
+        for text, at in zip(batch.column("text").to_pylist(), batch.column("text_hash").to_pylist(), strict=True):
+            data = text.encode()
+            start = at % (len(data) - FIT_BYTES) if len(data) > FIT_BYTES else 0
+            out.append(data[start : start + FIT_BYTES])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["data"])
+
+
+def _grams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Pair of bytes before each byte from the third on, and the slot of it with that byte."""
+    b = np.frombuffer(data, np.uint8).astype(np.int64)
+    pairs = b[:-2] << 8 | b[1:-1]
+    return pairs, (pairs * 0x9E3779B1 + b[2:] * 0x85EBCA6B >> 7) & (TRIGRAMS - 1)
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pairs, trigrams = np.zeros(1 << 16, np.float32), np.zeros(TRIGRAMS, np.float32)
+    for batch in batches:
+        for data in batch.column(0).to_pylist():
+            p, t = _grams(data)
+            np.add.at(pairs, p, 1)
+            np.add.at(trigrams, t, 1)
+    yield pa.RecordBatch.from_arrays([pa.array([pairs.tobytes()], pa.binary()), pa.array([trigrams.tobytes()], pa.binary())], names=["pairs", "trigrams"])
+
+
+def character_model(texts: DataFrame) -> tuple[bytes, bytes]:
+    """Counts of byte pairs and hashed trigrams, of (text_hash, text): equal texts count once, ``FIT_TEXTS`` at most, drawn by hash."""
+    n, draw = texts.count(), F.pmod(F.xxhash64("text_hash"), F.lit(1 << 30))
+    sample = texts.where(draw < int((1 << 30) * min(1.0, FIT_TEXTS / max(n, 1)))).dropDuplicates(["text_hash"]).limit(FIT_TEXTS)
+    row = sample.mapInArrow(_windows, "data binary").repartition(1).mapInArrow(_count_grams, "pairs binary, trigrams binary").head()  # one row of fixed size
+    return (bytes(row["pairs"]), bytes(row["trigrams"])) if row else (bytes(4 << 16), bytes(4 * TRIGRAMS))
+
+
+def surprise(model: object, column: str = "text") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds ``bits``: mean bits per byte of the whole text under the character model, null below three bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, trigrams = (np.frombuffer(x, np.float32) for x in model.value)
+        for batch in batches:
+            out = []
+            for text in batch.column(column).to_pylist():
+                data = (text or "").encode()
+                if len(data) < 3:
+                    out.append(None)
+                    continue
+                total = 0.0
+                for i in range(0, len(data) - 2, 1 << 20):  # long texts piece by piece, two bytes in common
+                    p, t = _grams(data[i : i + (1 << 20) + 2])
+                    total += float(np.log2((pairs[p] + ALPHA * 256) / (trigrams[t] + ALPHA)).sum())
+                out.append(total / (len(data) - 2))
+            yield batch.append_column("bits", pa.array(out, pa.float64()))
+
+    return run
+
+
+def form(text: str = "text") -> Column:
+    """How much of a text is letters, from 0 to 1, less for short and marked-up ones."""
     t = F.coalesce(F.col(text), F.lit(""))
     n = F.greatest(F.length(t), F.lit(1))
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]+", "")) / n
     marks = F.length(F.regexp_replace(t, r"[^<>\[\]{}]+", "")) / n
-    return F.greatest(letters * (1 - F.exp(-n / F.lit(200.0))) * F.exp(F.lit(-10.0) * marks), F.lit(0.05))
+    return letters * (1 - F.exp(-n / F.lit(200.0))) * F.exp(F.lit(-10.0) * marks)
+
+
+#: Least weight of a text, and weight in texts of all sources' surprise beside that of one.
+LEAST_WEIGHT, BACKED = 0.05, 30.0
+
+
+def with_quality(rows: DataFrame) -> DataFrame:
+    """``rows`` of (source, form, bits, ...) with ``weight``, from ``LEAST_WEIGHT`` to 1.
+
+    The form counts in full, and by half how usual the text is among those of its source: a logistic
+    function of its bits per byte against the source's mean and deviation, so a language is held
+    against itself. Statistics cover all texts.
+    """
+    stats = rows.where("bits is not null").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("bits").alias("s"), F.sum(F.col("bits") * F.col("bits")).alias("q"))
+    stats = cut(stats)
+    total = stats.agg(F.sum("n").alias("an"), F.sum("s").alias("as"), F.sum("q").alias("aq"))
+    n = F.col("n") + BACKED
+    mean, square = ((F.col(x) + BACKED * F.try_divide(f"a{x}", "an")) / n for x in ("s", "q"))
+    stats = stats.crossJoin(F.broadcast(total)).select(F.col("source").alias("of"), mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.01))).alias("deviation"))  # one row over all sources
+    usual = F.coalesce(1 / (1 + F.exp((F.col("bits") - F.col("mean")) / F.col("deviation"))), F.lit(0.5))
+    joined = rows.join(small_side(stats), F.col("source").eqNullSafe(F.col("of")), "left")
+    return joined.withColumn("weight", F.greatest(F.col("form") * (1 + usual) / 2, F.lit(LEAST_WEIGHT))).drop("of", "mean", "deviation")
