@@ -50,14 +50,16 @@ def p7_bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_caps(spark: SparkSession, sf: str) -> DataFrame:
     """Of every target source whether no post is used more often than it may be and its budget is met within the largest post."""
-    mixed, planned = _mixed(spark, sf)
-    used = mixed.groupBy("source").agg(F.max("repeats").alias("most"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("used"), F.max("n_tokens").alias("largest"))
+    sized = mixing.sized_texts(table(spark, sf, "documents"))
+    mixed, planned = _mixed(spark, sf, sized)
+    used = mixed.groupBy("source").agg(F.max("repeats").alias("most"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("used"))
+    used = used.join(sized.groupBy("source").agg(F.max("n_tokens").alias("largest")), "source", "right")
     within = (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")) & (F.abs(F.coalesce("used", F.lit(0)) - F.col("budget_tokens")) <= F.coalesce("largest", F.lit(0)))
     return planned.join(used, "source", "left").select("source", "max_repeats", within.alias("is_within"))
 
 
-def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    sized = mixing.sized_texts(table(spark, sf, "documents"))
+def _mixed(spark: SparkSession, sf: str, sized: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    sized = mixing.sized_texts(table(spark, sf, "documents")) if sized is None else sized
     planned = mixing.cut(mixing.plan(sized, table(spark, sf, "mix_targets")))
     return mixing.mix(sized, planned), planned
 
