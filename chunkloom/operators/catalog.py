@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions.patterns import search_glob_regex
 from chunkloom.model import distinct_archives
+from chunkloom.operators.ranking import numbered
 from chunkloom.session import small_side
 
 
@@ -140,8 +141,9 @@ def ranked_items(items: DataFrame, sort: str) -> DataFrame:
 
     Equal items keep their order in the archive.
     """
-    keys = {"size": [F.col("size").desc()], "mtime": [F.col("attrs.mtime").desc()], "path": [path_order().asc()]}[sort]
-    return items.withColumn("n_in_order", F.row_number().over(Window.partitionBy("archive_name").orderBy(*keys, "item_id")))
+    key, down = {"size": (F.col("size"), True), "mtime": (F.col("attrs.mtime"), True), "path": (path_order(), False)}[sort]
+    ranked = numbered(items.withColumn("_key", key), ["archive_name"], [("_key", down), ("item_id", False)], "n_in_order")
+    return ranked.withColumn("n_in_order", F.col("n_in_order").cast("int")).drop("_key")
 
 
 def item_totals(items: DataFrame) -> DataFrame:
@@ -198,9 +200,9 @@ def recent_files(items: DataFrame, n: int = 50) -> DataFrame:
 def restore_order(items: DataFrame) -> DataFrame:
     """(archive_name, item_id, path, restore_pass, restore_rank): hardlinks in a second pass, else by path components."""
     late = F.when(F.col("item_type") == "Hardlink", 2).otherwise(1)
-    order = Window.partitionBy("archive_name").orderBy("restore_pass", path_order(), "item_id")
-    kept = items.where(F.col("item_type").isin("File", "Directory", "Symlink", "Hardlink")).withColumn("restore_pass", late)
-    return kept.select("archive_name", "item_id", "path", "restore_pass", F.row_number().over(order).alias("restore_rank"))
+    kept = items.where(F.col("item_type").isin("File", "Directory", "Symlink", "Hardlink")).select("archive_name", "item_id", "path", late.alias("restore_pass"), path_order().alias("_key"))
+    ranked = numbered(kept, ["archive_name"], [("restore_pass", False), ("_key", False), ("item_id", False)], "restore_rank")
+    return ranked.withColumn("restore_rank", F.col("restore_rank").cast("int")).drop("_key")
 
 
 def restore_totals(items: DataFrame) -> DataFrame:

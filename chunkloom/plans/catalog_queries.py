@@ -187,17 +187,17 @@ def list_archives_first_last(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT archive_name, item_id, path, CAST(row_number() OVER (PARTITION BY archive_name ORDER BY string_split(path, '/'), item_id) AS INTEGER) AS n_in_order FROM items")
 def list_items_by_path(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.ranked_items(inputs.items(spark, sf), "path").select("archive_name", "item_id", "path", "n_in_order")
+    return catalog.ranked_items(inputs.items(spark, sf).select("archive_name", "item_id", "path"), "path").select("archive_name", "item_id", "path", "n_in_order")
 
 
 @query("SELECT archive_name, item_id, size, CAST(row_number() OVER (PARTITION BY archive_name ORDER BY size DESC, item_id) AS INTEGER) AS n_in_order FROM items")
 def list_items_by_size(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.ranked_items(inputs.items(spark, sf), "size").select("archive_name", "item_id", "size", "n_in_order")
+    return catalog.ranked_items(inputs.items(spark, sf).select("archive_name", "item_id", "size"), "size").select("archive_name", "item_id", "size", "n_in_order")
 
 
 @query("SELECT archive_name, item_id, attrs.mtime AS mtime, CAST(row_number() OVER (PARTITION BY archive_name ORDER BY attrs.mtime DESC, item_id) AS INTEGER) AS n_in_order FROM items")
 def list_items_by_mtime(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.ranked_items(inputs.items(spark, sf), "mtime").select("archive_name", "item_id", F.col("attrs.mtime").alias("mtime"), "n_in_order")
+    return catalog.ranked_items(inputs.items(spark, sf).select("archive_name", "item_id", "attrs"), "mtime").select("archive_name", "item_id", F.col("attrs.mtime").alias("mtime"), "n_in_order")
 
 
 @query("SELECT archive_name, item_id, path FROM items WHERE (path IN ('old', 'docs') OR starts_with(path, 'old/') OR starts_with(path, 'docs/')) AND contains(lower(path), 'e') AND NOT contains(lower(path), '.log') AND NOT contains(lower(path), 'music')")
@@ -297,6 +297,28 @@ def diff_summary(spark: SparkSession, sf: str) -> DataFrame:
     return diff.summary(_diff(spark, sf))
 
 
+@query(
+    _DIFF.split("ends AS")[0]
+    + "tree AS"
+    + _DIFF.split("tree AS")[1].split("old AS")[0]
+    + """steps AS (SELECT repo_path, archive_name AS b, lag(archive_name) OVER (PARTITION BY repo_path ORDER BY archive_time, archive_name) AS a FROM arcs WHERE archive_name IN (SELECT archive_name FROM items)),
+old AS (SELECT b AS after_name, repo_path, path, v FROM tree JOIN steps ON archive_name = a),
+new AS (SELECT b AS after_name, repo_path, path, v FROM tree JOIN steps ON archive_name = b WHERE a IS NOT NULL),
+entries AS (
+  SELECT repo_path, after_name, o.v.size AS before, n.v.size AS after, CASE WHEN o.v IS NULL THEN 'added' WHEN n.v IS NULL THEN 'removed' WHEN o.v IS DISTINCT FROM n.v THEN 'modified' ELSE 'unchanged' END AS status
+  FROM old o FULL JOIN new n USING (repo_path, after_name, path)),
+sums AS (
+  SELECT repo_path, after_name, count(*) FILTER (status = 'added') AS n_added, count(*) FILTER (status = 'removed') AS n_removed, count(*) FILTER (status = 'modified') AS n_modified, count(*) FILTER (status = 'unchanged') AS n_unchanged, count(*) AS n_paths,
+    CAST(coalesce(sum(after) FILTER (status = 'added'), 0) AS BIGINT) AS added_bytes, CAST(coalesce(sum(before) FILTER (status = 'removed'), 0) AS BIGINT) AS removed_bytes, CAST(coalesce(sum(after - before) FILTER (status = 'modified'), 0) AS BIGINT) AS modified_bytes
+  FROM entries GROUP BY 1, 2)
+SELECT *, added_bytes - removed_bytes + modified_bytes AS net_bytes FROM sums"""
+)
+def diff_successive(spark: SparkSession, sf: str) -> DataFrame:
+    """The summary of every archive against the one before it in its repository."""
+    raw = table(spark, sf, "archive_items")
+    return diff.summary(diff.entries(raw, diff.successive_pairs(raw, table(spark, sf, "archives")), by_pair=True))
+
+
 @query(_DIFF % _CHANGED + "SELECT repo_path, path, status, CAST(row_number() OVER (PARTITION BY repo_path, status ORDER BY CASE status WHEN 'added' THEN size_after WHEN 'removed' THEN size_before ELSE abs(size_after - size_before) END DESC NULLS LAST, path) AS INTEGER) AS n_in_status FROM entries WHERE status <> 'unchanged'")
 def diff_by_delta(spark: SparkSession, sf: str) -> DataFrame:
     return diff.ranked(_diff(spark, sf)).select("repo_path", "path", "status", "n_in_status")

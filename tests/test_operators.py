@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions import chunking, cron, parity, patterns
 from chunkloom.functions import scalars as s
-from chunkloom.operators import catalog, dedup, diff, jobs, paths, sync, tables, verify
+from chunkloom.operators import catalog, dedup, diff, jobs, paths, ranking, sync, tables, verify
 from chunkloom.operators.catalog import SearchQuery
 from chunkloom.sources import documents, files, operational, places, storage, webdav
 from chunkloom.streaming import notify
@@ -53,6 +53,19 @@ def test_search(make) -> None:
     assert catalog.search(items.limit(0), archives, SearchQuery(limit=5)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [5, 10**6])
+def test_numbering_of_hot_groups(spark, hot: int, monkeypatch: pytest.MonkeyPatch) -> None:
+    monkeypatch.setattr(ranking, "HOT_ROWS", hot)
+    rng = random.Random(hot)
+    rows = [(rng.choice(["hot", "hot", "b", None]), rng.choice([None, 1, 2, 3]), i) for i in range(400)] + [("one", 1, 400)]
+    found = ranking.numbered(spark.createDataFrame(rows, "g string, k int, id int").repartition(5), ["g"], [("k", True), ("id", False)], "n").collect()
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-(r[1] if r[1] is not None else -1), r[2]))
+        want |= {r[2]: n for n, r in enumerate(own, 1)}
+    assert {r.id: r.n for r in found} == want and len(found) == len(rows)
+
+
 def test_component_order_and_prefix(make) -> None:
     rows = make([item(i, "a", p) for i, p in enumerate(["a.b/c", "a-b", "a/b", "a"])], ITEM)
     assert [r.path for r in catalog.ranked_items(rows, "path").orderBy("n_in_order").collect()] == ["a", "a/b", "a-b", "a.b/c"]
@@ -209,7 +222,9 @@ def test_folder_rules(make) -> None:
     assert [r.is_excluded for r in paths.exclude_with_ancestors(rows, rule).collect()] == [True, False, True, False, False]
 
 
-def test_roots(make) -> None:
+@pytest.mark.parametrize("in_row", [64, 1, 0])
+def test_roots(make, in_row: int, monkeypatch: pytest.MonkeyPatch) -> None:
+    monkeypatch.setattr(paths, "ROOTS_IN_ROW", in_row)
     roots = make([("k", "/a", 0), ("k", "a/b", 1), ("k", "a", 2), ("o", "/", 0)], "k string, root string, n int")
     rows = make([("k", "a/b/c"), ("k", "/a/x"), ("k", "ab"), ("o", "z"), ("k", "a/bc")], "k string, path string").withColumn("root", F.lit("clash"))
     found = {(r.k, r.path): (r.root, r.root_n) for r in paths.assign_roots(rows, roots, ["k"]).collect()}
