@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import random
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from chunkloom.model import strip
 from chunkloom.session import cut, small_side, spread
 
-#: Texts at most that the end model is fitted on, and places at most that each gives of either kind.
-FIT_POSTS, FIT_PLACES = 20_000, 8
+#: Texts at most that the end model is fitted on, places of either kind that each gives if there are so many, and if there are few.
+FIT_POSTS, FIT_PLACES, MOST_PLACES = 20_000, 8, 40
 #: Weights of the model, and distinct texts in which a feature must occur.
 WEIGHT_BITS, FEATURE_TEXTS = 21, 3
 #: Passes of the fit, its step and its penalty.
@@ -58,8 +59,8 @@ _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
 _FOLDED = str.maketrans("123456789*•", "000000000--")
 #: A terminator ends a segment if a blank follows it. Searched backwards.
 _BREAK = regex.compile(r"(?r)[.!?…](?=\s)|[。！？\n\r<>\[\]\p{Extended_Pictographic}]")
-#: Where segments end in the midst of a text.
-_SEGMENT_END = regex.compile(r"[\p{L}\p{N}](?:[.!?](?=\s)|[。！？]|(?=[ \t]*[\n\r]))")
+#: Where segments may end in the midst of a text: behind a letter or digit they do.
+_SEGMENT_END = re.compile(r"[.!?](?=\s)|[。！？]|[ \t]*[\n\r]")
 _ENDING_FOLLOWS = regex.compile(r"[^\S\n\r]*(?:[.!?…。！？\n\r]|\Z)")
 _CLOSERS = "\"'”’»)] \t\n\r"
 _TERMINAL = _CLOSERS + ".!?。！？"
@@ -80,6 +81,8 @@ _STRUCTURE = regex.compile(
     r"|(?P<mark>[“”„«»]|(?<![\p{L}\p{N}\p{P}])\"(?=\S)|(?<=\S)\")",
     regex.IGNORECASE | regex.MULTILINE,
 )
+#: Where a structure may begin; most characters are passed over by this alone.
+_BEGINS = re.compile(r"^(?:>|&gt;)|[`\[<({「『（【《)\]}」』）】》“”„«»\"]", re.MULTILINE)
 _DOWN = dict(zip(")]}」』）】》", "([{「『（【《", strict=True))
 #: Classes of open structures, each with rates of its own.
 CLASSES = ("quote", "code", "tag", "bracket", "mark")
@@ -128,8 +131,11 @@ def open_at_end(text: str) -> list[str]:
             top = frames.pop().name
             tags[top] -= 1
 
-    for m in _STRUCTURE.finditer(text):
-        kind, frame = m.lastgroup, frames[-1]
+    after = 0
+    for begin in _BEGINS.finditer(text):
+        if begin.start() < after or not (m := _STRUCTURE.match(text, begin.start())):
+            continue
+        after, kind, frame = m.end(), m.lastgroup, frames[-1]
         if kind == "line":
             continue
         name = (m["square"] or m["angle"] or m[0]).lower() if kind in ("square", "angle") else m[0]
@@ -153,10 +159,10 @@ def open_at_end(text: str) -> list[str]:
                 frame.close(_DOWN[name])
         else:
             opened = next((x for x in _PAIRS.get(name, "") if frame.held.get(x)), None)
-            before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+            left, right = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
             if opened:
                 frame.close(opened)
-            elif name in "“„" or (name in '«»"' and not before.strip() and (name == "«" or after.strip())):
+            elif name in "“„" or (name in '«»"' and not left.strip() and (name == "«" or right.strip())):
                 frame.push(name)
     classes = {_CLASS.get(f.name, "tag") for f in frames[1:]}
     return sorted(classes.union(*({_CLASS[x] for x in set(f.open)} for f in frames)))
@@ -226,32 +232,40 @@ def _random_place(rng: random.Random, text: str) -> int:
     return p if p and text[p - 1].isalnum() and not _ENDING_FOLLOWS.match(text, p) else 0
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _places(per_text: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Labelled places of the sampled texts: ends of segments and of texts (true), places drawn at random.
 
     The ends of whole texts, without their terminators, and the random places set the scale of the scores.
     """
-    for batch in batches:
-        texts, ends, scales, rows = [], [], [], []
-        for text, at in zip(batch.column("text").to_pylist(), batch.column("text_hash").to_pylist(), strict=True):
-            rng, text = random.Random(at), text.rstrip()
-            closed = [m.start() + 1 for m in _SEGMENT_END.finditer(text)]
-            places = [(p, True, False) for p in rng.sample(closed, min(FIT_PLACES, len(closed)))]
-            kind, bare = ending(text), len(text.rstrip(_TERMINAL))
-            if kind == "terminated" and bare:
-                places.append((bare, True, True))
-            elif kind == "bare":
-                places.append((len(text), True, False))
-            drawn = (_random_place(rng, text) for _ in range(FIT_PLACES))
-            places += [(p, False, True) for p in drawn if p]
-            for p, is_end, sets_scale in places:
-                own = features(text, p)
-                texts.append(at)
-                ends.append(is_end)
-                scales.append(sets_scale)
-                rows.append(own + [0] * (WIDTH - len(own)))
-        flat = pa.array(np.array(rows, np.int32).reshape(-1))
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.int64()), pa.array(ends, pa.bool_()), pa.array(scales, pa.bool_()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * WIDTH + 1, WIDTH), pa.int32()), flat)], names=["text_hash", "is_end", "sets_scale", "features"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _places_of(batch, per_text)
+
+    return run
+
+
+def _places_of(batch: pa.RecordBatch, per_text: int) -> pa.RecordBatch:
+    texts, ends, scales, rows = [], [], [], []
+    for text, at in zip(batch.column("text").to_pylist(), batch.column("text_hash").to_pylist(), strict=True):
+        rng, text = random.Random(at), text.rstrip()
+        closed = [p for p in (m.start() for m in _SEGMENT_END.finditer(text)) if p and text[p - 1].isalnum()]
+        places = [(p, True, False) for p in rng.sample(closed, min(per_text, len(closed)))]
+        kind, bare = ending(text), len(text.rstrip(_TERMINAL))
+        if kind == "terminated" and bare:
+            places.append((bare, True, True))
+        elif kind == "bare":
+            places.append((len(text), True, False))
+        drawn = (_random_place(rng, text) for _ in range(per_text))
+        places += [(p, False, True) for p in drawn if p]
+        for p, is_end, sets_scale in places:
+            own = features(text, p)
+            texts.append(at)
+            ends.append(is_end)
+            scales.append(sets_scale)
+            rows.append(own + [0] * (WIDTH - len(own)))
+    flat = pa.array(np.array(rows, np.int32).reshape(-1))
+    return pa.RecordBatch.from_arrays([pa.array(texts, pa.int64()), pa.array(ends, pa.bool_()), pa.array(scales, pa.bool_()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * WIDTH + 1, WIDTH), pa.int32()), flat)], names=["text_hash", "is_end", "sets_scale", "features"])
 
 
 def _slope(score: np.ndarray, label: np.ndarray, importance: np.ndarray) -> float:
@@ -301,7 +315,8 @@ def end_model(texts: DataFrame) -> bytes:
     """Weights of the end model, of (text_hash, text); fitted on ``FIT_POSTS`` texts at most, drawn by hash."""
     n, draw = texts.count(), F.pmod(F.xxhash64("text_hash"), F.lit(1 << 30))
     sample = texts.where(draw < int((1 << 30) * min(1.0, FIT_POSTS / max(n, 1)))).limit(FIT_POSTS)
-    places = spread(sample).mapInArrow(_places, "text_hash bigint, is_end boolean, sets_scale boolean, features array<int>")
+    per_text = max(FIT_PLACES, min(MOST_PLACES, FIT_POSTS * FIT_PLACES // max(n, 1)))
+    places = spread(sample).mapInArrow(_places(per_text), "text_hash bigint, is_end boolean, sets_scale boolean, features array<int>")
     return bytes(places.repartition(1).mapInArrow(_fit, "weights binary").head()["weights"])  # one row of fixed size
 
 
