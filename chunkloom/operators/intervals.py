@@ -71,12 +71,13 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "first_name": first[0], "first_start": first[1], "last_name": last[0], "last_start": last[1], "last_end": last[2], "whole": bool(whole)}])
 
 
-def _rescan(carried: dict[int, Open], goes_on: set[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _rescan(states: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def out(kind: str, names: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([kind] * len(names), pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["entity", "kind", "start_us", "end_us"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
+        carried, goes_on = states.value
         state, inherited = carried.get(part), part in carried
         for batch in batches:
             if batch.num_rows:
@@ -123,7 +124,8 @@ def periods_and_gaps(intervals: DataFrame, rows: int | None = None) -> DataFrame
     n = usable.count() if rows is None else rows
     ordered = cut(usable.repartitionByRange(parallelism(intervals.sparkSession, n, ROWS_PER_TASK), "entity", "start_us").sortWithinPartitions("entity", "start_us", "end_us"))
     summaries = ordered.mapInArrow(_summarise, "part bigint, first_name string, first_start bigint, last_name string, last_start bigint, last_end bigint, whole boolean").collect()
-    return ordered.mapInArrow(_rescan(*combine([s.asDict() for s in summaries])), "entity string, kind string, start_us bigint, end_us bigint")
+    states = intervals.sparkSession.sparkContext.broadcast(combine([s.asDict() for s in summaries]))  # one state per partition, sent to each executor once
+    return ordered.mapInArrow(_rescan(states), "entity string, kind string, start_us bigint, end_us bigint")
 
 
 def job_periods(history: DataFrame) -> DataFrame:
