@@ -420,74 +420,48 @@ def tree_reachability(spark: SparkSession, sf: str) -> DataFrame:
 # --- incremental scans -----------------------------------------------------------------------
 
 _KEYS = ["repo_path", "path"]
-#: Cache after the first two scans of a tree: paths of the second live, those only in the first tombstones.
-_CACHE = (
+#: Each sighting of a path with what the cache held of it, when it was seen before and when it will be again.
+_SIGHT = (
     inputs.SCANS_SQL
     + """,
-cache AS (
-  SELECT repo_path, path, coalesce(b.size, a.size) AS size, coalesce(b.mtime, a.mtime) AS mtime, 2 AS cached_at, b.path IS NULL AS deleted
-  FROM (SELECT * FROM scans WHERE seq = 0) a FULL JOIN (SELECT * FROM scans WHERE seq = 1) b USING (repo_path, path)),
-scan AS (SELECT * FROM scans WHERE seq = 2),
-diff AS (
-  SELECT repo_path, path, coalesce(s.size, c.size) AS size, coalesce(s.mtime, c.mtime) AS mtime,
-         CASE WHEN s.seq IS NULL THEN CASE WHEN NOT deleted THEN 'deleted' END WHEN NOT deleted AND s.size = c.size AND s.mtime = c.mtime THEN 'unchanged' ELSE 'changed' END AS change
-  FROM scan s FULL JOIN cache c USING (repo_path, path))
+sight AS (
+  SELECT repo_path, path, seq, size, mtime, last_value(size IGNORE NULLS) OVER past AS cached_size, last_value(mtime IGNORE NULLS) OVER past AS cached_mtime,
+         lag(seq) OVER own AS seen, coalesce(lead(seq) OVER own, n_snapshots) AS next
+  FROM scans
+  WINDOW own AS (PARTITION BY repo_path, path ORDER BY seq), past AS (PARTITION BY repo_path, path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+held AS (SELECT repo_path, path, seq, next, seen, coalesce(size, cached_size) AS size, coalesce(mtime, cached_mtime) AS mtime,
+         size IS NOT DISTINCT FROM cached_size AND mtime IS NOT DISTINCT FROM cached_mtime AS same FROM sight)
 """
 )
+_PROBED = ", c AS (SELECT * REPLACE (seq + 1 AS seq) FROM scans), p AS (SELECT repo_path, CAST(seq AS INTEGER) AS seq, path, CASE WHEN c.n_snapshots IS NULL THEN 'miss' WHEN w.size = c.size AND w.mtime = c.mtime AND w.inode = c.inode THEN 'hit' ELSE 'stale' END AS outcome FROM (SELECT * FROM scans WHERE seq > 0) w LEFT JOIN c USING (repo_path, seq, path)) "
 
 
-def _cached(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The third scan of each tree and the cache after two, as the fold of scans gives it."""
-    scans = cut(inputs.scans(spark, sf))
-    empty = scans.limit(0).select(*_KEYS, "size", "mtime", F.lit(0).alias("cached_at"), F.lit(False).alias("deleted"))
-    one = sync.next_cache(scans.where("seq = 0"), empty, _KEYS, 1)
-    return scans.where("seq = 2"), sync.next_cache(scans.where("seq = 1"), one, _KEYS, 2)
-
-
-@query(_CACHE + "SELECT * FROM diff WHERE change IS NOT NULL")
+@query(
+    _SIGHT
+    + """SELECT repo_path, path, CAST(seq AS INTEGER) AS seq, size, mtime, CASE WHEN seen = seq - 1 AND same THEN 'unchanged' ELSE 'changed' END AS change FROM held WHERE seq > 0
+UNION ALL SELECT repo_path, path, CAST(seq + 1 AS INTEGER), size, mtime, 'deleted' FROM held WHERE next > seq + 1"""
+)
 def scan_diff(spark: SparkSession, sf: str) -> DataFrame:
-    return sync.scan_diff(*_cached(spark, sf), _KEYS)
-
-
-@query(_CACHE + "SELECT repo_path, path, d.size, d.mtime, CASE WHEN change IS NULL THEN 2 ELSE 3 END AS cached_at, change IS NULL OR change = 'deleted' AS deleted FROM diff d")
-def scan_cache_next(spark: SparkSession, sf: str) -> DataFrame:
-    scan, cache = _cached(spark, sf)
-    return sync.next_cache(scan, cache, _KEYS, 3)
-
-
-@query(inputs.SCANS_SQL + "SELECT repo_path, path, CASE WHEN c.seq IS NULL THEN 'miss' WHEN w.size = c.size AND w.mtime = c.mtime AND w.inode = c.inode THEN 'hit' ELSE 'stale' END AS outcome FROM (SELECT * FROM scans WHERE seq = 1) w LEFT JOIN (SELECT * FROM scans WHERE seq = 0) c USING (repo_path, path)")
-def cache_probe(spark: SparkSession, sf: str) -> DataFrame:
-    scans = cut(inputs.scans(spark, sf))
-    return sync.probe(scans.where("seq = 1"), scans.where("seq = 0"), _KEYS)
-
-
-@query(inputs.SCANS_SQL + ", p AS (SELECT c.seq IS NOT NULL AND w.size = c.size AND w.mtime = c.mtime AND w.inode = c.inode AS hit FROM (SELECT * FROM scans WHERE seq = 1) w LEFT JOIN (SELECT * FROM scans WHERE seq = 0) c USING (repo_path, path)) SELECT count(*) FILTER (hit) AS n_hits, count(*) FILTER (NOT hit) AS n_misses, CAST(count(*) FILTER (hit) AS DOUBLE) / count(*) AS hit_rate FROM p")
-def cache_hit_rate(spark: SparkSession, sf: str) -> DataFrame:
-    return sync.probe_rates(cache_probe(spark, sf))
-
-
-@query()
-def scan_diff_all(spark: SparkSession, sf: str) -> DataFrame:
-    """``scan_diff`` of every scan after the first of each tree, by ``seq``."""
+    """Every scan after the first of each tree against the cache of all before it, by ``seq``."""
     return sync.scan_diffs(inputs.scans(spark, sf), _KEYS)
 
 
-@query()
-def scan_cache_next_all(spark: SparkSession, sf: str) -> DataFrame:
+@query(_SIGHT + "SELECT repo_path, path, CAST(t AS INTEGER) AS seq, size, mtime, CAST(seq + CASE WHEN t > seq THEN 2 ELSE 1 END AS INTEGER) AS cached_at, t > seq AS deleted FROM (SELECT *, unnest(range(seq, next)) AS t FROM held) WHERE t > 0")
+def scan_cache_next(spark: SparkSession, sf: str) -> DataFrame:
     """The cache after every scan but the first of each tree, by ``seq``."""
     return sync.caches(inputs.scans(spark, sf), _KEYS)
 
 
-@query(inputs.SCANS_SQL + ", c AS (SELECT * REPLACE (seq + 1 AS seq) FROM scans) SELECT repo_path, seq, path, CASE WHEN c.n_snapshots IS NULL THEN 'miss' WHEN w.size = c.size AND w.mtime = c.mtime AND w.inode = c.inode THEN 'hit' ELSE 'stale' END AS outcome FROM (SELECT * FROM scans WHERE seq > 0) w LEFT JOIN c USING (repo_path, seq, path)")
-def cache_probe_all(spark: SparkSession, sf: str) -> DataFrame:
-    """``cache_probe`` of every scan after the first against the one before."""
+@query(inputs.SCANS_SQL + _PROBED + "SELECT * FROM p")
+def cache_probe(spark: SparkSession, sf: str) -> DataFrame:
+    """Every scan after the first against the one before."""
     scans = cut(inputs.scans(spark, sf))
     return sync.probe(scans.where("seq > 0"), scans.withColumn("seq", F.col("seq") + 1), ["repo_path", "seq", "path"])
 
 
-@query()
-def cache_hit_rate_all(spark: SparkSession, sf: str) -> DataFrame:
-    return sync.probe_rates(cache_probe_all(spark, sf))
+@query(inputs.SCANS_SQL + _PROBED + "SELECT count(*) FILTER (outcome = 'hit') AS n_hits, count(*) FILTER (outcome <> 'hit') AS n_misses, CAST(count(*) FILTER (outcome = 'hit') AS DOUBLE) / count(*) AS hit_rate FROM p")
+def cache_hit_rate(spark: SparkSession, sf: str) -> DataFrame:
+    return sync.probe_rates(cache_probe(spark, sf))
 
 
 @query("SELECT archive_name, item_id, attrs.atime AS cached_at FROM items WHERE attrs.atime >= 1735689600 - 31536000")
