@@ -114,7 +114,7 @@ def _countable(items: DataFrame, archives: DataFrame, reports: DataFrame) -> Dat
     for field in ("missing_chunks", "orphaned_chunks"):
         rows = _with_copies(reports.select("report_id", "report_time", field).where(F.size(field) > 0))
         found = found.unionByName(rows.select(F.lit(f"verify_reports.{field}").alias("ref_field"), F.col("report_time").alias("ref_time"), "copies", F.explode(_distinct_ids(field)).alias("chunk_id")))
-    return found
+    return found.where(F.col("chunk_id").isNotNull())  # null elements of lists that are plain otherwise
 
 
 def orphan_counts(items: DataFrame, archives: DataFrame, reports: DataFrame, store: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -321,7 +321,7 @@ def test_orphan_references(spark, bound: int, monkeypatch: pytest.MonkeyPatch) -
 def test_orphan_counts_within_a_month(spark) -> None:
     """Of the references to a key in the month of its first record some are later, some are not; copies count once."""
     key, day = "a" * 64, lambda d: dt.datetime(2024, 1, d)
-    items = spark.createDataFrame([(i, f"n{i}", [key, key.upper()]) for i in range(1, 21)] * 2, "item_id bigint, archive_name string, chunks array<string>")
+    items = spark.createDataFrame([(i, f"n{i}", [key, key.upper()] if i % 2 else [key, None, key]) for i in range(1, 21)] * 2, "item_id bigint, archive_name string, chunks array<string>")
     archives = spark.createDataFrame([(f"n{i}", day(i), "r", None) for i in range(1, 21)], "archive_name string, archive_time timestamp_ntz, repo_path string, id string")
     reports = spark.createDataFrame([], "report_id bigint, report_time timestamp_ntz, missing_chunks array<string>, orphaned_chunks array<string>")
     store = spark.createDataFrame([(key, day(8), None)], "chunk_id string, stored_at timestamp_ntz, deleted_at timestamp_ntz")
