@@ -411,17 +411,16 @@ def baselines(rows: DataFrame) -> DataFrame:
     beside each that has one as the source's other posts do. Rates of a source are backed by those
     of all sources with a weight of ``BACKED`` posts.
     """
-    zero, n_bins = F.lit(0).cast("bigint"), 2 * LOUD + 1
-    whole = rows.where((F.col("ending") == "terminated") & ~F.col("at_limit") & F.col("score").isNotNull()).groupBy("source", "score").agg(F.count(F.lit(1)).alias("n"))
-    whole = cut(whole)
+    zero, n_bins, at_all = F.lit(0).cast("bigint"), 2 * LOUD + 1, Window.partitionBy(F.lit(1))
+    # all rates come from these counts: a row per source, kind of end and score
+    counts = cut(rows.groupBy("source", "ending", "at_limit", "score").agg(F.count(F.lit(1)).alias("n_ends")))
+    whole = counts.where((F.col("ending") == "terminated") & ~F.col("at_limit") & F.col("score").isNotNull()).select("source", "score", F.col("n_ends").alias("n"))
     sizes = whole.groupBy("source").agg(F.sum("n").alias("n_whole"))
     places = rows.where(F.col("place").isNotNull()).groupBy(F.col("place").alias("score")).agg(F.count(F.lit(1)).alias("n_places"))
-    every = F.lit(1)
     # one row per score: smoothed shares over all sources
     shares = rows.sparkSession.range(n_bins).select((F.col("id") - LOUD).cast("int").alias("score")).join(places, "score", "left").join(whole.groupBy("score").agg(F.sum("n").alias("n_ends")), "score", "left").fillna(0)
-    at_all = Window.partitionBy(every)
-    shares = cut(shares.select("score", ((F.col("n_places") + 0.5) / (F.sum("n_places").over(at_all) + n_bins / 2)).alias("p_cut"), ((F.col("n_ends") + 0.5) / (F.sum("n_ends").over(at_all) + n_bins / 2)).alias("p_end")))
-    bins = rows.where(F.col("ending").isin("bare", "marked") & F.col("score").isNotNull()).groupBy("source", "ending", "at_limit", "score").agg(F.count(F.lit(1)).alias("n_ends"))
+    shares = shares.select("score", ((F.col("n_places") + 0.5) / (F.sum("n_places").over(at_all) + n_bins / 2)).alias("p_cut"), ((F.col("n_ends") + 0.5) / (F.sum("n_ends").over(at_all) + n_bins / 2)).alias("p_end"))
+    bins = counts.where(F.col("ending").isin("bare", "marked") & F.col("score").isNotNull())
     told = bins.join(F.broadcast(shares), "score").join(whole, ["source", "score"], "left").join(sizes, "source", "left")
     p_whole = (F.coalesce("n", zero) + BACKED * F.col("p_end")) / (F.coalesce("n_whole", zero) + BACKED)
     ratio = F.col("p_cut") / p_whole
@@ -430,9 +429,9 @@ def baselines(rows: DataFrame) -> DataFrame:
     pooled = told.groupBy("ending", "at_limit").agg(((decisive + 1) / (F.sum("n_ends") + 2)).alias("pooled"))  # four rows at most
     own = told.groupBy("source", "ending", "at_limit").agg(decisive.alias("decisive"), F.sum("n_ends").alias("n")).join(F.broadcast(pooled), ["ending", "at_limit"])
     free, limit = ~F.col("at_limit"), F.col("at_limit")
-    ended = rows.groupBy("source").agg(*(F.count_if((F.col("ending") == k) & w).cast("double").alias(f"{k}_{n}") for k in ("terminated", "bare", "marked") for n, w in (("free", free), ("limit", limit))))
+    ended = counts.groupBy("source").agg(*(F.sum(F.when((F.col("ending") == k) & w, F.col("n_ends")).otherwise(zero)).cast("double").alias(f"{k}_{n}") for k in ("terminated", "bare", "marked") for n, w in (("free", free), ("limit", limit))))
     lacking = [(k, 1 - F.try_divide(F.col("terminated_limit") * F.col(f"{k}_free") / F.col("terminated_free"), F.col(f"{k}_limit"))) for k in ("bare", "marked")]
-    missing = cut(ended.where("terminated_free > 0").select("source", F.explode(F.create_map(*(x for k, c in lacking for x in (F.lit(k), c)))).alias("ending", "missing")).withColumn("at_limit", F.lit(True)).where("missing is not null"))
+    missing = ended.where("terminated_free > 0").select("source", F.explode(F.create_map(*(x for k, c in lacking for x in (F.lit(k), c)))).alias("ending", "missing")).withColumn("at_limit", F.lit(True)).where("missing is not null")
     own = own.join(missing, ["source", "ending", "at_limit"], "left").select("source", "ending", "at_limit", ((F.col("decisive") + BACKED * F.col("pooled")) / (F.col("n") + BACKED)).alias("share_cut"), F.when(F.col("missing") > 0.99, 0.99).otherwise(F.col("missing")).alias("missing"))
     own = own.select("source", "ending", "at_limit", F.greatest("share_cut", "missing").alias("share_cut"))
     return told.join(own, ["source", "ending", "at_limit"]).select("source", "ending", "at_limit", "score", "ratio", "share_cut")
