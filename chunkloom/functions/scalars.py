@@ -19,6 +19,8 @@ PROFILE_TOP = "64M"
 #: Compression algorithms by id, and other names for them (fixed values).
 ALGORITHMS = {0: "none", 1: "lz4", 2: "zstd", 3: "zlib", 4: "lzma", 5: "xz"}
 ALIASES = {"zstandard": "zstd", "deflate": "zlib"}
+#: How the name of an archive begins that was given none (fixed value).
+UNNAMED = "backup_archive_ptintime_"
 #: Level of compression where none is named (fixed value).
 DEFAULT_LEVEL = 6
 #: Parity shards of 16 data shards by redundancy (fixed values).
@@ -269,7 +271,7 @@ def archive_name(template: Column | str, host: Column, now: Column) -> Column:
 
 def unique_archive_name(host: Column, user: Column, now: Column) -> Column:
     """Name of an archive that got none: host, user and the time to a thousandth of a second."""
-    return F.concat(F.lit("backup_archive_ptintime_"), host, F.lit("_"), user, F.lit("_"), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    return F.concat(F.lit(UNNAMED), host, F.lit("_"), user, F.lit("_"), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
 
 
 def task_name(repo: Column, archive: Column, frequency: Column, hour: Column, minute: Column) -> Column:
