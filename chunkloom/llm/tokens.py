@@ -10,10 +10,11 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.session import cut, small_side
+from chunkloom.session import cut, fits, small_side
 
 #: Folder of the vocabulary files, and the rank file used unless another is named.
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -57,66 +58,77 @@ def token_counts(documents: DataFrame, columns: list[str], directory: str = TOKE
     return rows.mapInArrow(_count(f"{directory}/{ranks}"), f"{schema}, n_tokens bigint")
 
 
-#: Texts at most that the character model is fitted on, and bytes at most that each gives, from a place drawn at random.
-FIT_TEXTS, FIT_BYTES = 10_000, 4_000
-#: Slots of the hashed trigrams of the character model, and its smoothing.
-TRIGRAMS, ALPHA = 1 << 20, 0.01
+#: Pairs of bytes, slots of the hashed trigrams of the character model, and its smoothing.
+PAIRS, TRIGRAMS, ALPHA = 1 << 16, 1 << 20, 0.01
+#: Bytes of text that are worked on at once; whole texts as far as they fit, longer ones in parts.
+PIECE = 1 << 20
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bounded part of each sampled text."""
-    for batch in batches:
-        out = []
-        for text, at in zip(batch.column("text").to_pylist(), batch.column("text_hash").to_pylist(), strict=True):
-            data = text.encode()
-            start = at % (len(data) - FIT_BYTES) if len(data) > FIT_BYTES else 0
-            out.append(data[start : start + FIT_BYTES])
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["data"])
-
+def _grams(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """All bytes from the third of a text on, piece by piece.
 
-def _grams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Pair of bytes before each byte from the third on, and the slot of it with that byte."""
-    b = np.frombuffer(data, np.uint8).astype(np.int64)
-    pairs = b[:-2] << 8 | b[1:-1]
-    return pairs, (pairs * 0x9E3779B1 + b[2:] * 0x85EBCA6B >> 7) & (TRIGRAMS - 1)
+    Numbers of the texts in a piece (of three bytes and more), where each begins in it, the pair before
+    each byte, the slot of the pair with that byte, and whether all three are of one text.
+    """
+    texts = pc.fill_null(column, "").cast(pa.large_string())
+    if not len(texts) or texts.buffers()[2] is None:
+        return
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8)
+    which = np.flatnonzero(np.diff(at) >= 3)
+    begins, ends, i = at[which], at[which + 1], 0
+    while i < len(which):
+        j = max(i + 1, int(np.searchsorted(ends, begins[i] + PIECE, "right")))
+        first, last = int(begins[i]), int(ends[j - 1])
+        for low in range(first, last - 2, PIECE):  # more than one of a single long text only, two bytes in common
+            b = data[low : min(last, low + PIECE + 2)].astype(np.int64)
+            pairs = b[:-2] << 8 | b[1:-1]
+            inside = np.ones(len(b), bool)
+            border = at[which[i] + 1 : which[j - 1] + 1] - low  # of all texts between, short ones too
+            inside[border - 1] = inside[border - 2] = False
+            yield which[i:j], np.maximum(begins[i:j] - low, 0), pairs, (pairs * 0x9E3779B1 + b[2:] * 0x85EBCA6B >> 7) & (TRIGRAMS - 1), inside[:-2]
+        i = j
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pairs, trigrams = np.zeros(1 << 16, np.float32), np.zeros(TRIGRAMS, np.float32)
+    """(slot, n) of all texts: of the pairs, and behind them of the trigrams."""
+    counts = np.zeros(PAIRS + TRIGRAMS, np.int64)
     for batch in batches:
-        for data in batch.column(0).to_pylist():
-            p, t = _grams(data)
-            np.add.at(pairs, p, 1)
-            np.add.at(trigrams, t, 1)
-    yield pa.RecordBatch.from_arrays([pa.array([pairs.tobytes()], pa.binary()), pa.array([trigrams.tobytes()], pa.binary())], names=["pairs", "trigrams"])
+        for _, _, pairs, trigrams, inside in _grams(batch.column("text")):
+            counts[:PAIRS] += np.bincount(pairs[inside], minlength=PAIRS)
+            counts[PAIRS:] += np.bincount(trigrams[inside], minlength=TRIGRAMS)
+    slots = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(counts[slots], pa.int64())], names=["slot", "n"])
+
+
+def _once(texts: DataFrame) -> DataFrame:
+    """Every different text of (text_hash, text) once; only those whose hash comes again are shuffled, unless they are many."""
+    again = cut(texts.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("text_hash"))
+    if not fits(again):
+        return texts.select("text").distinct()
+    again = F.broadcast(again)
+    return texts.join(again, "text_hash", "left_anti").select("text").unionByName(texts.join(again, "text_hash", "left_semi").select("text").distinct())
 
 
 def character_model(texts: DataFrame) -> tuple[bytes, bytes]:
-    """Counts of byte pairs and hashed trigrams, of (text_hash, text): equal texts count once, ``FIT_TEXTS`` at most, drawn by hash."""
-    n, draw = texts.count(), F.pmod(F.xxhash64("text_hash"), F.lit(1 << 30))
-    sample = texts.where(draw < int((1 << 30) * min(1.0, FIT_TEXTS / max(n, 1)))).dropDuplicates(["text_hash"]).limit(FIT_TEXTS)
-    row = sample.mapInArrow(_windows, "data binary").repartition(1).mapInArrow(_count_grams, "pairs binary, trigrams binary").head()  # one row of fixed size
-    return (bytes(row["pairs"]), bytes(row["trigrams"])) if row else (bytes(4 << 16), bytes(4 * TRIGRAMS))
+    """Counts of byte pairs and hashed trigrams in all texts of (text_hash, text), each read whole; equal texts count once."""
+    rows = _once(texts).mapInArrow(_count_grams, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # a row per slot at most
+    counts = np.zeros(PAIRS + TRIGRAMS, np.int64)
+    counts[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return counts[:PAIRS].tobytes(), counts[PAIRS:].tobytes()
 
 
 def surprise(model: object, column: str = "text") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Adds ``bits``: mean bits per byte of the whole text under the character model, null below three bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, trigrams = (np.frombuffer(x, np.float32) for x in model.value)
+        of_pairs, of_trigrams = (np.log2(np.frombuffer(x, np.int64) + more) for x, more in zip(model.value, (ALPHA * 256, ALPHA), strict=True))
         for batch in batches:
-            out = []
-            for text in batch.column(column).to_pylist():
-                data = (text or "").encode()
-                if len(data) < 3:
-                    out.append(None)
-                    continue
-                total = 0.0
-                for i in range(0, len(data) - 2, 1 << 20):  # long texts piece by piece, two bytes in common
-                    p, t = _grams(data[i : i + (1 << 20) + 2])
-                    total += float(np.log2((pairs[p] + ALPHA * 256) / (trigrams[t] + ALPHA)).sum())
-                out.append(total / (len(data) - 2))
-            yield batch.append_column("bits", pa.array(out, pa.float64()))
+            texts = batch.column(column)
+            total, n = np.zeros(len(batch)), pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64) - 2
+            for which, begins, pairs, trigrams, inside in _grams(texts):
+                total[which] += np.add.reduceat((of_pairs[pairs] - of_trigrams[trigrams]) * inside, begins)
+            yield batch.append_column("bits", pa.array(total / np.maximum(n, 1), pa.float64(), mask=n < 1))
 
     return run
 

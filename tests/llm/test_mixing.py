@@ -3,7 +3,10 @@ from __future__ import annotations
 import math
 import random
 from collections import defaultdict
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +114,55 @@ def test_edge_is_cut_until_it_is_small(spark, monkeypatch: pytest.MonkeyPatch) -
     assert texts.where(F.col("place") < row.low).count() * 10 == row.before <= 10_000
     p = {r.source: r for r in planned.collect()}
     assert {r.doc_id: r.repeats for r in mixing.mix(df, planned).collect()} == by_hand(df.collect(), p)
+
+
+def _counts_by_hand(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of every different text once, byte by byte."""
+    pairs, trigrams = np.zeros(1 << 16, np.int64), np.zeros(tokens.TRIGRAMS, np.int64)
+    for data in {t.encode() for t in texts}:
+        for a, b, c in zip(data, data[1:], data[2:], strict=False):
+            pairs[a << 8 | b] += 1
+            trigrams[((a << 8 | b) * 0x9E3779B1 + c * 0x85EBCA6B >> 7) & (tokens.TRIGRAMS - 1)] += 1
+    return pairs, trigrams
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_character_model_counts_all_texts_whole(spark, broadcast: bool, monkeypatch: pytest.MonkeyPatch) -> None:
+    """More than 10,000 texts, some beyond 4,000 bytes, some twice: every byte of each different one is counted."""
+    monkeypatch.setattr(tokens, "fits", lambda _: broadcast)
+    rng = random.Random(7)
+    texts = [f"{i} {rng.choice(['pump', 'välve', '水'])}" for i in range(10_500)] + ["".join(rng.choices("abc é", k=9_000)) for _ in range(3)]
+    texts += texts[:40] * 3 + texts[-1:] + ["", "", "a", "ab", "abc", "abc"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    pairs, trigrams = (np.frombuffer(x, np.int64) for x in tokens.character_model(docs.select(F.xxhash64("text").alias("text_hash"), "text")))
+    want = _counts_by_hand(texts)
+    assert (pairs == want[0]).all() and (trigrams == want[1]).all() and pairs.sum() == sum(max(len(t.encode()) - 2, 0) for t in set(texts))
+
+
+def test_counts_beyond_what_floats_count_by_ones(spark) -> None:
+    """The same three bytes come more than 2^24 times in a text of many pieces."""
+    n = (1 << 24) + 99
+    docs = spark.range(1).select(F.xxhash64("id").alias("text_hash"), F.repeat(F.lit("a"), n).alias("text"))
+    pairs, trigrams = (np.frombuffer(x, np.int64) for x in tokens.character_model(docs))
+    assert pairs[ord("a") << 8 | ord("a")] == pairs.sum() == trigrams.max() == trigrams.sum() == n - 2
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 64, 5])
+def test_bits_of_each_text(piece: int, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Texts side by side, short and null ones between, give what each gives alone, however they are cut into pieces."""
+    monkeypatch.setattr(tokens, "PIECE", piece)
+    rng = random.Random(3)
+    texts = ["", "ab", "a", None, *("".join(rng.choices("ab é", k=rng.randrange(90))) for _ in range(60)), "xyz", None, "b", "aab"]
+    pairs, trigrams = counts = _counts_by_hand([t for t in texts if t])
+    model = SimpleNamespace(value=tuple(x.tobytes() for x in counts))
+    column = pa.array(["before", *texts, "after"]).slice(1, len(texts))
+    (told,) = tokens.surprise(model)([pa.RecordBatch.from_arrays([column], names=["text"])])
+    (counted,) = tokens._count_grams([pa.RecordBatch.from_arrays([pa.array(sorted({t for t in texts if t}))], names=["text"])])
+    assert dict(zip(*(c.to_pylist() for c in counted.columns), strict=True)) == {int(i): int(n) for at, x in ((0, pairs), (tokens.PAIRS, trigrams)) for i, n in zip(np.flatnonzero(x) + at, x[x > 0], strict=True)}
+    for text, bits in zip(texts, told.column("bits").to_pylist(), strict=True):
+        data = (text or "").encode()
+        if len(data) < 3:
+            assert bits is None
+            continue
+        slots = [(a << 8 | b, ((a << 8 | b) * 0x9E3779B1 + c * 0x85EBCA6B >> 7) & (tokens.TRIGRAMS - 1)) for a, b, c in zip(data, data[1:], data[2:], strict=False)]
+        assert bits == pytest.approx(sum(math.log2((pairs[p] + tokens.ALPHA * 256) / (trigrams[t] + tokens.ALPHA)) for p, t in slots) / len(slots))
